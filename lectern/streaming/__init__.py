@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The work here is batch: incremental runs go through cache keys and recognition
+checkpoints (``lectern.operators.reuse``). The functions in
+``lectern.functions`` are stateless columns and apply to streaming DataFrames
+as they are.
+"""
