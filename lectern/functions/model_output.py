@@ -79,80 +79,91 @@ def json_object(raw: Column) -> Column:
     return F.coalesce(direct, F.try_parse_json(rest))
 
 
-def _field(obj: Column, name: str) -> Column:
-    return F.try_variant_get(obj, f"$.{name}", "variant")
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _fields(obj: Column, *names: str) -> Column:
+    """Kind and text of each field: kind is null when the field is absent."""
 
+    def field(name: str) -> Column:
+        value = F.try_variant_get(obj, f"$.{name}", "variant")
+        return F.struct(
+            F.schema_of_variant(value).alias("kind"),
+            F.try_variant_get(obj, f"$.{name}", "string").alias("text"),
+        ).alias(name)
 
-def _string(obj: Column, name: str) -> Column:
-    """The field if it is a JSON string."""
-    value = _field(obj, name)
-    return F.when(_kind(value) == "STRING", F.try_variant_get(obj, f"$.{name}", "string"))
+    return F.struct(*[field(n) for n in names])
 
 
-def _text(obj: Column, name: str, default: Column) -> Column:
-    """The field as text, whatever its type; ``default`` when absent."""
-    return F.when(_field(obj, name).isNull(), default).otherwise(
-        F.coalesce(F.try_variant_get(obj, f"$.{name}", "string"), F.lit("None"))
-    )
+def _is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
-def _is_given(obj: Column, name: str) -> Column:
-    value = _field(obj, name)
-    return value.isNotNull() & (_kind(value) != "VOID")
+def _string(field: Column) -> Column:
+    """The field if it is a JSON string."""
+    return F.when(field["kind"] == "STRING", field["text"])
 
 
-def _number(obj: Column, name: str) -> Column:
+def _text(field: Column, default: Column) -> Column:
+    """The field as text, whatever its type; ``default`` when absent."""
+    return F.when(field["kind"].isNull(), default).otherwise(F.coalesce(field["text"], F.lit("None")))
+
+
+def _number(field: Column) -> Column:
     """The field as a finite number, from a JSON number, bool or numeric string."""
-    value = _field(obj, name)
     number = F.when(
-        _kind(value) == "BOOLEAN", F.try_variant_get(obj, f"$.{name}", "boolean").cast("double")
-    ).otherwise(F.try_variant_get(obj, f"$.{name}", "string").try_cast("double"))
-    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+        field["kind"] == "BOOLEAN", (field["text"] == "true").cast("double")
+    ).otherwise(field["text"].try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
-def strict_bool(obj: Column, name: str) -> Column:
-    """JSON boolean or the strings true/false; anything else is null."""
-    word = F.lower(F.trim(_string(obj, name)))
+def _whole(field: Column) -> Column:
+    """The field as an integer: numbers truncate, strings must be whole."""
     return F.when(
-        _kind(_field(obj, name)) == "BOOLEAN", F.try_variant_get(obj, f"$.{name}", "boolean")
-    ).when(word == "true", True).when(word == "false", False)
+        (field["kind"] != "STRING") | field["text"].rlike(r"\A\s*[+-]?\d+\s*\z"), _number(field).cast("int")
+    )
 
 
-def _whole(obj: Column, name: str) -> Column:
-    """The field as an integer: numbers truncate, strings must be whole."""
-    value = _string(obj, name)
+def _bool(field: Column) -> Column:
+    word = F.lower(F.trim(field["text"]))
     return F.when(
-        value.isNotNull(),
-        F.when(value.rlike(r"\A\s*[+-]?\d+\s*\z"), F.trim(value).try_cast("int")),
-    ).otherwise(_number(obj, name).cast("int"))
+        field["kind"].isin("BOOLEAN", "STRING"), F.when(word == "true", True).when(word == "false", False)
+    )
+
+
+def strict_bool(obj: Column, name: str) -> Column:
+    """JSON boolean or the strings true/false; anything else is null."""
+    return _let(_fields(obj, name), lambda f: _bool(f[name]))
 
 
 def frame_request(item: Column) -> Column:
     """One frame request, or null when it breaks a rule."""
-    anchor, kind = _string(item, "anchor_id"), _string(item, "request_type")
-    path, number = _string(item, "source_frame_path"), _whole(item, "srt_id")
-    at = _number(item, "timestamp")
-    path_ok = F.when(kind == "reuse", F.coalesce(path, F.lit("")) != "").otherwise(
-        ~_is_given(item, "source_frame_path")
-    )
-    valid = (
-        (anchor != "") & (number >= 1) & (at >= 0) & kind.isin(REQUEST_TYPES) & path_ok
-    )
-    return F.when(
-        valid,
-        F.struct(
-            anchor.alias("anchor_id"),
-            number.alias("srt_id"),
-            at.alias("timestamp"),
-            kind.alias("request_type"),
-            path.alias("source_frame_path"),
-            _text(item, "reason", F.lit("")).alias("reason"),
-        ),
-    )
+
+    def read(f: Column) -> Column:
+        return F.struct(
+            _string(f["anchor_id"]).alias("anchor_id"),
+            _whole(f["srt_id"]).alias("srt_id"),
+            _number(f["timestamp"]).alias("timestamp"),
+            _string(f["request_type"]).alias("request_type"),
+            _string(f["source_frame_path"]).alias("source_frame_path"),
+            _text(f["reason"], F.lit("")).alias("reason"),
+            (F.coalesce(f["source_frame_path"]["kind"], F.lit("VOID")) == "VOID").alias("no_path"),
+        )
+
+    def check(r: Column) -> Column:
+        path_ok = F.when(
+            r["request_type"] == "reuse", F.coalesce(r["source_frame_path"], F.lit("")) != ""
+        ).otherwise(r["no_path"])
+        valid = (
+            (r["anchor_id"] != "") & (r["srt_id"] >= 1) & (r["timestamp"] >= 0)
+            & r["request_type"].isin(REQUEST_TYPES) & path_ok
+        )
+        return F.when(valid, r.dropFields("no_path"))
+
+    names = ["anchor_id", "srt_id", "timestamp", "request_type", "source_frame_path", "reason"]
+    return _let(_let(_fields(item, *names), read), check)
 
 
 def frame_decision(item: Column, frame_path: Column) -> Column:
@@ -160,24 +171,32 @@ def frame_decision(item: Column, frame_path: Column) -> Column:
 
     A ``frame`` in the decision replaces the path that was asked about.
     """
-    keep = F.when(_field(item, "keep_image").isNull(), False).otherwise(strict_bool(item, "keep_image"))
-    retake = F.when(_field(item, "retake").isNull(), False).otherwise(strict_bool(item, "retake"))
-    kind = _text(item, "content_type", F.lit("other"))
-    at = _number(item, "retake_timestamp")
-    valid = keep.isNotNull() & retake.isNotNull() & F.when(retake, F.coalesce(at >= 0, F.lit(False))).otherwise(True)
-    return F.when(
-        valid,
-        F.struct(
-            _text(item, "frame", frame_path).alias("frame_path"),
-            keep.alias("keep_image"),
-            F.when(kind.isin(CONTENT_TYPES), kind).otherwise("other").alias("content_type"),
-            _text(item, "caption", F.lit("")).alias("caption"),
-            _text(item, "text_representation", F.lit("")).alias("text_representation"),
-            _text(item, "reason", F.lit("")).alias("reason"),
-            retake.alias("retake"),
-            F.when(retake, at).alias("retake_timestamp"),
-        ),
-    )
+
+    def flag(field: Column) -> Column:
+        return F.when(field["kind"].isNull(), False).otherwise(_bool(field))
+
+    def read(f: Column) -> Column:
+        return F.struct(
+            _text(f["frame"], frame_path).alias("frame_path"),
+            flag(f["keep_image"]).alias("keep_image"),
+            F.when(f["content_type"]["text"].isin(CONTENT_TYPES), f["content_type"]["text"])
+            .otherwise("other").alias("content_type"),
+            _text(f["caption"], F.lit("")).alias("caption"),
+            _text(f["text_representation"], F.lit("")).alias("text_representation"),
+            _text(f["reason"], F.lit("")).alias("reason"),
+            flag(f["retake"]).alias("retake"),
+            F.when(flag(f["retake"]), _number(f["retake_timestamp"])).alias("retake_timestamp"),
+        )
+
+    def check(r: Column) -> Column:
+        time_ok = ~r["retake"] | F.coalesce(r["retake_timestamp"] >= 0, F.lit(False))
+        return F.when(r["keep_image"].isNotNull() & r["retake"].isNotNull() & time_ok, r)
+
+    names = [
+        "frame", "keep_image", "content_type", "caption", "text_representation", "reason",
+        "retake", "retake_timestamp",
+    ]
+    return F.when(_is_object(item), _let(_let(_fields(item, *names), read), check))
 
 
 def items(obj: Column, name: str) -> Column:
@@ -186,7 +205,8 @@ def items(obj: Column, name: str) -> Column:
 
 
 def string_field(obj: Column, name: str) -> Column:
-    return _string(obj, name)
+    """A field if it is a JSON string."""
+    return _let(_fields(obj, name), lambda f: _string(f[name]))
 
 
 def anchors(markdown: Column) -> Column:

@@ -10,6 +10,7 @@ from lectern.functions.model_output import (
 )
 from lectern.functions.text import one_decimal, strip
 from lectern.operators.alignment import CHUNK, nearest_segment
+from lectern.session import cut_lineage
 
 # Texts stored in repaired rows.
 COMPLETED_REASON = "程序根据 blog_markdown 中的锚点自动补全"
@@ -18,20 +19,22 @@ KEPT_REASON = "retake 超限，保守保留当前帧"
 
 
 def read_answers(responses: DataFrame) -> DataFrame:
-    """Text-model answers as (keys, blog_markdown, markers, raw_requests).
+    """Text-model answers as (keys, blog_markdown, markers, requests), parsed once.
 
-    ``blog_markdown`` is null unless it is a non-blank string; ``raw_requests``
-    is null unless it is a list.
+    ``blog_markdown`` is null unless it is a non-blank string. ``requests`` is
+    null unless it is a list, with a null for each malformed entry. Every check
+    below reads these columns several times, so they are written once.
     """
     blog = string_field(F.col("obj"), "blog_markdown")
-    return (
+    return cut_lineage(
         responses.withColumn("obj", json_object(F.col("response")))
+        .select(*CHUNK, blog.alias("blog"), items(F.col("obj"), "frame_requests").alias("listed"))
         .select(
             *CHUNK,
-            F.when(strip(blog) != "", blog).alias("blog_markdown"),
-            items(F.col("obj"), "frame_requests").alias("raw_requests"),
+            F.when(strip(F.col("blog")) != "", F.col("blog")).alias("blog_markdown"),
+            anchors(F.coalesce("blog", F.lit(""))).alias("markers"),
+            F.transform("listed", frame_request).alias("requests"),
         )
-        .withColumn("markers", anchors(F.coalesce("blog_markdown", F.lit(""))))
     )
 
 
@@ -45,17 +48,13 @@ def _known_paths(placed: DataFrame) -> DataFrame:
     )
 
 
-def strict_answers(responses: DataFrame, chunks: DataFrame, placed: DataFrame) -> DataFrame:
-    """Per chunk: does the answer satisfy every rule, and its requests if so.
+def strict_answers(answers: DataFrame, chunks: DataFrame, placed: DataFrame) -> DataFrame:
+    """Per chunk: does the answer (from ``read_answers``) satisfy every rule, and its requests if so.
 
     Rules inside one answer are array expressions on its row; only the segment
     count and the candidate paths come from joins.
     """
-    parsed = (
-        read_answers(responses)
-        .join(chunks.select(*CHUNK, "n_segments"), CHUNK, "left")
-        .withColumn("requests", F.transform("raw_requests", frame_request))
-    )
+    parsed = answers.join(chunks.select(*CHUNK, "n_segments"), CHUNK, "left")
     ids, marked = _ids(F.col("requests")), _ids(F.col("markers"))
 
     def agrees(marker: Column) -> Column:
@@ -96,7 +95,7 @@ def strict_answers(responses: DataFrame, chunks: DataFrame, placed: DataFrame) -
 
 
 def repaired_requests(
-    responses: DataFrame, numbered: DataFrame, chunks: DataFrame, placed: DataFrame, **options
+    answers: DataFrame, numbered: DataFrame, chunks: DataFrame, placed: DataFrame, **options
 ) -> DataFrame:
     """One request per anchor of the text, completed where the answer falls short.
 
@@ -104,11 +103,8 @@ def repaired_requests(
     that id is used where valid, a reuse of an unknown frame becomes a new
     capture, and a missing segment number becomes the nearest segment.
     """
-    parsed = read_answers(responses).where("blog_markdown IS NOT NULL")
-    usable = F.filter(
-        F.transform(F.coalesce("raw_requests", F.array().cast("array<variant>")), frame_request),
-        lambda r: r.isNotNull(),
-    )
+    parsed = answers.where("blog_markdown IS NOT NULL")
+    usable = F.filter("requests", lambda r: r.isNotNull())
     marked = _ids(F.col("markers"))
     rows = (
         parsed.withColumn("requests", usable)
@@ -210,8 +206,11 @@ def evaluate_batches(responses: DataFrame, batch_items: DataFrame) -> tuple[Data
     """
     matched = match_decisions(read_decisions(responses), batch_items)
     asked = batch_items.select(*BATCH, F.col("anchor_id").alias("item_id"), "srt_id", "frame_path", "timestamp")
-    judged = matched.join(asked, [*BATCH, "item_id"], "left").withColumn(
-        "e", F.when(F.col("item_id").isNotNull(), frame_decision(F.col("decision"), F.col("frame_path")))
+    verdict = F.when(F.col("item_id").isNotNull(), frame_decision(F.col("decision"), F.col("frame_path")))
+    judged = cut_lineage(
+        matched.join(asked, [*BATCH, "item_id"], "left").select(
+            *BATCH, "pos", "item_id", "srt_id", "timestamp", verdict.alias("e")
+        )
     )
     best = judged.where("e IS NOT NULL").groupBy(*BATCH, "item_id").agg(
         F.min_by(F.struct("srt_id", "timestamp", "e"), "pos").alias("row")

@@ -195,9 +195,9 @@ def split_plan(media: DataFrame, chunk_seconds: float) -> DataFrame:
 def interval_grid(media: DataFrame, interval: float = 30.0) -> DataFrame:
     """Fallback frame times: 0, interval, 2*interval, ... below the duration."""
     n = F.ceil(F.col("duration_sec") / interval)
-    return media.where("duration_sec > 0").select(
-        "video_id",
-        (F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))) * F.lit(float(interval))).alias("timestamp_sec"),
+    steps = F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i")
+    return media.where("duration_sec > 0").select("video_id", steps).select(
+        "video_id", (F.col("i") * F.lit(float(interval))).alias("timestamp_sec")
     )
 
 

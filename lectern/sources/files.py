@@ -39,7 +39,9 @@ def scan_frames(spark: SparkSession, path: str) -> DataFrame:
 
 def encode_images(files: DataFrame) -> DataFrame:
     """Base64 text and media type of image files (path, content)."""
-    return files.select("path", F.base64("content").alias("data"), image_type(F.col("path")).alias("mime"))
+    # base64 may break its output into lines.
+    data = F.translate(F.base64("content"), "\r\n", "")
+    return files.select("path", data.alias("data"), image_type(F.col("path")).alias("mime"))
 
 
 def read_sessions(spark: SparkSession, sessions: str, messages: str) -> tuple[DataFrame, DataFrame]:
@@ -56,9 +58,9 @@ def write_text_files(parts: DataFrame, path: str) -> None:
 
     Meant for hand-over of few videos: every one becomes a folder.
     """
-    parts.select("video_id", "part", "text").write.mode("overwrite").partitionBy("video_id", "part").option(
-        "lineSep", ""
-    ).text(path)
+    # The writer ends each row with a line break of its own.
+    text = F.regexp_replace("text", "\n\\z", "").alias("text")
+    parts.select("video_id", "part", text).write.mode("overwrite").partitionBy("video_id", "part").text(path)
 
 
 def write_reports(pages: DataFrame, path: str) -> None:

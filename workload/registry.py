@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from workload import timeline
+from workload import answers, links, operations, texts, timeline
 
-ALL: dict = {**timeline.QUERIES}
+ALL: dict = {**timeline.QUERIES, **texts.QUERIES, **links.QUERIES, **answers.QUERIES, **operations.QUERIES}
