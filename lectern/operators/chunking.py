@@ -51,10 +51,10 @@ def _opening_time(start: Column, seconds: float) -> Column:
     tried as well.
     """
     guess = start + F.lit(seconds)
-    steps = [guess * (1 - k * 2.0**-53) for k in (2, 1)] + [guess] + [
-        guess * (1 + k * 2.0**-52) for k in (1, 2)
-    ]
-    return F.coalesce(*[F.when(x - start >= seconds, x) for x in steps])
+    # Between half and one unit in the last place: one rounding step either way.
+    step = F.abs(guess) * (2.0**-53 * (1 + 2.0**-10))
+    tries = [guess - step - step, guess - step, guess, guess + step, guess + step + step]
+    return F.coalesce(*[F.when(x - start >= seconds, x) for x in tries])
 
 
 def _chain(starts: DataFrame, seconds: float, max_rows: int) -> DataFrame:

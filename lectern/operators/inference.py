@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.model_output import ANCHOR
 from lectern.session import cut_lineage
 
 Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -136,9 +135,3 @@ def echo_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A deterministic stand-in for tests: answers the JSON found in its prompt."""
     for batch in batches:
         yield batch.assign(response=batch["prompt"]).drop(columns="prompt")
-
-
-__all__ = [
-    "ANCHOR", "echo_model", "infer", "infer_with_retries", "log_to_keep", "text_prompt",
-    "text_repair_prompt", "vision_context", "vision_repair_prompt",
-]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.links import file_language, language
-from lectern.operators.ordering import ordered, ordinal, running_sum
+from lectern.operators.ordering import ordered, ordinal
 from lectern.session import cut_lineage
 
 # Suffixes and source names, best first.
@@ -85,8 +85,9 @@ def unique_names(rows: DataFrame, order: list[str], **options) -> DataFrame:
 
     Rows take names in ``order``, each the first free one of its list. Copies of
     one name take consecutive numbers at once. Where a made-up name is also an
-    earlier row's name, that number is lost to this row and to all later copies,
-    which move up together until nothing clashes.
+    earlier row's own name, that number is lost to this row and to all later
+    copies, which move up by one together; one such loss per name is settled in
+    each round.
     """
     rows = ordered(rows, ["folder"], order, {"__seq": ordinal()}, **options)
     rows = ordered(rows, ["folder", "name"], ["__seq"], {"__try": ordinal()}, **options)
@@ -96,15 +97,15 @@ def unique_names(rows: DataFrame, order: list[str], **options) -> DataFrame:
     while True:
         rows = rows.withColumn("target", F.when(F.col("__try") == 1, F.col("name")).otherwise(made))
         owners = rows.groupBy("folder", "target").agg(F.min("__seq").alias("__owner"))
-        rows = cut_lineage(
-            rows.join(owners, ["folder", "target"]).withColumn(
-                "__lost", (F.col("__seq") > F.col("__owner")).cast("long")
-            )
+        rows = cut_lineage(rows.join(owners, ["folder", "target"]))
+        losses = cut_lineage(
+            rows.where("__seq > __owner").groupBy("folder", "name").agg(F.min("__seq").alias("__first"))
         )
-        if rows.where("__lost = 1").isEmpty():
-            return rows.drop("__lost", "__owner", "__seq", "__try")
+        if losses.isEmpty():
+            return rows.drop("__owner", "__seq", "__try")
+        moved = F.coalesce((F.col("__seq") >= F.col("__first")).cast("long"), F.lit(0))
         rows = (
-            ordered(rows, ["folder", "name"], ["__seq"], {"__shift": running_sum(F.col("__lost"))}, **options)
-            .withColumn("__try", F.col("__try") + F.col("__shift"))
-            .drop("__lost", "__owner", "__shift", "target")
+            rows.join(losses, ["folder", "name"], "left")
+            .withColumn("__try", F.col("__try") + moved)
+            .drop("__owner", "__first", "target")
         )

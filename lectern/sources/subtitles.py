@@ -134,9 +134,6 @@ def subtitle_tracks(payloads: DataFrame) -> DataFrame:
     )
 
 
-_ROW = "array<struct<content:string,`from`:double,`to`:double>>"
-
-
 def subtitle_body(body: Column) -> Column:
     """Subtitle rows from the first of four places that holds a list."""
     obj = F.try_parse_json(body)

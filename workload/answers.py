@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import model_output as mo
 from lectern.operators import anchors, dedup, documents, inference, runs
-from lectern.plans.lecture import assemble, prepare
+from lectern.plans.lecture import Prepared, assemble
 from lectern.session import scratch_path
 from lectern.sources import files as file_io
 from workload import tables as t
 from workload.sqlparts import define, query
-from workload.timeline import SETTINGS, _ready
+from workload.timeline import _ready
 
 KEYS = ["video_id", "chunk_index"]
 
@@ -169,7 +169,7 @@ def f25(spark, sf):
 CASE_OF = "(video_id * 31 + chunk_index) % 12"
 
 
-def chunk_answers(ready) -> "F.DataFrame":
+def chunk_answers(ready: Prepared) -> DataFrame:
     """One text-model answer per chunk, twelve kinds of right and wrong."""
     paths = ready.frames.groupBy(*KEYS).agg(F.min("path").alias("fp"))
     rows = (
@@ -627,6 +627,9 @@ SELECT video_id, 0 AS part, '# Lecture ' || video_id || chr(10) || chr(10)
 FROM shown_chunks GROUP BY video_id""")
 
 
+S11 = f"SELECT 'srt_picture' AS name, * FROM ({A11}) UNION ALL SELECT 'blog', * FROM ({A12})"
+
+
 def j18(spark, sf):
     _, blogs, evaluations, _ = _document_inputs(spark, sf)
     return documents.rendered_chunks(blogs, evaluations)
@@ -762,7 +765,7 @@ QUERIES = {
     "a11_subtitle_document": (a11, A11),
     "a12_blog_document": (a12, A12),
     "j18_rendered_chunks": (j18, query("SELECT * FROM shown_chunks")),
-    "s11_document_sink": (s11, None),
+    "s11_document_sink": (s11, S11),
     "a13_last_per_key": (a13, A13),
     "a14_chunk_totals": (a14, A14),
     "d1_dedup_tight": (d1, _greedy_sql(3, 200)),

@@ -16,7 +16,6 @@ SETTINGS = Settings(
     max_images_per_chunk=t.FRAMES_PER_CHUNK,
     frame_match_tolerance=t.TOLERANCE,
 )
-SMALL = {}
 
 
 def _starts(spark, sf):
@@ -172,11 +171,6 @@ SELECT * EXCLUDE (r) FROM (
   FROM requests q LEFT JOIN capped f ON q.video_id = f.video_id AND q.chunk_index = f.chunk_index
   WHERE q.request_type = 'new_capture') WHERE r = 1"""
 
-SRT_SQL = (
-    "printf('%02d:%02d:%02d,%03d', ms({x}) // 3600000, ms({x}) // 60000 % 60, ms({x}) // 1000 % 60, ms({x}) % 1000)"
-)
-
-
 def srt_sql(x: str) -> str:
     ms = f"CAST(round_even(({x}) * 1000, 0) AS BIGINT)"
     return (
