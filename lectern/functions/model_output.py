@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lectern.functions.text import let
+
 # Names and codes that decide results.
 REQUEST_TYPES = ["reuse", "new_capture"]
 CONTENT_TYPES = [
@@ -79,11 +81,6 @@ def json_object(raw: Column) -> Column:
     return F.coalesce(direct, F.try_parse_json(rest))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _fields(obj: Column, *names: str) -> Column:
     """Kind and text of each field: kind is null when the field is absent."""
 
@@ -135,7 +132,7 @@ def _bool(field: Column) -> Column:
 
 def strict_bool(obj: Column, name: str) -> Column:
     """JSON boolean or the strings true/false; anything else is null."""
-    return _let(_fields(obj, name), lambda f: _bool(f[name]))
+    return let(_fields(obj, name), lambda f: _bool(f[name]))
 
 
 def frame_request(item: Column) -> Column:
@@ -163,7 +160,7 @@ def frame_request(item: Column) -> Column:
         return F.when(valid, r.dropFields("no_path"))
 
     names = ["anchor_id", "srt_id", "timestamp", "request_type", "source_frame_path", "reason"]
-    return _let(_let(_fields(item, *names), read), check)
+    return let(let(_fields(item, *names), read), check)
 
 
 def frame_decision(item: Column, frame_path: Column) -> Column:
@@ -196,7 +193,7 @@ def frame_decision(item: Column, frame_path: Column) -> Column:
         "frame", "keep_image", "content_type", "caption", "text_representation", "reason",
         "retake", "retake_timestamp",
     ]
-    return F.when(_is_object(item), _let(_let(_fields(item, *names), read), check))
+    return F.when(_is_object(item), let(let(_fields(item, *names), read), check))
 
 
 def items(obj: Column, name: str) -> Column:
@@ -206,7 +203,7 @@ def items(obj: Column, name: str) -> Column:
 
 def string_field(obj: Column, name: str) -> Column:
     """A field if it is a JSON string."""
-    return _let(_fields(obj, name), lambda f: _string(f[name]))
+    return let(_fields(obj, name), lambda f: _string(f[name]))
 
 
 def anchors(markdown: Column) -> Column:

@@ -11,6 +11,10 @@ NARROW_CHARS = ",.!?:; "
 BRACKETED = r"(?d)[\[【（(].*?[\]】）)]"
 SENTENCE_END = "。.!?！？"
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 DIGITS = r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+$"
 SRT_TIME = r"\d{1,2}:\d{2}:\d{2}[,.]\d{3}"
@@ -18,9 +22,14 @@ VTT_TIME = r"\d{1,2}:\d{2}:\d{2}\.\d{3}|\d{1,2}:\d{2}\.\d{3}"
 FRAME_NAME_TIME = r"(\d+)h(\d+)m(\d+)s(\d+)?ms?"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:
@@ -42,7 +51,7 @@ def clean_transcript(raw: Column) -> Column:
 
 def collapse_repeats(rows: Column) -> Column:
     """Drop each element that equals the one before it."""
-    return F.filter(rows, lambda x, i: (i == 0) | (x != F.get(rows, i - 1)))
+    return let(rows, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x != F.get(all_, i - 1))))
 
 
 def strip_timestamps(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import midpoint, repair_midpoint
 from lectern.operators.chunking import even_positions
-from lectern.operators.ordering import nearest, ordered, ordinal, running_max, sweep
+from lectern.operators.ordering import group_size, nearest, ordered, ordinal, running_max, sweep
 
 CHUNK = ["video_id", "chunk_index"]
 
@@ -85,13 +85,9 @@ def distribute_frames(chunks: DataFrame, frames: DataFrame, **options) -> DataFr
 
 def cap_frames(placed: DataFrame, k: int, **options) -> DataFrame:
     """At most ``k`` frames per chunk, evenly spread over its frames in time order."""
-    sizes = placed.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("__n"))
-    numbered = ordered(placed, CHUNK, ["timestamp_sec", "frame_id"], {"__pos": ordinal()}, **options)
-    return (
-        numbered.join(sizes, CHUNK)
-        .where(even_positions(F.col("__pos") - 1, F.col("__n"), k))
-        .select(*placed.columns)
-    )
+    specs = {"__pos": ordinal(), "__n": group_size()}
+    numbered = ordered(placed, CHUNK, ["timestamp_sec", "frame_id"], specs, **options)
+    return numbered.where(even_positions(F.col("__pos") - 1, F.col("__n"), k)).select(*placed.columns)
 
 
 def attach_to_segments(numbered: DataFrame, placed: DataFrame, **options) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.model_output import (
     REQUEST_STRUCT, anchors, frame_decision, frame_request, items, json_object, string_field,
 )
-from lectern.functions.text import one_decimal, strip
+from lectern.functions.text import let, one_decimal, strip
 from lectern.operators.alignment import CHUNK, nearest_segment
 from lectern.session import cut_lineage
 
@@ -105,12 +105,14 @@ def repaired_requests(
     """
     parsed = answers.where("blog_markdown IS NOT NULL")
     usable = F.filter("requests", lambda r: r.isNotNull())
-    marked = _ids(F.col("markers"))
     rows = (
         parsed.withColumn("requests", usable)
         .withColumn(
             "markers",
-            F.filter("markers", lambda m, i: F.array_position(marked, m["anchor_id"]) == i + 1),
+            let(
+                _ids(F.col("markers")),
+                lambda ids: F.filter("markers", lambda m, i: F.array_position(ids, m["anchor_id"]) == i + 1),
+            ),
         )
         .select(*CHUNK, "requests", F.posexplode("markers").alias("pos", "m"))
         .select(

@@ -18,6 +18,10 @@ from lectern.operators.ordering import ordered, ordinal
 
 PART_ROWS = 10_000
 
+# Wording of the printed pieces.
+PICTURE = ("![图](", ")")
+CANDIDATE = ("![picture ", " @ ", "s](", ")")
+
 
 def stitch(
     pieces: DataFrame,
@@ -111,8 +115,9 @@ def annotated_chunks(numbered: DataFrame, placed: DataFrame, **options) -> DataF
         F.col("timestamp_sec").alias("at"),
         "frame_id",
         F.concat(
-            F.lit("![picture "), F.col("__picture").cast("string"), F.lit(" @ "),
-            one_decimal(F.col("timestamp_sec")), F.lit("s]("), F.col("path"), F.lit(")\n"),
+            F.lit(CANDIDATE[0]), F.col("__picture").cast("string"), F.lit(CANDIDATE[1]),
+            one_decimal(F.col("timestamp_sec")), F.lit(CANDIDATE[2]), F.col("path"),
+            F.lit(CANDIDATE[3] + "\n"),
         ).alias("piece"),
     )
     # Cues sort before their pictures: frame times are never negative.
@@ -126,7 +131,7 @@ def picture_markdown(
 ) -> Column:
     """A kept frame as Markdown, with its caption and transcribed text below."""
     image = F.concat(
-        F.lit(f"![图]({prefix}"), F.element_at(F.split(frame_path, "/"), -1), F.lit(")")
+        F.lit(PICTURE[0] + prefix), F.element_at(F.split(frame_path, "/"), -1), F.lit(PICTURE[1])
     )
     title, body = strip(F.coalesce(caption, F.lit(""))), strip(F.coalesce(representation, F.lit("")))
     none = F.array().cast("array<string>")
@@ -254,10 +259,17 @@ def blog_document(
 
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:
-    """Chunks per video, how many were not degraded, and each degraded index."""
+    """Chunks per video, how many were not degraded, and each degraded index.
+
+    One row per degraded chunk, or one with a null index. The degraded chunks are
+    the probe side of the join, so a video with very many of them can be split.
+    """
     totals = chunks.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("chunks_total"),
         F.count_if(~F.col("degraded")).alias("chunks_succeeded"),
     )
     failed = chunks.where("degraded").select("video_id", F.col("chunk_index").alias("failed_chunk"))
-    return totals.join(failed, "video_id", "left")
+    clean = totals.where("chunks_total = chunks_succeeded")
+    return failed.join(totals, "video_id").unionByName(clean, allowMissingColumns=True).select(
+        "video_id", "chunks_total", "chunks_succeeded", "failed_chunk"
+    )

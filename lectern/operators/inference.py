@@ -22,6 +22,7 @@ VISION_REPAIR = (
     "你上一次的输出无法被程序解析为要求的 JSON。请只输出修正后的完整 JSON，不要输出解释。\n\n<RAW>",
     "</RAW>",
 )
+VISION_CONTEXT = ("\n锚点：[[FRAME:", "@", "]]\n上下文字幕：", "\n帧路径：", "\n")
 
 
 def text_repair_prompt(response: Column) -> Column:
@@ -40,10 +41,8 @@ def text_prompt(template: str, annotated: Column) -> Column:
 
 def vision_context(anchor_id: Column, timestamp: Column, subtitle: Column, path: Column) -> Column:
     """The text block that precedes one image of a vision request."""
-    return F.concat(
-        F.lit("\n锚点：[[FRAME:"), anchor_id, F.lit("@"), timestamp.cast("string"),
-        F.lit("]]\n上下文字幕："), subtitle, F.lit("\n帧路径："), path, F.lit("\n"),
-    )
+    a, b, c, d, e = (F.lit(x) for x in VISION_CONTEXT)
+    return F.concat(a, anchor_id, b, timestamp.cast("string"), c, subtitle, d, path, e)
 
 
 def infer(prompts: DataFrame, fn: Batches, keys: list[str], parallelism: int | None = None) -> DataFrame:

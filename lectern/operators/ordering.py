@@ -11,6 +11,7 @@ with one row per (group, block) carries totals and last values across them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,11 @@ def ordinal() -> Spec:
     return Spec("ordinal")
 
 
+def group_size() -> Spec:
+    """Number of rows in the group."""
+    return Spec("size")
+
+
 def running_sum(value: Column, inclusive: bool = True) -> Spec:
     return Spec("sum", value, inclusive)
 
@@ -64,6 +70,8 @@ def next_value(value: Column, inclusive: bool = True) -> Spec:
 
 
 def _combine(kind: str, near: Column, far: Column) -> Column:
+    if kind == "size":
+        return far
     if kind in ("ordinal", "sum"):
         return F.when(near.isNull() & far.isNull(), None).otherwise(
             F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0))
@@ -75,6 +83,8 @@ def _combine(kind: str, near: Column, far: Column) -> Column:
 
 def _windowed(spec: Spec, partition: list[str], order: list[Column], reverse: list[Column]) -> Column:
     forward = Window.partitionBy(*partition).orderBy(*order)
+    if spec.kind == "size":
+        return F.count(F.lit(1)).over(Window.partitionBy(*partition))
     if spec.kind == "ordinal":
         return F.row_number().over(forward).cast("long")
     # "next" walks the reversed order: a frame that ends at the current row is
@@ -122,7 +132,7 @@ def ordered(
     across_back = Window.partitionBy(*keys).orderBy(F.col(_BLOCK).desc())
     for name, spec in specs.items():
         cell = f"__t_{name}"
-        if spec.kind == "ordinal":
+        if spec.kind in ("ordinal", "size"):
             totals.append(F.count(F.lit(1)).alias(cell))
         elif spec.kind == "sum":
             totals.append(F.sum(spec.value).alias(cell))
@@ -134,8 +144,11 @@ def ordered(
             totals.append(F.min_by(spec.value, F.when(spec.value.isNotNull(), F.col(_ROW))).alias(cell))
         base = across_back if spec.kind == "next" else across
         frame = base.rowsBetween(Window.unboundedPreceding, -1)
+        if spec.kind == "size":
+            frame = Window.partitionBy(*keys)
         agg = {
             "ordinal": F.sum(cell),
+            "size": F.sum(cell),
             "sum": F.sum(cell),
             "max": F.max(cell),
         }.get(spec.kind, F.last(cell, ignorenulls=True))
@@ -150,7 +163,11 @@ def ordered(
             for n, s in specs.items()
         ],
     )
-    return near.join(far, [*keys, _BLOCK], "left").select(
+    far = far.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, _BLOCK]})
+    same = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, _BLOCK]]
+    )
+    return near.join(far, same, "left").select(
         *[F.col(c) for c in df.columns],
         *[
             _combine(s.kind, F.col(f"__near_{n}"), F.col(f"__far_{n}")).alias(n)

@@ -11,12 +11,16 @@ PAGE_MESSAGES = 10_000
 
 
 def with_messages(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Sessions left-joined to their messages."""
-    return sessions.join(
-        messages.withColumnsRenamed({"id": "message_id", "created_at": "message_created_at"}),
-        F.col("id") == F.col("session_id"),
-        "left",
-    ).drop("session_id")
+    """Sessions left-joined to their messages.
+
+    Written as messages joined to sessions plus the sessions without any: the
+    large side is then the probe side, which Spark can split for a session with
+    very many messages.
+    """
+    sent = messages.withColumnsRenamed({"id": "message_id", "created_at": "message_created_at"})
+    used = messages.select(F.col("session_id").alias("id")).distinct()
+    joined = sent.join(sessions, F.col("session_id") == F.col("id")).drop("session_id")
+    return joined.unionByName(sessions.join(used, "id", "left_anti"), allowMissingColumns=True)
 
 
 def listing(sessions: DataFrame, messages: DataFrame) -> DataFrame:

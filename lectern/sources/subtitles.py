@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import DIGITS, SRT_TIME, VTT_TIME, lines, parse_time, strip
+from lectern.functions.text import DIGITS, SRT_TIME, VTT_TIME, let, lines, parse_time, strip
 from lectern.operators.documents import full_text
 
+# Names of unlabelled tracks and the parts of a minimum length.
+TRACK_ID = "subtitle-"
+TRACK_LABEL = "字幕 "
+SPEAKER_MARK = ">>"
+LEAST_SECONDS = 0.2
+OPEN_CUE_SECONDS = 3.0
+
 TIMED_SUFFIX = r"(?i)\.(srt|vtt)\z"
 
 _TIMING = rf"(?U)\A({SRT_TIME}|{VTT_TIME})\s*-->\s*({SRT_TIME}|{VTT_TIME})"
@@ -25,15 +32,9 @@ def cues(text: Column) -> Column:
     # splitlines also breaks at lone carriage returns; blocks break at blank lines.
     blocks = F.split(strip(text), r"(?U)\n\s*\n")
 
-    def cue(block: Column) -> Column:
-        rows = F.filter(
-            F.transform(lines(block), strip), lambda x: (x != "") & (F.upper(x) != "WEBVTT")
-        )
-        at = F.array_position(F.transform(rows, lambda x: x.rlike(_TIMING)), True)
-        timing = F.get(rows, at.cast("int") - 1)
-        body = F.filter(
-            F.slice(rows, at.cast("int") + 1, F.size(rows)), lambda x: ~x.rlike(f"(?U){DIGITS}")
-        )
+    def read(rows: Column, at: Column) -> Column:
+        timing = F.get(rows, at - 1)
+        body = F.filter(F.slice(rows, at + 1, F.size(rows)), lambda x: ~x.rlike(f"(?U){DIGITS}"))
         return F.when(
             at > 0,
             F.struct(
@@ -43,6 +44,18 @@ def cues(text: Column) -> Column:
             ),
         )
 
+    def cue(block: Column) -> Column:
+        kept = F.filter(
+            F.transform(lines(block), strip), lambda x: (x != "") & (F.upper(x) != "WEBVTT")
+        )
+        return let(
+            kept,
+            lambda rows: let(
+                F.array_position(F.transform(rows, lambda x: x.rlike(_TIMING)), True).cast("int"),
+                lambda at: read(rows, at),
+            ),
+        )
+
     found = F.transform(blocks, cue)
     good = F.filter(found, lambda c: c.isNotNull() & (c["text"] != "") & (c["end"] > c["start"]))
     placed = F.transform(good, lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), i.alias("i"), c["text"].alias("text")))
@@ -93,11 +106,11 @@ def timed_transcript(payloads: DataFrame) -> DataFrame:
     """Rows of ``content[]{text, offset, duration}`` payloads (video_id, body), in ms."""
     listed = F.from_json("body", "content array<struct<text:string,offset:double,duration:double>>")["content"]
     rows = payloads.select("video_id", F.posexplode(listed).alias("position", "c"))
-    text = strip(F.replace(F.coalesce("c.text", F.lit("")), F.lit(">>"), F.lit("")))
+    text = strip(F.replace(F.coalesce("c.text", F.lit("")), F.lit(SPEAKER_MARK), F.lit("")))
     start = F.coalesce("c.offset", F.lit(0.0)) / 1000.0
     return rows.select(
         "video_id", "position", text.alias("text"), start.alias("start"),
-        (start + F.greatest(F.coalesce("c.duration", F.lit(0.0)) / 1000.0, F.lit(0.2))).alias("end"),
+        (start + F.greatest(F.coalesce("c.duration", F.lit(0.0)) / 1000.0, F.lit(LEAST_SECONDS))).alias("end"),
     ).where("text <> ''")
 
 
@@ -126,8 +139,8 @@ def subtitle_tracks(payloads: DataFrame) -> DataFrame:
         .select(
             "video_id",
             (F.col("p") + 1).alias("position"),
-            F.coalesce("t.lan", "t.lan_doc", F.concat(F.lit("subtitle-"), number)).alias("id"),
-            F.coalesce("t.lan_doc", "t.lan", F.concat(F.lit("字幕 "), number)).alias("label"),
+            F.coalesce("t.lan", "t.lan_doc", F.concat(F.lit(TRACK_ID), number)).alias("id"),
+            F.coalesce("t.lan_doc", "t.lan", F.concat(F.lit(TRACK_LABEL), number)).alias("label"),
             F.coalesce("t.lan", F.lit("")).alias("lan"),
             "t.url",
         )
@@ -158,5 +171,5 @@ def body_segments(payloads: DataFrame) -> DataFrame:
     return rows.select(
         "video_id", "position", strip(F.coalesce("r.content", F.lit(""))).alias("text"),
         start.alias("start"),
-        F.when(F.col("r.to") > start, F.col("r.to")).otherwise(start + 3.0).alias("end"),
+        F.when(F.col("r.to") > start, F.col("r.to")).otherwise(start + OPEN_CUE_SECONDS).alias("end"),
     ).where("text <> ''")

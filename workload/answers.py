@@ -24,7 +24,7 @@ MARKED = "text || chr(10) || '[[FRAME:a' || (doc_id % 3) || '@' || doc_id || '.2
 
 
 def marked(spark, sf):
-    return t.read(spark, sf, "documents").select("doc_id", F.expr(MARKED).alias("markdown"))
+    return t.read_texts(spark, sf).select("doc_id", F.expr(MARKED).alias("markdown"))
 
 
 def f19(spark, sf):
@@ -54,7 +54,7 @@ SELECT doc_id, text || chr(10) || '[[FRAME:c' || doc_id || '_a' || (doc_id % 3)
 
 
 def wrapped(spark, sf):
-    docs = t.read(spark, sf, "documents").withColumn(
+    docs = t.read_texts(spark, sf).withColumn(
         "j", F.to_json(F.struct(F.col("text").alias("blog_markdown"), F.col("doc_id").alias("n")))
     )
     raw = F.expr("""CASE doc_id % 8
@@ -408,7 +408,7 @@ FROM rounds WHERE round < 2 AND retake""")
 
 
 def prompts(spark, sf):
-    return t.read(spark, sf, "documents").select(
+    return t.read_texts(spark, sf).select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("text")).alias("prompt")
     )
 
@@ -476,7 +476,7 @@ def s13(spark, sf):
 
 
 def f27(spark, sf):
-    docs = t.read(spark, sf, "documents")
+    docs = t.read_texts(spark, sf)
     name = F.concat(F.lit("a"), F.col("doc_id").cast("string"))
     return docs.select(
         "doc_id", inference.text_prompt("Polish this:\n{chunk_text}\nEnd.", F.col("text")).alias("prompt"),
@@ -627,7 +627,7 @@ SELECT video_id, 0 AS part, '# Lecture ' || video_id || chr(10) || chr(10)
 FROM shown_chunks GROUP BY video_id""")
 
 
-S11 = f"SELECT 'srt_picture' AS name, * FROM ({A11}) UNION ALL SELECT 'blog', * FROM ({A12})"
+S11 = f"SELECT 'subtitles' AS name, * FROM ({A11}) UNION ALL SELECT 'blog', * FROM ({A12})"
 
 
 def j18(spark, sf):
@@ -639,7 +639,7 @@ def s11(spark, sf):
     """Both documents written and read back."""
     ready, blogs, evaluations, titles = _document_inputs(spark, sf)
     out = []
-    for name, doc in zip(("srt_picture", "blog"), assemble(ready, blogs, evaluations, titles)):
+    for name, doc in zip(("subtitles", "blog"), assemble(ready, blogs, evaluations, titles)):
         path = scratch_path(spark, name)
         file_io.write_texts(doc, path)
         out.append(spark.read.schema("video_id bigint, part int, text string").json(path).withColumn("name", F.lit(name)))

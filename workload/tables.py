@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import spread
 from workload.sqlparts import define
 
 SEGMENT_MINUTES = 2880.0
@@ -24,6 +25,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over the cores: their texts are long."""
+    return spread(read(spark, sf, "documents"))
+
+
 MS = "timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
 MS_SQL = "((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 1000)"
 

@@ -19,7 +19,7 @@ DECORATION = "\n[音乐]，测试。完成！\n 重复行 \n重复行\n\n\n（
 
 
 def raw_texts(spark, sf):
-    return t.read(spark, sf, "documents").select(
+    return t.read_texts(spark, sf).select(
         F.col("doc_id").alias("video_id"),
         F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(DECORATION)).otherwise("")).alias("text"),
     )
@@ -453,7 +453,7 @@ FROM conversations WHERE {STRIP.format(x='text')} <> ''"""
 
 
 def untimed(spark, sf):
-    return t.read(spark, sf, "documents").select(
+    return t.read_texts(spark, sf).select(
         F.col("doc_id").alias("video_id"), "text",
         F.expr("CASE WHEN doc_id % 5 = 0 THEN 0D ELSE CAST(n_chars AS DOUBLE) / 8 END").alias("duration_sec"),
     )
@@ -483,7 +483,7 @@ FROM synthetic_starts""")
 
 
 def media(spark, sf):
-    return t.read(spark, sf, "documents").select(
+    return t.read_texts(spark, sf).select(
         F.col("doc_id").alias("video_id"), F.expr("CAST(n_chars AS DOUBLE) / 8").alias("duration_sec")
     )
 
