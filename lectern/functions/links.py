@@ -23,8 +23,10 @@ VIDEO_ID_PATTERNS = {
     "bilibili": [r"(BV[0-9A-Za-z]+)"],
     "youtube": [r"(?:v=|youtu\.be/|shorts/|live/|embed/)([0-9A-Za-z_-]{11})"],
     "douyin": [r"/video/(\d+)", r"modal_id=(\d+)", r"aweme_id=(\d+)"],
-    "kuaishou": [r"short-video/(\w+)", r"photoId=(\w+)", r"photoId%3D(\w+)"],
+    "kuaishou": [r"(?U)short-video/(\w+)", r"(?U)photoId=(\w+)", r"(?U)photoId%3D(\w+)"],
 }
+HOST = r"(?i)\A[\x00-\x20]*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#]*@)?([^:/?#]*)"
+PAGE = r"\A[^#]*?[?&]p=([^&#]+)"
 ZH_LABEL = "zh|cn|中文|汉语|简体|繁體"
 EN_LABEL = "en|english|英文"
 
@@ -52,7 +54,8 @@ def extract_source(text: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.rtrim(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("."))
+    """Lower-case host name, by pattern: share links hold characters that URI parsers refuse."""
+    return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def platform(url: Column) -> Column:
@@ -96,10 +99,7 @@ def canonical_douyin(url: Column) -> Column:
 
 def page_number(url: Column) -> Column:
     """Part number in the query string, 1 when absent."""
-    return F.coalesce(
-        F.nullif(F.try_parse_url(url, F.lit("QUERY"), F.lit("p")), F.lit("")).try_cast("int"),
-        F.lit(1),
-    )
+    return F.coalesce(_first(url, PAGE).try_cast("int"), F.lit(1))
 
 
 def language(raw: Column) -> Column:

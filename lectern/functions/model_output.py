@@ -119,7 +119,7 @@ def _number(field: Column) -> Column:
 def _whole(field: Column) -> Column:
     """The field as an integer: numbers truncate, strings must be whole."""
     return F.when(
-        (field["kind"] != "STRING") | field["text"].rlike(r"\A\s*[+-]?\d+\s*\z"), _number(field).cast("int")
+        (field["kind"] != "STRING") | field["text"].rlike(r"\A\s*[+-]?\d+\s*\z"), _number(field).try_cast("int")
     )
 
 

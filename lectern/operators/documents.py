@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions.model_output import ANCHOR
 from lectern.functions.text import (
-    display_end, display_start, hms, lines, one_decimal, srt_range, strip,
+    SPACES, display_end, display_start, hms, lines, one_decimal, srt_range, strip,
 )
 from lectern.operators.alignment import CHUNK, attach_to_segments
-from lectern.operators.ordering import ordered, ordinal
+from lectern.operators.ordering import group_size, ordered, ordinal
 
 PART_ROWS = 10_000
 
@@ -33,13 +33,17 @@ def stitch(
     part_rows: int = PART_ROWS,
     **options,
 ) -> DataFrame:
-    """Join the pieces of each key in order: (keys, part, n_pieces, text)."""
-    placed = ordered(pieces.select(*keys, *order, text), keys, order, {"__pos": ordinal()}, **options)
+    """Join the pieces of each key in order: (keys, part, n_parts, text).
+
+    The parts of a key, joined by ``separator``, are its whole text.
+    """
+    specs = {"__pos": ordinal(), "__n": group_size()}
+    placed = ordered(pieces.select(*keys, *order, text), keys, order, specs, **options)
     return (
         placed.withColumn("part", F.floor((F.col("__pos") - 1) / part_rows).cast("int"))
         .groupBy(*keys, "part")
         .agg(
-            F.count(F.lit(1)).alias("n_pieces"),
+            F.ceil(F.max("__n") / part_rows).cast("int").alias("n_parts"),
             F.array_join(
                 F.transform(
                     F.array_sort(F.collect_list(F.struct(F.col("__pos"), F.col(text).alias("t")))),
@@ -53,7 +57,8 @@ def stitch(
 
 def srt_from_results(segments: DataFrame, **options) -> DataFrame:
     """SRT text of recognised segments; numbers count skipped rows, so gaps stay."""
-    numbered = ordered(segments, ["video_id"], ["seq"], {"number": ordinal()}, **options)
+    sized = {k: v for k, v in options.items() if k != "part_rows"}
+    numbered = ordered(segments, ["video_id"], ["seq"], {"number": ordinal()}, **sized)
     cues = numbered.where(
         F.col("start").isNotNull() & F.col("end").isNotNull() & (strip(F.col("text")) != "")
     ).withColumn(
@@ -70,7 +75,8 @@ def srt_from_results(segments: DataFrame, **options) -> DataFrame:
 
 def srt_from_rows(segments: DataFrame, **options) -> DataFrame:
     """SRT text of subtitle rows, all of them numbered from 1."""
-    numbered = ordered(segments, ["video_id"], ["seq"], {"number": ordinal()}, **options)
+    sized = {k: v for k, v in options.items() if k != "part_rows"}
+    numbered = ordered(segments, ["video_id"], ["seq"], {"number": ordinal()}, **sized)
     cues = numbered.withColumn(
         "cue",
         F.concat(
@@ -83,7 +89,7 @@ def srt_from_rows(segments: DataFrame, **options) -> DataFrame:
         ),
     )
     out = stitch(cues, ["video_id"], ["seq"], "cue", "\n", **options)
-    return out.withColumn("text", F.concat(strip(F.col("text")), F.lit("\n")))
+    return _finish(out)
 
 
 def full_text(segments: DataFrame, separator: str, order: list[str] | None = None, **options) -> DataFrame:
@@ -165,9 +171,10 @@ def kept_pictures(evaluations: DataFrame) -> DataFrame:
 
 
 def _finish(parts: DataFrame) -> DataFrame:
-    """End each text with exactly one line break."""
-    trimmed = F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+\z", "")
-    return parts.withColumn("text", F.concat(trimmed, F.lit("\n")))
+    """End each text, in its last part, with exactly one line break."""
+    trimmed = F.concat(F.rtrim("text", F.lit(SPACES)), F.lit("\n"))
+    last = F.col("part") == F.col("n_parts") - 1
+    return parts.withColumn("text", F.when(last, trimmed).otherwise(F.col("text")))
 
 
 def subtitle_document(

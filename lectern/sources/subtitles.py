@@ -17,7 +17,7 @@ OPEN_CUE_SECONDS = 3.0
 
 TIMED_SUFFIX = r"(?i)\.(srt|vtt)\z"
 
-_TIMING = rf"(?U)\A({SRT_TIME}|{VTT_TIME})\s*-->\s*({SRT_TIME}|{VTT_TIME})"
+_TIMING = rf"(?U)\A(?:({SRT_TIME})\s*-->\s*({SRT_TIME})|({VTT_TIME})\s*-->\s*({VTT_TIME}))"
 
 
 def read_subtitle_files(spark: SparkSession, path: str) -> DataFrame:
@@ -38,8 +38,9 @@ def cues(text: Column) -> Column:
         return F.when(
             at > 0,
             F.struct(
-                parse_time(F.regexp_extract(timing, _TIMING, 1)).alias("start"),
-                parse_time(F.regexp_extract(timing, _TIMING, 2)).alias("end"),
+                # One of the two forms matched; the groups of the other are empty.
+                parse_time(F.concat(*[F.regexp_extract(timing, _TIMING, g) for g in (1, 3)])).alias("start"),
+                parse_time(F.concat(*[F.regexp_extract(timing, _TIMING, g) for g in (2, 4)])).alias("end"),
                 strip(F.array_join(body, " ")).alias("text"),
             ),
         )

@@ -95,7 +95,7 @@ def test_subtitle_srt(table):
 def test_cue_rules(spark):
     text = (
         "WEBVTT\n\n00:09.000 --> 00:10.000 align:start\nlast\n\nid\n00:00:01.000 --> 00:00:02.000\none\n 77 \n two \n\n"
-        "00:03.000 --> 00:03.000\nno length\n\n00:04.000 --> 00:05.000\n12\n\nno time here\n \n\n00:00:01,000 --> 00:00:01,500\nshorter"
+        "00:00:06,000 --> 00:07.000\nmixed forms\n\n00:03.000 --> 00:03.000\nno length\n\n00:04.000 --> 00:05.000\n12\n\nno time here\n \n\n00:00:01,000 --> 00:00:01,500\nshorter"
     )
     got = value(spark, subtitles.cues(F.lit(text)))
     assert [(c.start, c.end, c.text) for c in got] == [(1.0, 1.5, "shorter"), (1.0, 2.0, "one two"), (9.0, 10.0, "last")]
@@ -146,6 +146,16 @@ def test_text_in_parts(spark):
     assert " ".join(p.text for p in parts) == whole[0].text == " ".join(f"w{i}" for i in range(1000))
 
 
+def test_document_in_parts(spark):
+    """The same for documents: only the last part is trimmed."""
+    segs = spark.range(300).select(
+        F.lit(1).alias("video_id"), F.col("id").alias("seq"), F.lit(" line ").alias("text"), F.lit(1.0).alias("start"), F.lit(2.0).alias("end")
+    )
+    whole = documents.srt_from_rows(segs).collect()
+    parts = documents.srt_from_rows(segs, part_rows=7).orderBy("part").collect()
+    assert len(parts) == 43 and "\n".join(p.text for p in parts) == whole[0].text
+
+
 def test_written_text_files(spark, table, tmp_path):
     parts = table("video_id int, part int, text string", (1, 0, "# A\n\nbody\n"), (2, 0, "# B\n"))
     files.write_text_files(parts, str(tmp_path / "out"))
