@@ -41,14 +41,15 @@ def newest_first(rows: DataFrame) -> DataFrame:
 
 def totals(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """One row: sessions, messages, oldest creation, newest update."""
-    s = sessions.agg(
-        F.count(F.lit(1)).alias("sessions"),
+    rows = sessions.select("created_at", "updated_at", F.lit(True).alias("session")).unionByName(
+        messages.select(F.lit(False).alias("session")), allowMissingColumns=True
+    )
+    return rows.agg(
+        F.count_if("session").alias("sessions"),
+        F.count_if(~F.col("session")).alias("messages"),
         F.min("created_at").alias("oldest"),
         F.max("updated_at").alias("newest"),
     )
-    m = messages.agg(F.count(F.lit(1)).alias("messages"))
-    one = F.lit(1)
-    return s.withColumn("one", one).join(m.withColumn("one", one), "one").drop("one")
 
 
 def messages_by_role(messages: DataFrame) -> DataFrame:

@@ -39,8 +39,13 @@ def rows(n=600, seed=1):
     return out
 
 
-@pytest.mark.parametrize("threshold,limit", [(0.95, 200), (0.9, 100), (0.7, 25), (0.7, 5), (0.5, 3), (1.0, 30)])
-@pytest.mark.parametrize("fold,step", [(10_000, 1000), (50, 10), (50, 3)])
+@pytest.mark.parametrize(
+    "threshold,limit,fold,step",
+    [
+        (0.95, 200, 10_000, 1000), (0.95, 200, 50, 20), (0.9, 100, 50, 20), (0.7, 25, 10_000, 1000), (0.7, 25, 50, 3),
+        (0.7, 5, 50, 10), (0.5, 3, 10_000, 1000), (1.0, 30, 50, 10),
+    ],
+)
 def test_equals_loop(spark, threshold, limit, fold, step):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)

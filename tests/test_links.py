@@ -125,21 +125,22 @@ def taken_in_turn(names):
     return out
 
 
+NAMES = [
+    ["a.jpg", "a.jpg", "a_2.jpg", "a.jpg", "a_2.jpg", "a_2_2.jpg"],
+    ["a_3.jpg", "a_2.jpg", "a.jpg", "a.jpg", "a.jpg", "a.jpg"],
+    ["x", "x", "x_2", "x_3", "x", "x_2"],
+    ["a.jpg"] * 9 + ["b.jpg"],
+    ["a_2.jpg", "a_4.jpg", "a_6.jpg"] + ["a.jpg"] * 8,
+]
+
+
 @pytest.mark.parametrize("max_rows", [1000, 3])
-@pytest.mark.parametrize(
-    "names",
-    [
-        ["a.jpg", "a.jpg", "a_2.jpg", "a.jpg", "a_2.jpg", "a_2_2.jpg"],
-        ["a_3.jpg", "a_2.jpg", "a.jpg", "a.jpg", "a.jpg", "a.jpg"],
-        ["x", "x", "x_2", "x_3", "x", "x_2"],
-        ["a.jpg"] * 9 + ["b.jpg"],
-        ["a_2.jpg", "a_4.jpg", "a_6.jpg"] + ["a.jpg"] * 8,
-    ],
-)
-def test_unique_names(table, names, max_rows):
-    rows = table("folder string, id int, name string", *[("f", i, n) for i, n in enumerate(names)])
-    got = selection.unique_names(rows, ["id"], max_rows=max_rows).orderBy("id").collect()
-    assert [r.target for r in got] == taken_in_turn(names)
+def test_unique_names(table, max_rows):
+    rows = [(f"f{k}", i, n) for k, names in enumerate(NAMES) for i, n in enumerate(names)]
+    got = selection.unique_names(table("folder string, id int, name string", *rows), ["id"], max_rows=max_rows).collect()
+    for k, names in enumerate(NAMES):
+        mine = sorted((r.id, r.target) for r in got if r.folder == f"f{k}")
+        assert [target for _, target in mine] == taken_in_turn(names)
 
 
 def test_catalog(spark, table):

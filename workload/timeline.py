@@ -62,14 +62,16 @@ def w6(spark, sf):
 
 
 def j1(spark, sf):
-    return alignment.frames_in_chunks(_chunks(spark, sf), t.frames(spark, sf)).select(
+    ready = _ready(spark, sf)
+    return alignment.frames_in_chunks(ready.chunks, t.frames(spark, sf), large=ready.large).select(
         "video_id", "frame_id", "chunk_index"
     )
 
 
 def j2(spark, sf):
+    ready = _ready(spark, sf)
     return (
-        alignment.distribute_frames(_chunks(spark, sf), t.frames(spark, sf))
+        alignment.distribute_frames(ready.chunks, t.frames(spark, sf), large=ready.large)
         .where("NOT matched")
         .select("video_id", "frame_id", "chunk_index")
     )
