@@ -109,17 +109,16 @@ def validate_manifests(stored: DataFrame, current: DataFrame) -> DataFrame:
     old = stored.select(*keys, *[F.col(p).alias(f"old_{p}") for p in parts], F.lit(True).alias("has_old"))
     new = current.select(*keys, *[F.col(p).alias(f"new_{p}") for p in parts], F.lit(True).alias("has_new"))
 
-    def digest(side: str) -> Column:
-        both = (F.coalesce("old_frames_digest", F.lit("")) != "") & (
-            F.coalesce("new_frames_digest", F.lit("")) != ""
-        )
-        # Both keys use the current digest: it only says that both sides know one.
-        return F.when(both, F.col("new_frames_digest"))
+    both = (F.coalesce("old_frames_digest", F.lit("")) != "") & (
+        F.coalesce("new_frames_digest", F.lit("")) != ""
+    )
+    # Both keys use the current digest: it only says that both sides know one.
+    digest = F.when(both, F.col("new_frames_digest"))
 
     def key(side: str) -> Column:
         return cache_key(
             F.col(f"{side}_input_sha"), F.col(f"{side}_input_size"), F.col(f"{side}_subtitle_sha"),
-            F.col(f"{side}_subtitle_size"), F.col(f"{side}_config_hash"), digest(side),
+            F.col(f"{side}_subtitle_size"), F.col(f"{side}_config_hash"), digest,
         )
 
     return old.join(new, keys, "full_outer").select(

@@ -149,7 +149,7 @@ def f23(spark, sf):
 def f24(spark, sf):
     raw = _pick([json.dumps(r) for r, _ in REQUESTS], f"CAST(event_id % {len(REQUESTS)} AS INT)")
     return (
-        t.read(spark, sf, "events")
+        t.read_spread(spark, sf, "events")
         .select("event_id", mo.frame_request(F.try_parse_json(raw)).alias("r"))
         .select("event_id", "r.*")
     )
@@ -158,7 +158,7 @@ def f24(spark, sf):
 def f25(spark, sf):
     raw = _pick([json.dumps(r) for r, _ in DECISIONS], f"CAST(event_id % {len(DECISIONS)} AS INT)")
     return (
-        t.read(spark, sf, "events")
+        t.read_spread(spark, sf, "events")
         .select("event_id", mo.frame_decision(F.try_parse_json(raw), F.lit("asked.jpg")).alias("d"))
         .select("event_id", "d.*")
     )

@@ -25,9 +25,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread(read(spark, sf, name))
+
+
 def read_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The documents, spread over the cores: their texts are long."""
-    return spread(read(spark, sf, "documents"))
+    return read_spread(spark, sf, "documents")
 
 
 MS = "timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
