@@ -59,15 +59,15 @@ def host(url: Column) -> Column:
 
 
 def platform(url: Column) -> Column:
-    """Platform by host suffix, null for other hosts."""
-    name = host(url)
-    rules = F.lit(None).cast("string")
-    for key, suffixes in reversed(PLATFORM_HOSTS.items()):
-        hit = F.lit(False)
-        for suffix in suffixes:
-            hit = hit | (name == suffix) | F.endswith(name, F.lit("." + suffix))
-        rules = F.when(hit, key).otherwise(rules)
-    return rules
+    """Platform by host suffix, null for other hosts.
+
+    One match finds the suffix and a literal map names it, so the host is
+    computed once per row.
+    """
+    owner = {suffix: key for key, suffixes in PLATFORM_HOSTS.items() for suffix in suffixes}
+    known = "|".join(suffix.replace(".", r"\.") for suffix in owner)
+    suffix = F.regexp_extract(host(url), rf"(?:\A|\.)({known})\z", 1)
+    return F.element_at(F.create_map(*[F.lit(x) for pair in owner.items() for x in pair]), suffix)
 
 
 def is_supported(url: Column) -> Column:
