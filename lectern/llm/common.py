@@ -141,7 +141,7 @@ def span_list(spans: str) -> Column:
 def redacted(text: str, spans: str) -> Column:
     """The text with every span replaced by ``[KIND]``; overlapping spans become one.
 
-    ``spans`` is sorted by start. The fold first joins overlapping spans (the label
+    Spans of the kind ``removed`` leave nothing. ``spans`` is sorted by start. The fold first joins overlapping spans (the label
     of the first one stays), then the pieces between them are put together.
     """
     return F.expr(
@@ -155,6 +155,6 @@ def redacted(text: str, spans: str) -> Column:
               ELSE named_struct('done', concat(acc.done, array(named_struct('a', acc.a, 's', acc.s, 'e', acc.e, 'k', acc.k))),
                                 'a', acc.e, 's', x.start, 'e', x.end, 'k', x.kind) END,
             acc -> concat(acc.done, array(named_struct('a', acc.a, 's', acc.s, 'e', acc.e, 'k', acc.k)))),
-          p -> concat(substring({text}, p.a + 1, p.s - p.a), '[', upper(p.k), ']')), ''),
+          p -> concat(substring({text}, p.a + 1, p.s - p.a), CASE WHEN p.k = 'removed' THEN '' ELSE concat('[', upper(p.k), ']') END)), ''),
           substring({text}, array_max(transform({spans}, x -> x.end)) + 1)) END"""
     )

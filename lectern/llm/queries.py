@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import secrets
+from lectern.llm import mixing, pii, quality, secrets
 
 QUERIES = {
+    "op3_pii_disclosure": pii.op3,
+    "op4_systematic_mix": mixing.op4,
     "op5_secret_entropy": secrets.op5,
+    "op7_quality_divergence": quality.op7,
+}
+ORACLES: dict[str, str] = {
+    "op4_systematic_mix": mixing.SQL,
 }
-ORACLES: dict[str, str] = {}
