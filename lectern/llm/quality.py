@@ -46,12 +46,17 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 @dataclass(frozen=True)
 class Limits:
-    """Divergence limits and the sizes from which each histogram is judged."""
+    """Divergence limits and the sizes from which each histogram is judged.
+
+    A histogram of n words lies ``noise / n`` from its own source by chance alone, so
+    short documents get that much more room.
+    """
 
     chars: float = 0.12
-    words: float = 0.20
+    words: float = 0.06
+    noise: float = 6.0
     min_chars: int = 250
-    min_words: int = 60
+    min_words: int = 100
 
 
 def _repeat_words(words: str, grams: str) -> str:
@@ -177,7 +182,7 @@ def judge(scored: DataFrame, reference: DataFrame, limits: Limits | None = None)
     )
     odd = [
         (F.col("word_chars") >= limits.min_chars) & (F.coalesce("js_chars", F.lit(0.0)) > limits.chars),
-        (F.col("n_words") >= limits.min_words) & (F.coalesce("js_words", F.lit(0.0)) > limits.words),
+        (F.col("n_words") >= limits.min_words) & (F.coalesce("js_words", F.lit(0.0)) > limits.words + limits.noise / F.col("n_words")),
     ]
     return df.withColumn("kept", ~F.col("base_failed") & ~reduce(Column.__or__, odd)).drop(
         "__llm_lang", *[f"__llm_{part}{n}" for n in ("chars", "common") for part in ("", "share_", "ref_")]
