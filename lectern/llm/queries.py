@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, pii, quality, secrets
+from lectern.llm import mixing, near, pii, quality, secrets
 
 QUERIES = {
     "op3_pii_disclosure": pii.op3,
     "op4_systematic_mix": mixing.op4,
     "op5_secret_entropy": secrets.op5,
+    "op6_superminhash": near.op6,
     "op7_quality_divergence": quality.op7,
 }
 ORACLES: dict[str, str] = {
