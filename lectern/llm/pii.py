@@ -148,26 +148,37 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, near: DataFrame, rules: Disclosure) -> DataFrame:
-    """Pairs (entity, term) at or above a threshold, with ``disclosure`` and ``action``."""
+    """Pairs (entity, term) at or above a threshold, with ``disclosure`` and ``action``.
+
+    The documents with a term near any entity are no more than all with the term, so
+    they bound the disclosure from above: only pairs that can reach the threshold have
+    their terms counted over the whole input.
+    """
     per_text = near.groupBy("entity", "term", "__llm_hash").agg(F.countDistinct("__llm_row").alias("n"))
-    pairs = common.stage(
+    pairs = (
         per_text.groupBy("entity", "term")
         .agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts"))
-        .where(F.col("n_texts") >= rules.min_texts),
-        "pii-pairs",
+        .where(F.col("n_texts") >= rules.min_texts)
     )
     entities = (
         near.select("entity", "__llm_row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     )
+    local = near.select("term", "__llm_row").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     total = docs.agg(F.count("*").alias("n_all"))
-    share = F.ln(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.ln(
-        F.nullif(F.col("n_all") / F.col("n_e"), F.lit(1.0))
+
+    def share(n_t: str) -> Column:
+        return F.ln(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / F.ln(
+            F.nullif(F.col("n_all") / F.col("n_e"), F.lit(1.0))
+        )
+
+    possible = common.stage(
+        pairs.join(local, "term").join(entities, "entity").join(F.broadcast(total))
+        .where(share("n_near") >= rules.generalise),
+        "pii-pairs",
     )
     return (
-        pairs.join(document_counts(docs, pairs.select("term").distinct()), "term")
-        .join(entities, "entity")
-        .join(F.broadcast(total))
-        .withColumn("disclosure", share)
+        possible.join(document_counts(docs, possible.select("term").distinct()), "term")
+        .withColumn("disclosure", share("n_t"))
         .where(F.col("disclosure") >= rules.generalise)
         .select(
             "entity", "term", "disclosure",
