@@ -27,6 +27,18 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns beside the whole row, so that working columns clash with none of it."""
+    return docs.select(F.struct(*docs.columns).alias("__llm_doc"), *columns)
+
+
+def unpacked(df: DataFrame, columns: list[str], **replaced: str) -> DataFrame:
+    """The columns of ``packed`` rows again, some of them replaced by others."""
+    return df.select(
+        *[F.col(replaced[c]).alias(c) if c in replaced else F.col("__llm_doc")[c].alias(c) for c in columns]
+    )
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than ASCII white space; empty array for none."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))

@@ -383,6 +383,18 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     )
 
 
+#: Ids to drop (8 bytes each) up to which they are sent to all executors.
+BROADCAST_ROWS = 1_000_000
+
+
+def select(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The documents with one of each component; rows without shingles or id stay."""
+    gone = common.stage(group(docs, settings).where("NOT kept").select(F.col("doc_id").alias("__llm_id")), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__llm_id"), "left_anti")
+
+
 def op6(spark, sf) -> DataFrame:
     return group(common.documents(spark, sf), Settings(shingle=2))
 

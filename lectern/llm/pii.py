@@ -231,10 +231,12 @@ def sanitise(docs: DataFrame, rules: Disclosure | None = None) -> DataFrame:
     """
     rules = rules or Disclosure()
     terms = term_spans(docs, _inventory(docs, rules), rules)
-    found = find(_row_key(docs))
-    clean = found.where(F.size("pii") == 0).select(*docs.columns)
+    found = find(_row_key(common.packed(docs, "doc_id", "text")))
+    clean = found.where(F.size("pii") == 0)
     held = _attach(found.where(F.size("pii") > 0), terms).withColumn("text", common.redacted("text", "pii"))
-    return clean.unionByName(held.select(*docs.columns))
+    return common.unpacked(clean.select("__llm_doc"), docs.columns).unionByName(
+        common.unpacked(held, docs.columns, text="text")
+    )
 
 
 def op3(spark, sf) -> DataFrame:

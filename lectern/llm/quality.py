@@ -192,12 +192,19 @@ def judge(scored: DataFrame, reference: DataFrame, limits: Limits | None = None)
 def assess(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Documents with base counts, divergences and ``kept``.
 
-    The counts are written once: the references and the verdicts both read them.
+    The counts are written once, with the rows: the references and the verdicts both
+    read them.
     """
     scored = common.stage(features(docs), "quality")
     return judge(scored, references(scored), limits)
 
 
+def select(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The documents that pass, with their own columns."""
+    scored = common.stage(features(common.packed(docs, "text", "lang")).drop("text"), "quality")
+    return common.unpacked(judge(scored, references(scored), limits).where("kept"), docs.columns)
+
+
 def op7(spark, sf) -> DataFrame:
     docs = common.documents(spark, sf).select("doc_id", "lang", "text")
     scored = common.stage(features(docs).drop("text"), "quality")

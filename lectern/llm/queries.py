@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, near, pii, quality, secrets
+from lectern.llm import decontam, mixing, near, pii, quality, secrets
 
 QUERIES = {
+    "op1_edit_matching": decontam.op1,
     "op3_pii_disclosure": pii.op3,
     "op4_systematic_mix": mixing.op4,
     "op5_secret_entropy": secrets.op5,

@@ -115,8 +115,9 @@ def scan(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """The documents with every secret in ``text`` replaced by its kind; null texts stay null."""
-    df = scan(docs, rules)
-    return df.withColumn("text", common.redacted("text", "secrets")).select(*docs.columns)
+    df = scan(common.packed(docs, "text"), rules)
+    df = df.withColumn("text", common.redacted("text", "secrets"))
+    return common.unpacked(df, docs.columns, text="text")
 
 
 def op5(spark, sf) -> DataFrame:
