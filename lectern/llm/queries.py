@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, mixing, near, pii, quality, secrets
+from lectern.llm import decontam, mixing, near, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_edit_matching": decontam.op1,
+    "op2_warc_segments": warc.op2,
     "op3_pii_disclosure": pii.op3,
     "op4_systematic_mix": mixing.op4,
     "op5_secret_entropy": secrets.op5,
@@ -13,5 +14,6 @@ QUERIES = {
     "op7_quality_divergence": quality.op7,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc_segments": warc.SQL,
     "op4_systematic_mix": mixing.SQL,
 }
