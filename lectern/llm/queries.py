@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, mixing, near, pii, quality, secrets, warc
+from lectern.llm import decontam, licenses, mixing, near, pii, quality, secrets, tokens, warc
 
 QUERIES = {
+    "op8_license_index": licenses.op8,
+    "op9_length_histogram": tokens.op9,
     "op1_edit_matching": decontam.op1,
     "op2_warc_segments": warc.op2,
     "op3_pii_disclosure": pii.op3,
