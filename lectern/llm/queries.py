@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, licenses, mixing, near, pii, quality, secrets, tokens, warc
+from lectern.llm import decontam, kneser_ney, licenses, mixing, near, pii, quality, secrets, tokens, warc
 
 QUERIES = {
+    "op10_kneser_ney": kneser_ney.op10,
     "op8_license_index": licenses.op8,
     "op9_length_histogram": tokens.op9,
     "op1_edit_matching": decontam.op1,
