@@ -12,9 +12,10 @@ with its first member only, on their full sets. What a star cannot settle goes o
 
 * members that are not near the first member form a star of their own in the next round;
 * a near miss x of the first member r can still be near a member y of the star, but as
-  1 - similarity is a metric only where sim(y, r) <= sim(x, r) + (1 - threshold). These,
-  and what is left after the rounds, meet in an exact join on the rarest shingles of
-  each set: two sets at or above the threshold share one of them.
+  1 - similarity is a metric only where sim(y, r) <= sim(x, r) + (1 - threshold). These
+  pairs are compared where x and y are not yet in one component;
+* what is left after the rounds meets in an exact join on the rarest shingles of each
+  set: two sets at or above the threshold share one of them.
 
 No bucket is ever expanded into its pairs. Two texts at the threshold share no band with
 probability (1 - threshold ** rows) ** bands, 3e-6 for the defaults.
@@ -49,7 +50,7 @@ class Settings:
     percent: int = 80
     bands: int = 42
     rows: int = 6
-    rounds: int = 3
+    rounds: int = 2
     seed: int = 7
 
 
@@ -234,39 +235,58 @@ def shingles(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, item long, n long")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges of every partition as stars around its smallest reachable ids, by union-find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+        ends = [(x, find(x)) for x in list(root)]
+        ends = [e for e in ends if e[0] != e[1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"]
+        )
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable id per id of ``edges`` (a, b), by alternating star rounds.
+    """Smallest reachable id per id of ``edges`` (a, b).
 
-    Large stars: every node links its larger neighbours to its smallest neighbour;
-    small stars: its smaller ones. Both keep the components, and the edges become
-    stars around the smallest id in about log(diameter) rounds.
+    Union-find inside the partitions first, then alternating star rounds between them:
+    every node links its larger neighbours, then its smaller ones, to its smallest. Both
+    keep the components, and stars around the smallest ids are left after about
+    log(diameter) rounds. A hub is never one row or one task.
     """
-    edges = common.stage(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
-        "edges",
-    )
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def state(df: DataFrame):
+        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+
+    edges = common.stage(_contracted(edges), "edges")
+    before = state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = (
-            both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-            .where("a <> b").distinct()
-        )
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = common.stage(large.where("a <> b").distinct(), "edges")
         least = large.groupBy("a").agg(F.min("b").alias("low"))
-        moved = large.join(least, "a").select(F.col("b"), F.col("low"), F.col("a"))
-        small = (
-            moved.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-            .unionByName(least.select("a", F.col("low").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
-        after = common.stage(small, "edges")
-        # Stars are fixed points: done when the set of edges stays the same.
-        change = after.join(edges, ["a", "b"], "left_anti").limit(1).count()
-        same = not change and after.count() == edges.count()
-        edges = after
-        if same:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        moved = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        edges = common.stage(moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), "edges")
+        after = state(edges)
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def _buckets(postings: DataFrame) -> DataFrame:
@@ -277,49 +297,80 @@ def _buckets(postings: DataFrame) -> DataFrame:
     return postings.join(several.drop("last"), "key")
 
 
-def star_links(postings: DataFrame, texts, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Star rounds over the buckets: the links found, and the ids that need the exact join.
+@dataclass(frozen=True)
+class Stars:
+    """What the star rounds found: links, near misses by bucket, and what no round settled."""
+
+    links: DataFrame
+    misses: DataFrame
+    rest: DataFrame
+    pool: DataFrame
+
+
+def star_links(postings: DataFrame, texts, settings: Settings) -> Stars:
+    """Compare every bucket's members with its first one, the far ones again among themselves.
 
     ``texts(ids)`` gives the texts of some ids.
     """
     t = settings.percent
     members = common.stage(_buckets(postings), "buckets")
     pool = texts(members.select("id").distinct())
-    links, open_ids, seen = [], [], None
+    links, misses, seen = [], [], None
     for number in range(settings.rounds):
         pairs = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
         fresh = common.stage(_verified(pairs, pool, settings), "verified")
-        seen = fresh if seen is None else seen.unionByName(fresh)
         links.append(fresh.where(f"100 * both >= {t} * union").select("a", "b"))
-        scored = members.where("id <> first").join(
-            seen.withColumnsRenamed({"a": "first", "b": "id"}), ["first", "id"]
-        )
-        far = scored.where(f"100 * both < {t} * union")
-        # Near misses, and the members of their star that may be near to them.
-        grey = far.where(f"100 * both > {2 * t - 100} * union")
-        reach = grey.groupBy("key").agg((F.max(F.col("both") / F.col("union")) + (100 - t) / 100 + 1e-9).alias("reach"))
-        reached = (
-            scored.where(f"100 * both >= {t} * union").join(reach, "key")
-            .where(F.col("both") / F.col("union") <= F.col("reach"))
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        scored = common.stage(
+            members.where("id <> first")
+            .join(seen.withColumnsRenamed({"a": "first", "b": "id"}), ["first", "id"])
+            .select("key", "id", (F.col("both") / F.col("union")).alias("sim"), F.expr(f"100 * both >= {t} * union").alias("near")),
+            "scored",
         )
-        open_ids += [grey.select("id"), reached.select("id")]
-        members = common.stage(_buckets(far.select("key", "id")), "buckets")
-        if not members.limit(1).count():
-            break
-    open_ids.append(members.select("id"))
-    all_links = links[0]
-    for more in links[1:]:
-        all_links = all_links.unionByName(more)
-    all_open = open_ids[0]
-    for more in open_ids[1:]:
-        all_open = all_open.unionByName(more)
-    return all_links, pool.join(all_open.distinct(), "id", "left_semi")
+        misses.append(scored.where(F.col("near") | (F.col("sim") > (2 * t - 100) / 100 - 1e-9)).withColumn("round", F.lit(number)))
+        members = common.stage(_buckets(scored.where("NOT near").select("key", "id")), "buckets")
+    return Stars(_union(links), _union(misses), members.select("id").distinct(), pool)
 
 
-def exact_links(open_texts: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Links between open texts of different components, by their rarest shingles.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def missed_pairs(stars: Stars, roots: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of a near miss and a member of its star, of different components, that may be near.
+
+    Of each bucket only the members outside its largest component are taken against the
+    others: a bucket that is one component, as most are, gives nothing.
+    """
+    slack = (100 - settings.percent) / 100 + 1e-9
+    bucket = ["round", "key"]
+    mixed_ = stars.misses.groupBy(*bucket).agg(F.min("near").alias("some"), F.max("near").alias("all")).where("some <> all")
+    rows = common.stage(
+        stars.misses.join(mixed_.select(*bucket), bucket)
+        .join(roots, "id", "left")
+        .withColumn("root", F.coalesce("root", "id")),
+        "misses",
+    )
+    by_root = rows.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
+    main = by_root.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    rows = rows.join(main.where("roots > 1").drop("roots"), bucket)
+    x, y = rows.where("root <> main").alias("x"), rows.alias("y")
+    return x.join(
+        y,
+        F.expr(
+            "x.round = y.round AND x.key = y.key AND x.root <> y.root AND x.near <> y.near"
+            f" AND abs(x.sim - y.sim) <= {slack}"
+        ),
+    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def rare_pairs(open_texts: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of open texts of different components that share one of their rarest shingles.
 
     Of a set of n shingles in any fixed order, the first n - ceil(t * n) + 1 must meet
     those of every set at similarity t. The order here is rarest first.
@@ -336,14 +387,13 @@ def exact_links(open_texts: DataFrame, roots: DataFrame, settings: Settings) ->
         .select("item", "id", "n", F.coalesce("root", "id").alias("root"))
     )
     x, y = heads.alias("x"), heads.alias("y")
-    pairs = x.join(
+    return x.join(
         y,
         F.expr(
             "x.item = y.item AND x.id < y.id AND x.root <> y.root"
             f" AND 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
         ),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return _verified(pairs, open_texts, settings).where(f"100 * both >= {t} * union").select("a", "b")
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -364,11 +414,16 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
         return common.stage(named.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "pool")
 
     postings = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    links, open_texts = star_links(postings, texts, settings)
-    roots = components(links)
-    more = common.stage(exact_links(open_texts, roots, settings), "links")
+    stars = star_links(postings, texts, settings)
+    roots = components(stars.links)
+    rest = stars.pool.join(stars.rest, "id", "left_semi")
+    pairs = missed_pairs(stars, roots, settings).unionByName(rare_pairs(rest, roots, settings)).distinct()
+    more = common.stage(
+        _verified(pairs, stars.pool, settings).where(f"100 * both >= {settings.percent} * union").select("a", "b"),
+        "links",
+    )
     if more.limit(1).count():
-        roots = components(links.unionByName(more))
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.where("n > 1").select("text_key", "rep")
     return (
         rows.drop("bands")
