@@ -39,8 +39,6 @@ TERM = r"\p{L}{4,}"
 ACTIONS = ["generalised", "removed"]
 
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Candidate pairs (16 bytes each) up to which they are sent to all executors.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -134,16 +132,13 @@ def occurrences(found: DataFrame, reach: int) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Documents per term, for the given distinct terms, over all documents."""
-    held = docs.select(
-        F.explode(
-            F.array_distinct(
-                F.transform(F.regexp_extract_all(common.text_of(docs), F.lit(TERM), F.lit(0)), F.lower)
-            )
-        ).alias("word")
-    ).select(F.xxhash64("word").alias("term"))
-    if terms.count() <= BROADCAST_ROWS:
-        return held.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    """Documents per term, for the given distinct terms, over all documents.
+
+    Counted before the join: a frequent term is one row per task then, while joining the
+    words of all documents first would carry each of its occurrences.
+    """
+    words = F.transform(F.regexp_extract_all(common.text_of(docs), F.lit(TERM), F.lit(0)), F.lower)
+    held = docs.select(F.explode(F.array_distinct(words)).alias("word")).select(F.xxhash64("word").alias("term"))
     return held.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
 
 

@@ -16,7 +16,7 @@ def ascii_lower(text):
 def spans(patterns, text, valid):
     found = []
     for rank, (kind, pattern) in enumerate(patterns.items()):
-        for m in re.finditer(pattern, text or ""):
+        for m in re.finditer(pattern, text or "", re.ASCII):
             if valid(kind, m):
                 found.append((m.start(), rank, kind, m.end()))
     return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found))
