@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lectern.functions.text import let
+from lectern.functions.text import let, strip
 
 # Names and codes that decide results.
 REQUEST_TYPES = ["reuse", "new_capture"]
@@ -32,6 +32,9 @@ REQUEST_STRUCT = (
     "request_type:string,source_frame_path:string,reason:string>"
 )
 
+_DIGITS = r"[0-9]+(_[0-9]+)*"
+NUMBER = rf"\A[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?\z"
+
 _TOKENS = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)|[{}]', re.DOTALL)
 
 
@@ -57,9 +60,11 @@ def _salvage(raw: str | None) -> str | None:
     for candidate in (first, raw[raw.find("{"): raw.rfind("}") + 1]):
         try:
             value = json.loads(candidate, parse_constant=lambda _: None)
-        except ValueError:
+            text = json.dumps(value, ensure_ascii=False)
+        except (ValueError, RecursionError):
             continue
-        return json.dumps(value, ensure_ascii=False)
+        # A lone surrogate cannot leave Python as UTF-8.
+        return text.encode("utf-8", "replace").decode("utf-8")
     return None
 
 
@@ -110,9 +115,12 @@ def _text(field: Column, default: Column) -> Column:
 
 def _number(field: Column) -> Column:
     """The field as a finite number, from a JSON number, bool or numeric string."""
+    text = strip(field["text"])
+    # A string counts in plain or exponent form; the JVM would also take type suffixes.
+    text = F.when(field["kind"] != "STRING", text).when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")))
     number = F.when(
         field["kind"] == "BOOLEAN", (field["text"] == "true").cast("double")
-    ).otherwise(field["text"].try_cast("double"))
+    ).otherwise(text.try_cast("double"))
     return F.when(F.abs(number) < float("inf"), number)
 
 
@@ -124,7 +132,7 @@ def _whole(field: Column) -> Column:
 
 
 def _bool(field: Column) -> Column:
-    word = F.lower(F.trim(field["text"]))
+    word = F.lower(strip(field["text"]))
     return F.when(
         field["kind"].isin("BOOLEAN", "STRING"), F.when(word == "true", True).when(word == "false", False)
     )
@@ -273,7 +281,7 @@ def call_outcome(status: Column, retryable: list[int] | None = None) -> Column:
 
 
 def outcome_message(provider: Column, status: Column, body: Column) -> Column:
-    detail = F.trim(F.coalesce(body, F.lit("")))
+    detail = strip(F.coalesce(body, F.lit("")))
     detail = F.when(
         F.length(detail) > MESSAGE_CHARS,
         F.concat(F.substr(detail, F.lit(1), F.lit(MESSAGE_CHARS)), F.lit("…")),

@@ -32,6 +32,14 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACES))
 
 
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(SPACES))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(SPACES))
+
+
 def lines(text: Column) -> Column:
     """Lines of a text, at every Unicode line boundary."""
     return F.split(text, LINE_BREAK)

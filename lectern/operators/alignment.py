@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import midpoint, repair_midpoint
+from lectern.functions.text import midpoint, repair_midpoint, strip
 from lectern.operators.chunking import even_positions
 from lectern.operators.ordering import group_size, nearest, ordered, ordinal, running_max, sweep
 
@@ -159,7 +159,7 @@ def subtitle_of(requests: DataFrame, numbered: DataFrame) -> DataFrame:
     """Requests with the text of their 1-based segment; '' when out of range."""
     texts = numbered.select(*CHUNK, "srt_id", F.col("text").alias("__text"))
     return requests.join(texts, [*CHUNK, "srt_id"], "left").select(
-        *requests.columns, F.trim(F.coalesce("__text", F.lit(""))).alias("subtitle_text")
+        *requests.columns, strip(F.coalesce("__text", F.lit(""))).alias("subtitle_text")
     )
 
 

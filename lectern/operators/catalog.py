@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import strip
+
 # Known models as (id, vendor, inputs, reasoning, context, output),
 # known model families by prefix in order of precedence, and provider aliases.
 MODELS = [
@@ -64,7 +66,7 @@ def models(spark: SparkSession) -> DataFrame:
 
 def catalog_entry(model: Column) -> Column:
     """Catalog entry of a model id: exact, then any case, then the first family prefix."""
-    name = F.trim(model)
+    name = strip(model)
     lowered = F.lower(name)
     by_case = F.create_map(*[F.lit(x) for m in MODELS for x in (m[0].lower(), m[0])])
     family = F.coalesce(
@@ -90,7 +92,7 @@ def capabilities(requests: DataFrame, model: str = "model") -> DataFrame:
 
 def provider_key(name: Column) -> Column:
     """Canonical provider name."""
-    value = F.lower(F.trim(name))
+    value = F.lower(strip(name))
     aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     return F.coalesce(F.element_at(aliases, value), value)
 

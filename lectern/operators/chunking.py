@@ -247,7 +247,7 @@ def even_positions(position: Column, count: Column, k: int) -> Column:
     the ``j`` next to ``i / step`` can.
     """
     if k <= 0:
-        return F.lit(False)
+        raise ValueError("at least one position must be picked")
     if k == 1:
         return position == 0
     step = (count - 1) / F.lit(float(k - 1))

@@ -115,10 +115,10 @@ def deduplicate(
     first frame.
     """
     d_max = largest_duplicate_distance(threshold)
-    if d_max < 0:  # nothing counts as similar
-        return earliest_frames(frames.where("phash IS NOT NULL"), max_frames)
     limit = max(int(max_frames), 1) if math.isfinite(max_frames) else 2**31 - 1
     hashed = frames.where("phash IS NOT NULL").select("video_id", "timestamp_sec", "frame_id", "phash")
+    if d_max < 0:  # nothing counts as similar
+        return _with_unhashed(frames, earliest_frames(hashed, limit))
     # Copies of a hash either fall to its first frame or share its fate.
     first = F.min(F.struct("timestamp_sec", "frame_id")).alias("first")
     hashed = hashed.groupBy("video_id", "phash").agg(first).select(
@@ -134,6 +134,11 @@ def deduplicate(
         )
     else:
         kept = _fold(hashed, d_max, limit)
+    return _with_unhashed(frames, kept)
+
+
+def _with_unhashed(frames: DataFrame, kept: DataFrame) -> DataFrame:
+    """The kept frames, and the first frame of every video that keeps nothing."""
     ids = kept.select("video_id", "frame_id")
     # A video keeps nothing only when none of its frames has a hash.
     first = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.model_output import ANCHOR
 from lectern.functions.text import (
-    SPACES, display_end, display_start, hms, lines, one_decimal, srt_range, strip,
+    SPACES, display_end, display_start, hms, lines, lstrip, one_decimal, rstrip, srt_range, strip,
 )
 from lectern.operators.alignment import CHUNK, attach_to_segments
 from lectern.operators.ordering import group_size, ordered, ordinal
@@ -97,8 +97,14 @@ def full_text(segments: DataFrame, separator: str, order: list[str] | None = Non
     return stitch(segments, ["video_id"], order or ["seq"], "text", separator, **options)
 
 
-def annotated_chunks(numbered: DataFrame, placed: DataFrame, **options) -> DataFrame:
-    """Chunk text for the text model: cues, and frames after their nearest cue."""
+def annotated_chunks(
+    numbered: DataFrame, placed: DataFrame, *, part_rows: int = PART_ROWS, **options
+) -> DataFrame:
+    """Chunk text for the text model: cues, and frames after their nearest cue.
+
+    Parts joined by line ends are the whole text, whatever ``part_rows``: only its outer
+    ends are stripped.
+    """
     cues = numbered.select(
         *CHUNK,
         "srt_id",
@@ -128,8 +134,11 @@ def annotated_chunks(numbered: DataFrame, placed: DataFrame, **options) -> DataF
     )
     # Cues sort before their pictures: frame times are never negative.
     rows = cues.withColumn("kind", F.lit(0)).unionByName(pictures.withColumn("kind", F.lit(1)))
-    out = stitch(rows, CHUNK, ["srt_id", "kind", "at", "frame_id"], "piece", "\n", **options)
-    return out.withColumn("text", strip(F.col("text")))
+    out = stitch(
+        rows, CHUNK, ["srt_id", "kind", "at", "frame_id"], "piece", "\n", part_rows=part_rows, **options
+    )
+    text = F.when(F.col("part") == 0, lstrip(F.col("text"))).otherwise(F.col("text"))
+    return out.withColumn("text", F.when(F.col("part") == F.col("n_parts") - 1, rstrip(text)).otherwise(text))
 
 
 def picture_markdown(

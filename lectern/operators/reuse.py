@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.alignment import earliest_frames
+from lectern.operators.ordering import ordered, ordinal
 
 KEY_CHARS = 16
+DIGEST_ROWS = 100_000
 
 
 def short_hash(value: Column) -> Column:
@@ -74,26 +75,32 @@ def cache_key(
     )
 
 
-def frames_digest(frames: DataFrame, max_frames: int = 200) -> DataFrame:
-    """Order-sensitive digest of a video's extracted frames.
+def frames_digest(frames: DataFrame, block_rows: int = DIGEST_ROWS, **options) -> DataFrame:
+    """Order-sensitive digest of all frames of a video.
 
-    Extraction keeps at most ``max_frames`` per video; the digest covers those, so
-    the hashed text has a fixed bound.
+    Frames are hashed in ordered blocks of ``block_rows``. The digest of a video of one
+    block is the plain digest of its lines; that of a longer one is the digest of its
+    block digests in order, so that no video has to fit one row.
     """
     line = F.format_string("%s|%.6f\n", F.col("path"), F.col("timestamp_sec"))
+    placed = ordered(
+        frames.select("video_id", "timestamp_sec", "frame_id", line.alias("line")),
+        ["video_id"], ["timestamp_sec", "frame_id"], {"__pos": ordinal()}, **options,
+    )
+
+    def joined(order: str, text: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("t"))))
+        return F.array_join(F.transform(rows, lambda r: r["t"]), "")
+
+    blocks = (
+        placed.withColumn("__block", F.floor((F.col("__pos") - 1) / block_rows))
+        .groupBy("video_id", "__block")
+        .agg(short_hash(joined("__pos", "line")).alias("digest"))
+    )
     return (
-        earliest_frames(frames, max_frames)
-        .groupBy("video_id")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("timestamp_sec", "frame_id", line.alias("line")))),
-                    lambda r: r["line"],
-                ),
-                "",
-            ).alias("text")
-        )
-        .select("video_id", short_hash(F.col("text")).alias("digest"))
+        blocks.groupBy("video_id")
+        .agg(F.count("*").alias("n"), F.min("digest").alias("one"), joined("__block", "digest").alias("all"))
+        .select("video_id", F.when(F.col("n") == 1, F.col("one")).otherwise(short_hash(F.col("all"))).alias("digest"))
     )
 
 
@@ -147,6 +154,14 @@ def restored_results(pieces: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return pieces.join(done, ["video_id", "index"])
 
 
+def pieces_to_poll(pieces: DataFrame, checkpoint: DataFrame) -> DataFrame:
+    """Pieces that were submitted and marked done, but whose result was not stored."""
+    done = checkpoint.where(
+        "status = 'done' AND coalesce(task_id, '') <> '' AND coalesce(result, '') = ''"
+    ).select("video_id", "index", "task_id")
+    return pieces.join(done, ["video_id", "index"])
+
+
 def missing_pieces(pieces: DataFrame, results: DataFrame) -> DataFrame:
     """Per video with lost pieces: total, succeeded and missing counts."""
     got = results.select("video_id", "index", F.lit(1).alias("ok")).distinct()

@@ -51,6 +51,22 @@ def test_annotated_text(table):
     )
 
 
+@pytest.mark.parametrize("part_rows", [1, 2, 3])
+def test_annotated_parts_make_the_whole(table, part_rows):
+    members = table(MEMBERS, *[(1, 0, i, f" line {i} ", i * 5.0, i * 5.0 + 5) for i in range(4)])
+    placed = table(FRAMES + ", chunk_index int", (1, 1, "src/a.jpg", 2.0, 0), (1, 2, "src/b.jpg", 7.0, 0))
+    numbered = number_segments(members)
+    parts = sorted((r["part"], r["text"]) for r in annotated_chunks(numbered, placed, part_rows=part_rows).collect())
+    assert len(parts) == -(-6 // part_rows)
+    assert "\n".join(t for _, t in parts) == annotated_chunks(numbered, placed).first()["text"]
+
+
+def test_no_pick_is_an_error(table):
+    placed = table(FRAMES + ", chunk_index int", (1, 1, "a", 0.5, 0))
+    with pytest.raises(ValueError):
+        a.cap_frames(placed, 0)
+
+
 REQUESTS = (
     "video_id int, chunk_index int, anchor_id string, srt_id int, timestamp double, "
     "request_type string, source_frame_path string, reason string"

@@ -25,6 +25,8 @@ FENCED = 'Here:\n```json\n{"blog_markdown": "code:\\n```python\\nprint({1})\\n``
         ('[{"a": {"b": "\\""}}]', {"a": {"b": '"'}}),
         ("only prose", None), ("", None), (None, None), ('{"a": 1', None), ('{"a": "open}', None), ("{bad} {worse}", None),
         ('{x} and {"a": 1}', None),
+        ('{"a": ' + "[" * 200_000 + "]" * 200_000 + "}", None),
+        ('{"a": 1, "a": "\\ud800x"}', {"a": "?x"}),
     ],
 )
 def test_json_object(spark, raw, want):
@@ -32,6 +34,20 @@ def test_json_object(spark, raw, want):
     assert (json.loads(got) if got else None) == want
 
 
+@pytest.mark.parametrize(
+    "raw,want",
+    [("12.5", 12.5), ('"12.5"', 12.5), ('"\\t1_0 "', 10.0), ('"12.5d"', None), ('"0x1p3"', None), ('".5e1"', 5.0), ('"NaN"', None), ("true", 1.0), ("null", None)],
+)
+def test_numbers(spark, raw, want):
+    field = mo._fields(F.parse_json(F.lit(f'{{"n": {raw}}}')), "n")
+    assert value(spark, mo.let(field, lambda f: mo._number(f["n"]))) == want
+
+
+@pytest.mark.parametrize("raw,want", [('"true\\n"', True), ('"\\tFALSE"', False), ('"\\u3000true"', True), ("1", None)])
+def test_strict_booleans_strip(spark, raw, want):
+    assert value(spark, mo.strict_bool(F.parse_json(F.lit(f'{{"n": {raw}}}')), "n")) == want
+
+
 BLOG = {"blog_markdown": "x [[FRAME:a1@53.0]] y [[FRAME:a2@60]]", "frame_requests": [
     {"anchor_id": "a1", "srt_id": 1, "timestamp": 53.0, "request_type": "reuse", "source_frame_path": "p1", "reason": "r"},
     {"anchor_id": "a2", "srt_id": 2, "timestamp": 60, "request_type": "new_capture", "source_frame_path": None},

@@ -71,3 +71,9 @@ def test_dropped_frames_suppress_nothing(table):
     # b is close to a, c is close to b only: c stays.
     frames = table(SCHEMA, (1, 1, "a", 0.0, 0), (1, 2, "b", 1.0, 0b111), (1, 3, "c", 2.0, 0b111111))
     assert {r.frame_id for r in d.deduplicate(frames, 0.95).collect()} == {1, 3}
+
+
+def test_nothing_similar_keeps_the_other_rules(table):
+    frames = table(SCHEMA, (1, 1, "a", 1.0, 7), (1, 2, "b", 2.0, 8), (2, 3, "c", 1.0, None), (2, 4, "d", 2.0, None))
+    assert sorted(r["frame_id"] for r in d.deduplicate(frames, 1.0).collect()) == [1, 2, 3]
+    assert sorted(r["frame_id"] for r in d.deduplicate(frames, 1.0, 0).collect()) == [1, 3]

@@ -85,7 +85,15 @@ def test_manifests(table):
 
 def test_digest(table):
     frames = table("video_id int, frame_id long, path string, timestamp_sec double", (1, 2, "b", 1.5), (1, 1, "a", 0.25), (1, 3, "c", 9.0))
-    assert reuse.frames_digest(frames, 2).first()["digest"] == short("a|0.250000\nb|1.500000\n")
+    lines = ["a|0.250000\n", "b|1.500000\n", "c|9.000000\n"]
+    assert reuse.frames_digest(frames).first()["digest"] == short("".join(lines))
+    assert reuse.frames_digest(frames, 2).first()["digest"] == short(short("".join(lines[:2])) + short(lines[2]))
+
+
+def test_digest_covers_every_frame(table):
+    rows = [(v, i, f"p{i}" if (v, i) != (2, 250) else "other", float(i)) for v in (1, 2) for i in range(300)]
+    frames = table("video_id int, frame_id long, path string, timestamp_sec double", *rows)
+    assert reuse.frames_digest(frames).select("digest").distinct().count() == 2
 
 
 def test_unreadable_manifests(spark, table, tmp_path):
@@ -104,5 +112,6 @@ def test_checkpoints(table):
     )
     assert {r["index"] for r in reuse.pending_pieces(pieces, checkpoint).collect()} == {1, 3}
     assert {r["index"] for r in reuse.restored_results(pieces, checkpoint).collect()} == {0}
+    assert {r["index"] for r in reuse.pieces_to_poll(pieces, checkpoint).collect()} == {2}
     lost = reuse.missing_pieces(pieces, checkpoint.where("result IS NOT NULL")).collect()
     assert [tuple(r) for r in lost] == [(1, 4, 1, 3)]

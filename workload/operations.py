@@ -355,6 +355,15 @@ SELECT conv_id AS video_id, CAST(turn AS INTEGER) AS index, 'task' || turn AS ta
 WHERE (conv_id + turn) % 4 = 1 AND text <> ''"""
 
 
+def j13_poll(spark, sf):
+    return reuse.pieces_to_poll(*pieces(spark, sf)).select("video_id", "index", "task_id")
+
+
+J13_POLL = """
+SELECT conv_id AS video_id, CAST(turn AS INTEGER) AS index, 'task' || turn AS task_id FROM conversations
+WHERE (conv_id + turn) % 4 = 2 OR (conv_id + turn) % 4 = 1 AND coalesce(text, '') = ''"""
+
+
 def j14(spark, sf):
     p, c = pieces(spark, sf)
     return reuse.missing_pieces(p, c.where("status = 'done'"))
@@ -390,5 +399,6 @@ SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT min(created_at) FROM
     "s14_manifests": (s14, S14),
     "j13_pending_pieces": (j13, J13),
     "j13_restored_results": (j13_restored, J13_RESTORED),
+    "j13_pieces_to_poll": (j13_poll, J13_POLL),
     "j14_missing_pieces": (j14, J14),
 }

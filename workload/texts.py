@@ -186,15 +186,15 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(pms // 60000 * 60 AS DOUBL
 
 
 def f4(spark, sf):
-    return moments(spark, sf).where("s IS NOT NULL").select(
+    return moments(spark, sf).select(
         "event_id", fx.srt_time(F.col("s")).alias("clamped"), fx.srt_time(F.col("s"), clamp=False).alias("plain")
     )
 
 
 F4 = query(f"""
-SELECT event_id, {srt_sql('greatest(s, 0)')} AS clamped,
+SELECT event_id, CASE WHEN s IS NOT NULL THEN {srt_sql('greatest(s, 0)')} END AS clamped,
        CASE WHEN s < 0 THEN '-1:59:58,500' ELSE {srt_sql('s')} END AS plain
-FROM moments WHERE s IS NOT NULL""")
+FROM moments""")
 
 
 def f5(spark, sf):
@@ -534,14 +534,13 @@ FROM conversations"""
 
 
 def a4(spark, sf):
-    return reuse.frames_digest(t.frames(spark, sf), 25)
+    return reuse.frames_digest(t.frames(spark, sf))
 
 
 A4 = query("""
 SELECT video_id, substr(sha256(string_agg(path || '|' || printf('%.6f', timestamp_sec) || chr(10), ''
        ORDER BY timestamp_sec, frame_id)), 1, 16) AS digest
-FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_sec, frame_id) AS r FROM frames)
-WHERE r <= 25 GROUP BY video_id""")
+FROM frames GROUP BY video_id""")
 
 QUERIES = {
     "f1_clean_transcript": (f1, F1),
