@@ -80,7 +80,7 @@ def parse_time(stamp: Column) -> Column:
 
 
 def srt_time(seconds: Column, clamp: bool = True) -> Column:
-    """Seconds to ``HH:MM:SS,mmm``; milliseconds round half to even."""
+    """Seconds to ``HH:MM:SS,mmm``; milliseconds round half to even. Null stays null."""
     ms = F.rint(seconds * 1000).cast("long")
     if clamp:
         ms = F.greatest(ms, F.lit(0).cast("long"))
@@ -89,7 +89,7 @@ def srt_time(seconds: Column, clamp: bool = True) -> Column:
     second = F.pmod(whole, F.lit(60))
     minute = F.pmod(((whole - second) / 60).cast("long"), F.lit(60))
     hour = ((whole - F.pmod(whole, F.lit(3600))) / 3600).cast("long")
-    return F.format_string("%02d:%02d:%02d,%03d", hour, minute, second, milli)
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d,%03d", hour, minute, second, milli))
 
 
 def srt_range(start: Column, end: Column, clamp: bool = True) -> Column:
