@@ -12,12 +12,14 @@ with its first member only, on their full sets. What a star cannot settle goes o
 
 * members that are not near the first member form a star of their own in the next round;
 * a near miss x of the first member r can still be near a member y of the star, but as
-  1 - similarity is a metric only where sim(y, r) <= sim(x, r) + (1 - threshold). These
-  pairs are compared where x and y are not yet in one component;
-* what is left after the rounds meets in an exact join on the rarest shingles of each
-  set: two sets at or above the threshold share one of them.
+  1 - similarity is a metric only where sim(y, r) <= sim(x, r) + (1 - threshold);
+* buckets that are not settled after the rounds can hold links between any two members.
 
-No bucket is ever expanded into its pairs. Two texts at the threshold share no band with
+The documents at both ends of such links form families. Those outside the largest
+component of their family are compared with the others of it, block against block, by
+products of item matrices, which give links only.
+
+No bucket is ever expanded into rows of pairs. Two texts at the threshold share no band with
 probability (1 - threshold ** rows) ** bands, 3e-6 for the defaults.
 
 Defined results: null and empty texts have no shingles and are linked with nothing, not
@@ -36,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import common
@@ -218,23 +220,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     return joined.mapInArrow(run, "a long, b long, both long, union long")
 
 
-def shingles(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (id, item, n): every distinct shingle of every text with the size of its set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, stop in _slices(batch.column(1)):
-                docs, hashes = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist(), length)
-                sizes = np.bincount(docs, minlength=stop - start)
-                ids = batch.column(0).slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(docs)), pa.array(hashes.view(np.int64)), pa.array(sizes[docs].astype(np.int64))],
-                    names=["id", "item", "n"],
-                )
-
-    return texts.select("id", "text").mapInArrow(run, "id long, item long, n long")
-
-
 def _contracted(edges: DataFrame) -> DataFrame:
     """The edges of every partition as stars around its smallest reachable ids, by union-find."""
 
@@ -299,7 +284,8 @@ def _buckets(postings: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Stars:
-    """What the star rounds found: links, near misses by bucket, and what no round settled."""
+    """What the star rounds found: links, scores of near misses and their stars by bucket,
+    buckets that no round settled, and the texts of all members."""
 
     links: DataFrame
     misses: DataFrame
@@ -326,12 +312,15 @@ def star_links(postings: DataFrame, texts, settings: Settings) -> Stars:
         scored = common.stage(
             members.where("id <> first")
             .join(seen.withColumnsRenamed({"a": "first", "b": "id"}), ["first", "id"])
-            .select("key", "id", (F.col("both") / F.col("union")).alias("sim"), F.expr(f"100 * both >= {t} * union").alias("near")),
+            .select(
+                "key", "first", "id", (F.col("both") / F.col("union")).alias("sim"),
+                F.expr(f"100 * both >= {t} * union").alias("near"),
+            ),
             "scored",
         )
         misses.append(scored.where(F.col("near") | (F.col("sim") > (2 * t - 100) / 100 - 1e-9)).withColumn("round", F.lit(number)))
         members = common.stage(_buckets(scored.where("NOT near").select("key", "id")), "buckets")
-    return Stars(_union(links), _union(misses), members.select("id").distinct(), pool)
+    return Stars(_union(links), _union(misses), members, pool)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -341,59 +330,107 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def missed_pairs(stars: Stars, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of a near miss and a member of its star, of different components, that may be near.
+def open_families(stars: Stars, roots: DataFrame, settings: Settings) -> DataFrame:
+    """Documents that may have a link to another component: (family, id, root, minor).
 
-    Of each bucket only the members outside its largest component are taken against the
-    others: a bucket that is one component, as most are, gives nothing.
+    A link that the stars did not compare lies between a near miss and a member of the same
+    star, no nearer to the first member than the metric allows, or between two members
+    of an unsettled bucket. Families hold both ends of every such link: they are the
+    components of stars and near misses. Within a family, only documents outside its
+    largest component (minor) are compared with the others.
     """
     slack = (100 - settings.percent) / 100 + 1e-9
     bucket = ["round", "key"]
-    mixed_ = stars.misses.groupBy(*bucket).agg(F.min("near").alias("some"), F.max("near").alias("all")).where("some <> all")
-    rows = common.stage(
-        stars.misses.join(mixed_.select(*bucket), bucket)
+    reach = stars.misses.where("NOT near").groupBy(*bucket).agg((F.max("sim") + slack).alias("reach"))
+    taking = stars.misses.join(reach, bucket).where("NOT near OR sim <= reach")
+    taking = taking.select("first", "id").unionByName(stars.rest.select("first", "id"))
+    taking = common.stage(taking.distinct(), "open")
+    families = components(taking.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    ids = taking.select("id").unionByName(stars.rest.select(F.col("first").alias("id"))).distinct()
+    placed = (
+        ids.join(families.withColumnRenamed("root", "family"), "id", "left")
         .join(roots, "id", "left")
-        .withColumn("root", F.coalesce("root", "id")),
-        "misses",
+        .select("id", F.coalesce("family", "id").alias("family"), F.coalesce("root", "id").alias("root"))
+    )
+    placed = common.stage(placed, "families")
+    by_root = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
+    main = by_root.groupBy("family").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"),
+        F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_minor"),
+    )
+    return placed.join(main.where("roots > 1"), "family").select(
+        "family", "id", "root", (F.col("root") != F.col("main")).alias("minor"), "n", "n_minor"
     )
-    by_root = rows.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
-    main = by_root.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    rows = rows.join(main.where("roots > 1").drop("roots"), bucket)
-    x, y = rows.where("root <> main").alias("x"), rows.alias("y")
-    return x.join(
-        y,
-        F.expr(
-            "x.round = y.round AND x.key = y.key AND x.root <> y.root AND x.near <> y.near"
-            f" AND abs(x.sim - y.sim) <= {slack}"
-        ),
-    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-
-def rare_pairs(open_texts: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of open texts of different components that share one of their rarest shingles.
-
-    Of a set of n shingles in any fixed order, the first n - ceil(t * n) + 1 must meet
-    those of every set at similarity t. The order here is rarest first.
+
+
+#: Documents of a block: two blocks are compared at a time.
+_BLOCK = 256
+
+
+def family_links(families: DataFrame, pool: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between components of a family: for a minor document, one per component.
+
+    Minor documents and all documents are dealt into blocks by hash. A pair of blocks is a
+    row group of bounded size: sizes of intersections come from products of their item
+    matrices, and no pair of documents is ever a row unless it is a link.
     """
-    t = settings.percent
-    items = shingles(open_texts, settings.shingle)
-    rare = items.groupBy("item").agg(F.count("*").alias("freq"))
-    order = Window.partitionBy("id").orderBy("freq", "item")
-    heads = (
-        items.join(rare, "item")
-        .withColumn("rank", F.row_number().over(order))
-        .where(f"rank <= n - CAST(ceil(n * {t} / 100) AS BIGINT) + 1 AND freq > 1")
-        .join(roots, "id", "left")
-        .select("item", "id", "n", F.coalesce("root", "id").alias("root"))
+    a_blocks = F.ceil(F.col("n_minor") / _BLOCK).cast("int")
+    b_blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
+
+    def deal(rows: DataFrame, own: str, other: str, own_blocks, other_blocks) -> DataFrame:
+        return rows.select(
+            "family", "id", "root", "text", F.lit(own).alias("side"),
+            F.pmod(F.xxhash64("id"), own_blocks).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), other_blocks - 1)).alias(other),
+        )
+
+    rows = families.join(pool, "id")
+    dealt = deal(rows.where("minor"), "a", "b", a_blocks, b_blocks).unionByName(
+        deal(rows, "b", "a", b_blocks, a_blocks)
     )
-    x, y = heads.alias("x"), heads.alias("y")
-    return x.join(
-        y,
-        F.expr(
-            "x.item = y.item AND x.id < y.id AND x.root <> y.root"
-            f" AND 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
-        ),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.array(table["side"].to_pylist())
+        ids, root = table["id"].to_numpy(), table["root"].to_numpy()
+        docs, hashes = shingle_sets(table["text"].to_pylist(), settings.shingle)
+        sizes = np.bincount(docs, minlength=len(ids)).astype(np.float64)
+        left, right = np.flatnonzero(side == "a"), np.flatnonzero(side == "b")
+        both = _intersections(docs, hashes, left, right)
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        near = (100 * both >= settings.percent * union) & (root[left][:, None] != root[right][None, :])
+        found = {}
+        for x, y in zip(*np.nonzero(near)):
+            found.setdefault((ids[left[x]], root[right[y]]), ids[right[y]])
+        return pa.table(
+            {"a": pa.array([k[0] for k in found], pa.int64()), "b": pa.array(list(found.values()), pa.int64())}
+        )
+
+    return dealt.groupBy("family", "a", "b").applyInArrow(run, "a long, b long")
+
+
+def _intersections(docs: np.ndarray, hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shared items of every left and right document, by slices of the items."""
+    places = np.zeros((2, docs.max(initial=-1) + 1 if len(docs) else 0), dtype=np.int64) - 1
+    for k, part in enumerate((left, right)):
+        part = part[part < places.shape[1]]
+        places[k, part] = np.arange(len(part))
+    _, item = np.unique(hashes, return_inverse=True)
+    counts = [np.bincount(item[places[k][docs] >= 0], minlength=item.max(initial=-1) + 1) for k in (0, 1)]
+    shared = np.flatnonzero((counts[0] > 0) & (counts[1] > 0))
+    number = np.full(len(counts[0]), -1)
+    number[shared] = np.arange(len(shared))
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, len(shared), 4096):
+        column = number[item] - at
+        here = (column >= 0) & (column < 4096)
+        part = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            matrix = np.zeros((n, min(4096, len(shared) - at)), dtype=np.float32)
+            mine = here & (places[k][docs] >= 0)
+            matrix[places[k][docs[mine]], column[mine]] = 1
+            part.append(matrix)
+        both += part[0] @ part[1].T
+    return both
 
 
 def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -416,12 +453,8 @@ def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     postings = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     stars = star_links(postings, texts, settings)
     roots = components(stars.links)
-    rest = stars.pool.join(stars.rest, "id", "left_semi")
-    pairs = missed_pairs(stars, roots, settings).unionByName(rare_pairs(rest, roots, settings)).distinct()
-    more = common.stage(
-        _verified(pairs, stars.pool, settings).where(f"100 * both >= {settings.percent} * union").select("a", "b"),
-        "links",
-    )
+    families = common.stage(open_families(stars, roots, settings), "open")
+    more = common.stage(family_links(families, stars.pool, settings), "links")
     if more.limit(1).count():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.where("n > 1").select("text_key", "rep")

@@ -42,19 +42,18 @@ def test_components_equal_all_pairs(docs, size):
     assert all(r["kept"] == (i == want[i]) for i, r in rows.items())
 
 
-@pytest.mark.parametrize("bands, rows, rounds", [(1, 1, 1), (2, 1, 2)])
-def test_crowded_buckets(docs, bands, rows, rounds):
-    """One band of one place throws unlike texts together: what stars leave, the exact joins settle."""
+@pytest.mark.parametrize("rounds, block", [(1, 256), (2, 7)])
+def test_crowded_buckets(docs, monkeypatch, rounds, block):
+    """All texts in one bucket: what the stars leave, the families settle."""
     texts = family(40, 20, 10) + family(40, 20, 10) + [f"{SHARED} {plain.sentence(rng, 3)}" for _ in range(15)]
-    settings = near.Settings(shingle=1, bands=bands, rows=rows, rounds=rounds)
+    settings = near.Settings(shingle=1, rounds=rounds)
     table = docs(*texts)
     postings = table.select(F.col("doc_id").alias("id"), F.lit(1).alias("key"))
     named = table.select(F.col("doc_id").alias("id"), "text")
     stars = near.star_links(postings, lambda ids: named.join(ids, "id", "left_semi"), settings)
     roots = near.components(stars.links)
-    rest = stars.pool.join(stars.rest, "id", "left_semi")
-    pairs = near.missed_pairs(stars, roots, settings).unionByName(near.rare_pairs(rest, roots, settings)).distinct()
-    more = near._verified(pairs, stars.pool, settings).where("100 * both >= 80 * union").select("a", "b")
+    monkeypatch.setattr(near, "_BLOCK", block)
+    more = near.family_links(near.open_families(stars, roots, settings), stars.pool, settings)
     got = {r["id"]: r["root"] for r in near.components(stars.links.unionByName(more)).collect()}
     want = plain.near_components(dict(enumerate(texts)), 1, 80)
     assert {i: got.get(i, i) for i in want} == want
