@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import DIGITS, SRT_TIME, VTT_TIME, let, lines, parse_time, strip
-from lectern.operators.documents import full_text
 
 # Names of unlabelled tracks and the parts of a minimum length.
 TRACK_ID = "subtitle-"
@@ -72,13 +71,12 @@ def subtitle_segments(files: DataFrame) -> DataFrame:
     )
 
 
-def subtitle_full_text(files: DataFrame, **options) -> DataFrame:
-    """Full text per file: cue texts by line for timed files, the raw text for others."""
-    timed = full_text(subtitle_segments(files), "\n", **options).select("video_id", "part", "text")
-    raw = files.where(~F.col("path").rlike(TIMED_SUFFIX)).select(
-        "video_id", F.lit(0).alias("part"), "text"
-    )
-    return timed.unionByName(raw)
+def subtitle_full_text(files: DataFrame) -> DataFrame:
+    """Full text per file (video_id, path, text): cue texts by line for timed files, empty
+    without a valid cue; the raw text for others. A file is one row already."""
+    by_line = F.array_join(F.transform(cues(F.col("text")), lambda c: c["text"]), "\n")
+    text = F.when(F.col("path").rlike(TIMED_SUFFIX), F.coalesce(by_line, F.lit(""))).otherwise(F.col("text"))
+    return files.select("video_id", "path", text.alias("text"))
 
 
 RECOGNITION = "transcripts array<struct<sentences:array<struct<text:string,begin_time:double,end_time:double>>>>"

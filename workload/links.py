@@ -18,7 +18,7 @@ CASE page_id % 14
  WHEN 0 THEN 'https://www.youtube.com/watch?v=' || lpad('' || page_id, 11, 'aB_-3') || '&t=5'
  WHEN 1 THEN 'https://youtu.be/' || lpad('' || page_id, 11, 'xyz')
  WHEN 2 THEN 'https://m.youtube.com/shorts/' || lpad('' || page_id, 11, 'Q')
- WHEN 3 THEN 'https://www.bilibili.com/video/BV1GJ' || page_id || '?p=' || (page_id % 5)
+ WHEN 3 THEN 'https://www.bilibili.com/video/BV1qW' || page_id || '?p=' || (page_id % 5)
  WHEN 4 THEN 'HTTPS://b23.tv/BV9' || page_id
  WHEN 5 THEN 'https://www.douyin.com/video/' || page_id || '?modal_id=7'
  WHEN 6 THEN 'https://www.iesdouyin.com/share/video/9' || page_id || '/'
@@ -26,12 +26,12 @@ CASE page_id % 14
  WHEN 8 THEN 'https://www.kuaishou.com/short-video/3x' || page_id
  WHEN 9 THEN 'https://v.m.chenzhongtech.com/fw/photo?photoId=' || page_id
  WHEN 10 THEN 'https://www.gifshow.com/fw?to=photoId%3D' || page_id
- WHEN 11 THEN 'https://notyoutube.com/watch?v=abcdefghijk'
- WHEN 12 THEN 'https://v.douyin.com/0pcF' || page_id || '_lx4/'
+ WHEN 11 THEN 'https://notyoutube.com/watch?v=Lec_ture-01'
+ WHEN 12 THEN 'https://v.douyin.com/kQ7' || page_id || '_m2/'
  ELSE url END"""
 SHARE = """
 CASE page_id % 6
- WHEN 0 THEN '7.43 复制此链接 ' || link || ' 打开Dou音搜索'
+ WHEN 0 THEN '3.21 口令 ' || link || ' 去应用里看'
  WHEN 1 THEN '看这个：' || link || '。谢谢'
  WHEN 2 THEN '(' || link || ').'
  WHEN 3 THEN link || '，再看 https://example.com/second'
@@ -99,7 +99,7 @@ def f12(spark, sf):
 F12 = query("""
 SELECT page_id, CASE page_id % 14
  WHEN 0 THEN lpad('' || page_id, 11, 'aB_-3') WHEN 1 THEN lpad('' || page_id, 11, 'xyz')
- WHEN 2 THEN lpad('' || page_id, 11, 'Q') WHEN 3 THEN 'BV1GJ' || page_id WHEN 4 THEN 'BV9' || page_id
+ WHEN 2 THEN lpad('' || page_id, 11, 'Q') WHEN 3 THEN 'BV1qW' || page_id WHEN 4 THEN 'BV9' || page_id
  WHEN 5 THEN '' || page_id WHEN 6 THEN '9' || page_id WHEN 7 THEN '' || page_id WHEN 8 THEN '3x' || page_id
  WHEN 9 THEN '' || page_id WHEN 10 THEN '' || page_id END AS video_id FROM platforms""")
 

@@ -132,12 +132,16 @@ GROUP BY video_id""")
 
 
 def a2_files(spark, sf):
-    return subtitles.subtitle_full_text(subtitle_files(spark, sf)).select("video_id", "text")
+    """Every video has a second file, without a cue."""
+    files = subtitle_files(spark, sf)
+    silent = files.withColumns({"path": F.concat(F.col("path"), F.lit(".srt")), "text": F.lit("WEBVTT\n\nno cue")})
+    return subtitles.subtitle_full_text(files.unionByName(silent)).select("video_id", "path", "text")
 
 
 A2_FILES = query("""
-SELECT video_id, string_agg(text, chr(10) ORDER BY seq) AS text FROM subtitle_cues GROUP BY video_id
-UNION ALL SELECT video_id, text FROM subtitle_files WHERE path LIKE '%.txt'""")
+SELECT video_id, path, string_agg(text, chr(10) ORDER BY seq) AS text FROM subtitle_cues GROUP BY video_id, path
+UNION ALL SELECT video_id, path, text FROM subtitle_files WHERE path LIKE '%.txt'
+UNION ALL SELECT video_id, path || '.srt', '' FROM subtitle_files""")
 
 
 def f2(spark, sf):
