@@ -126,10 +126,17 @@ def records(page_id, url, html: str, digest: str, size: int, refers_to, layout:
             )
 
 
+#: Repeated payloads (about 60 bytes each) up to which they are sent to all executors.
+BROADCAST_ROWS = 200_000
+#: Characters of records that are handed to Spark at a time.
+_HANDED = 2_000_000
+
+
 def plan(pages: DataFrame, layout: Layout) -> DataFrame:
     """Pages with payload size, hex digest and ``refers_to``.
 
-    Only payloads that occur more than once are joined back.
+    Only payloads that occur more than once are joined back, without a shuffle of the pages
+    while they are few.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     sized = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), payload.alias("__llm_payload"))
@@ -142,6 +149,9 @@ def plan(pages: DataFrame, layout: Layout) -> DataFrame:
         .groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
         .drop("n")
     )
+    several = common.stage(several, "repeated")
+    if several.count() <= BROADCAST_ROWS:
+        several = F.broadcast(several)
     keeper = F.when(F.col("keeper") != F.col("page_id"), F.col("keeper")).when(
         F.col("page_id").isNull(), F.col("keeper")
     )
@@ -154,12 +164,18 @@ def write(pages: DataFrame, path: str, layout: Layout | None = None) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            lines, size = [], 0
+            for i in range(batch.num_rows):
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
-                lines = records(
+                for line in records(
                     row["page_id"], row["url"], row["html"], digest, row["size"], row["refers_to"], layout
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(list(lines))], names=["value"])
+                ):
+                    lines.append(line)
+                    size += len(line)
+                if size > _HANDED or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+                    lines, size = [], 0
 
     (
         plan(pages, layout).mapInArrow(run, "value string")
@@ -230,6 +246,17 @@ _WHOLE_SCHEMA = pa.schema(
 )
 
 
+_SEGMENT = pa.schema(
+    [
+        ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("kind", pa.string()),
+        ("record_id", pa.string()), ("origin_id", pa.string()), ("number", pa.int32()), ("total", pa.int64()),
+        ("digest", pa.string()), ("block", pa.binary()),
+    ]
+)
+_SEGMENT_TYPES = "kind string, record_id string, origin_id string, number int, total long, digest string, block binary"
+_BOTH = pa.schema([*_WHOLE_SCHEMA, *[f for f in _SEGMENT if f.name not in _WHOLE_SCHEMA.names]])
+
+
 def whole(kind: str, segments: list[tuple[int, int | None, bytes]], digest: str | None) -> tuple:
     """Payload, its size and digest, and what is wrong with the record, if anything."""
     segments = sorted(segments, key=lambda s: s[0])
@@ -256,39 +283,56 @@ def whole(kind: str, segments: list[tuple[int, int | None, bytes]], digest: str
 def read(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """All response and revisit records under ``path``, put together and verified.
 
-    Only records in several segments are grouped; a group is one payload.
+    Records of one segment are finished where they are parsed; the others wait in a table
+    with the parsed rows and are grouped, a group being one payload.
     """
-    rows = parsed(spark, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finished(rows: list[dict]) -> list[dict]:
+        out = []
+        for r in rows:
+            parts = [(p["number"], p["total"], p["block"]) for p in r["parts"]]
+            payload, size, digest, problem = whole(r["kind"], parts, r["digest"])
+            out.append(
+                {
+                    "page_id": r["page_id"], "url": r["url"], "record_type": r["kind"],
+                    "refers_to": r["refers_to"], "payload": payload if keep_payload else None,
+                    "payload_bytes": size, "payload_digest": digest, "problem": problem,
+                }
+            )
+        return out
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                parts = [(p["number"], p["total"], p["block"]) for p in r["parts"]]
-                payload, size, digest, problem = whole(r["kind"], parts, r["digest"])
-                out.append(
-                    {
-                        "page_id": r["page_id"], "url": r["url"], "record_type": r["kind"],
-                        "refers_to": r["refers_to"], "payload": payload if keep_payload else None,
-                        "payload_bytes": size, "payload_digest": digest, "problem": problem,
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(out, schema=_WHOLE_SCHEMA)
+            rows = batch.to_pylist()
+            single = [r for r in rows if r["number"] is None]
+            done = finished([{**r, "parts": [{"number": 1, "total": None, "block": r["block"]}]} for r in single])
+            rest = [{name: r[name] for name in _SEGMENT.names} for r in rows if r["number"] is not None]
+            for part, schema in ((done, _WHOLE_SCHEMA), (rest, _SEGMENT)):
+                table = pa.Table.from_pylist(part, schema=schema)
+                columns = [
+                    table[f.name].combine_chunks() if f.name in table.column_names else pa.nulls(len(part), f.type)
+                    for f in _BOTH
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=_BOTH)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist(finished(batch.to_pylist()), schema=_WHOLE_SCHEMA)
 
-    part = F.struct(F.coalesce("number", F.lit(1)).alias("number"), "total", "block")
+    rows = common.stage(parsed(spark, path).mapInArrow(first, f"{_WHOLE}, {_SEGMENT_TYPES}"), "records")
     head = ["kind", "page_id", "url", "refers_to", "digest"]
-    single = rows.where("number IS NULL").select(*head, F.array(part).alias("parts"))
-    first = F.col("kind") != "continuation"
+    origin = F.col("kind") != "continuation"
     several = (
         rows.where("number IS NOT NULL")
         .groupBy(F.coalesce("origin_id", "record_id").alias("origin"))
         .agg(
-            *[F.max(F.when(first, F.col(c))).alias(c) for c in head],
-            F.collect_list(part).alias("parts"),
+            *[F.max(F.when(origin, F.col(c))).alias(c) for c in head],
+            F.collect_list(F.struct("number", "total", "block")).alias("parts"),
         )
         .select(*head, "parts")
     )
-    return single.mapInArrow(run, _WHOLE).unionByName(several.mapInArrow(run, _WHOLE))
+    single = rows.where("number IS NULL").select(*_WHOLE_SCHEMA.names)
+    return single.unionByName(several.mapInArrow(second, _WHOLE))
 
 
 def op2(spark, sf) -> DataFrame:
