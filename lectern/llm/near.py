@@ -263,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = common.stage(large.where("a <> b").distinct(), "edges")
+        large = common.stage(large.where("a <> b"), "edges")
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         moved = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = common.stage(moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), "edges")
