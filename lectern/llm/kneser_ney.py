@@ -1,22 +1,27 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over characters.
-
-Trusted documents (labelled good and not toxic) are all used for training. Texts are
-folded to ``V`` symbols, so an n-gram is one integer below V ** ORDER. Counts are summed in
-shards by n-gram; lower orders count the distinct n-grams that end in them; every order is
-joined with the totals of its contexts to give the discounted share of each n-gram and the
-weight of each context's lower order. A document's perplexity adds up the logarithms of
-all its n-grams. The share of a language's trusted documents of about the same length
-sets the threshold.
-
-The scoring table has V ** ORDER entries of four bytes (25 MB), whatever the input: that
-bound is why it is sent to the tasks, rather than every n-gram of every document being
-shuffled to the shards of the counts.
-
-Defined results: null and empty texts have no perplexity and are not kept; documents of a
-null language, or of one without trusted documents, have no threshold and are kept;
-repeated ids in the labels count as trusted when any row is; ties with the threshold are
-kept; without trusted documents every document with a text is kept; an empty table gives
-an empty table.
+"""Quality classifier: interpolated modified Kneser-Ney models over words, per language.
+
+Trusted documents (labelled good and not toxic) are all counted, in two halves by the hash
+of their text. A document is scored by the model of the half that does not hold its text:
+no document, and no copy of it, meets its own counts, so thresholds from trusted documents
+hold for others. The word models (``word_model``) are tables that grow with the trusted
+text; a document's distinct n-grams are joined with them by n-gram and by context, and only
+sums per document leave the joins. Words that a model has not seen are spelled by a
+character model of the same half.
+
+Characters are folded to ``V`` symbols there, so an n-gram is one integer below V ** ORDER;
+characters that share a symbol are taken as equally likely. Lower orders count the
+distinct n-grams that end in them; every order is joined with the totals of its contexts.
+The spelling tables have V ** ORDER entries of four bytes (25 MB for each half), whatever
+the input, and are sent to the tasks.
+
+Perplexity is by character. The share of a language's trusted documents of about the
+same length sets the threshold.
+
+Defined results: null and empty texts and those of white space only have no perplexity and
+are not kept; documents of a null language, or of one without trusted documents, have no
+threshold and are kept; repeated ids in the labels count as trusted when any row is; ties
+with the threshold are kept; without trusted documents every document with a text is kept;
+equal rows get equal verdicts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import common
+from lectern.llm import common, word_model
 
 ORDER = 4
 # The symbols. Letters without an own symbol share one, and so do marks.
@@ -163,25 +168,48 @@ def _columns(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarra
     return table[key].to_numpy().astype(np.int64), table[value].to_numpy()
 
 
-def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """Per row: ``doc_id``, ``lang``, number of characters, perplexity."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+#: Characters that share a symbol, about.
+SHARED = {LETTER: 130_000, OTHER: 10_000, SYMBOLS["0"]: 10}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = _symbol_table()
-        for batch in batches:
-            sizes, values = [], []
-            for text in batch.column(2):
-                got = grams(text.as_py() or "", symbols)
-                sizes.append(len(got))
-                values.append(float(np.exp(-sent.value[got].mean(dtype=np.float64))) if len(got) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(values, pa.float64())],
-                names=["doc_id", "lang", "n_symbols", "perplexity"],
-            )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, lang string, n_symbols long, perplexity double"
+def spellers(tables: list[np.ndarray]) -> list:
+    """Per half, the logarithm of the probability of a word's letters and its end."""
+    symbols = _symbol_table()
+    alike = np.zeros(V)
+    for symbol, n in SHARED.items():
+        alike[symbol] = -np.log(n)
+
+    def speller(table: np.ndarray):
+        def spell(word: str) -> float:
+            got = grams(f" {word} ", symbols)[1:]
+            return float(table[got].sum(dtype=np.float64) + alike[got[:-1] % V].sum())
+
+        return spell
+
+    return [speller(table) for table in tables]
+
+
+def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Per row: ``doc_id``, ``lang``, number of characters, perplexity by the other half."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+        F.col("text").cast("string").alias("text"),
+    ).withColumns(
+        {
+            # Equal texts of a language share their sums.
+            "row": F.xxhash64(F.coalesce("lang", F.lit("\0")), F.coalesce("text", F.lit(""))),
+            "half": F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int"),
+        }
+    )
+    good = rows.join(trusted, "doc_id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast([train(good.where(F.col("half") == half)) for half in (0, 1)])
+    spell = lambda: spellers(sent.value)
+    model = word_model.train(word_model.tokens(good, spell))
+    other = rows.withColumn("half", 1 - F.col("half"))
+    sums = word_model.score(word_model.tokens(other, spell), model)
+    held = rows.select("doc_id", "lang", "row", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"))
+    return held.join(sums, "row", "left").select(
+        "doc_id", "lang", "n_symbols", F.exp(-F.col("logs") / F.col("size")).alias("perplexity")
     )
 
 
@@ -199,8 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
     )
     if trusted.count() <= BROADCAST_ROWS:
         trusted = F.broadcast(trusted)
-    table = train(docs.join(trusted, "doc_id", "left_semi"))
-    scored = common.stage(score(docs, table), "perplexity").withColumn(
+    scored = common.stage(score(docs, trusted), "perplexity").withColumn(
         "__llm_class", F.length(F.bin("n_symbols"))
     )
     good = scored.join(trusted, "doc_id", "left_semi").where("perplexity IS NOT NULL AND lang IS NOT NULL")

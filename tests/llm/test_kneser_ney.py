@@ -9,6 +9,7 @@ import plain
 import pytest
 
 from lectern.llm import kneser_ney as kn
+from lectern.llm import word_model
 
 rng = random.Random(53)
 GOOD = [plain.sentence(rng, rng.randint(5, 120)) + ". Été, 12 €" for _ in range(80)]
@@ -84,3 +85,62 @@ def test_edge_tables(spark, docs):
     assert got == [(False, 0, True), (False, 1, False), (False, 1, False), (False, 2, True), (True, 0, True)]
     assert kn.classify(docs(*rows), labels.limit(0)).where("kept").count() == 3
     assert kn.classify(docs().limit(0), labels).count() == 0
+
+
+def plain_words(texts, half):
+    """Probability of a word after two others, by the recursion over counts of words."""
+    grams = Counter()
+    for text in texts:
+        w = ["\n", "\n", *word_model.words_of(text)]
+        grams.update(tuple(w[i - 2 : i + 1]) for i in range(2, len(w)))
+    orders = [grams]
+    for _ in range(2):
+        orders.append(Counter(g[1:] for g in orders[-1]))
+    settings = []
+    for counts in orders:
+        c = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0
+        d = [k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else 0.5 * k for k in (1, 2, 3)]
+        held = defaultdict(list)
+        for g, n in counts.items():
+            held[g[:-1]].append(n)
+        settings.append((counts, [min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3))], held))
+
+    def probability(gram, spelled, level=0):
+        if level == 3:
+            return spelled
+        counts, d, held = settings[level]
+        below = probability(gram[1:], spelled, level + 1)
+        seen = held.get(gram[:-1])
+        if not seen:
+            return below
+        n, total = counts.get(gram, 0), sum(seen)
+        return (n - d[min(n, 3) - 1] if n else 0) / total + sum(d[min(x, 3) - 1] for x in seen) / total * below
+
+    return probability
+
+
+def test_word_model_equals_plain_recursion(spark):
+    texts = ["The cat sat on the mat. the cat sat", "a cat, the dog: the cat ran", "слово за слово и слово", "猫坐在猫上"]
+    spell = lambda: [lambda word: -3.0 * len(word)] * 2
+    make = lambda rows: word_model.tokens(spark.createDataFrame(rows, "row long, lang string, half int, text string"), spell)
+    model = word_model.train(make([(i, "en", 0, t) for i, t in enumerate(texts)] + [(9, "de", 0, "the mat the mat"), (9, "en", 1, "the")]))
+    asked = ["the cat sat on a dog", "猫坐", "слово unseen слово и", "the the the"]
+    got = {r["row"]: (r["logs"], r["size"]) for r in word_model.score(make([(i, "en", 0, t) for i, t in enumerate(asked)]), model).collect()}
+    probability = plain_words(texts, 0)
+    for i, text in enumerate(asked):
+        w = ["\n", "\n", *word_model.words_of(text)]
+        want = sum(math.log(probability(tuple(w[k - 2 : k + 1]), math.exp(-3.0 * len(w[k])))) for k in range(2, len(w)))
+        assert got[i] == (pytest.approx(want, rel=1e-9), sum(len(x) + 1 for x in w[2:]))
+
+
+def test_word_order_counts_in_every_script(spark, docs):
+    """Shuffled words are more surprising than their order in trusted text, Cyrillic too."""
+    line = {"en": "the quick brown fox jumps over the lazy dog", "ru": "быстрая лиса прыгает через очень ленивую собаку"}
+    good = [(i, f"{line[lang]}. {plain.sentence(rng, 3)} {line[lang]}", lang, "a", 1) for i, lang in enumerate(["en", "ru"] * 30)]
+    odd = [(100 + k, " ".join(rng.sample(line[lang].split(), len(line[lang].split()))), lang, "a", 1) for k, lang in enumerate(["en", "ru"] * 5)]
+    same = [(200 + k, line[lang], lang, "a", 1) for k, lang in enumerate(["en", "ru"])]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs(*good, *odd, *same), labels).collect()}
+    for k in range(10):
+        assert got[100 + k] > 1.2 * got[200 + k % 2]
