@@ -5,7 +5,8 @@ common words plus one bin for all others. The reference of a language is the mea
 of the normalised histograms of its documents that pass the base rules, over the
 whole input. A document fails when the Jensen-Shannon divergence (base 2, 0 to 1)
 of a histogram from the reference of its language exceeds a limit and the document
-is long enough for that histogram to mean something.
+is long enough for that histogram to mean something. The limit for words is the sampling
+noise of the histogram itself, as the documents of that language and length show it.
 
 Defined results: null and empty texts have no words and fail; documents of an
 unlisted or null language are judged by the base rules only; equal rows get equal
@@ -14,6 +15,7 @@ verdicts; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,15 +50,17 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 class Limits:
     """Divergence limits and the sizes from which each histogram is judged.
 
-    A histogram of n words lies ``noise / n`` from its own source by chance alone, so
-    short documents get that much more room.
+    A histogram of n words lies about c / n from its own source by chance alone. The
+    documents that pass the base rules give c and its spread, by language and by octave of
+    n: ``spread`` standard deviations above the median are allowed. A class of fewer than
+    ``class_documents`` takes those of its language.
     """
 
     chars: float = 0.12
-    words: float = 0.06
-    noise: float = 6.0
+    spread: float = 4.0
+    class_documents: int = 50
     min_chars: int = 250
-    min_words: int = 100
+    min_words: int = 50
 
 
 def _repeat_words(words: str, grams: str) -> str:
@@ -166,10 +170,39 @@ def divergence(p: str, q: str) -> str:
     )
 
 
+_OCTAVE = "length(bin(n_words))"
+
+
+def rooms(df: DataFrame) -> DataFrame:
+    """Per language and octave of words (0: all): median and standard deviation of words x ``js_words``.
+
+    Quartiles, so that odd documents do not widen their own limit, and equal documents count
+    once, so that copies do not narrow the limit of all others. The divergence of k free
+    bins follows chi-square / (8 ln 2 n), which gives the least deviation for a median.
+    """
+    once = df.where(~F.col("base_failed") & F.col("js_words").isNotNull()).select(
+        F.col("lang").cast("string").alias("__llm_lang"), "n_words", "js_words"
+    ).distinct()
+    noise = once.select(
+        "__llm_lang",
+        F.explode(F.array(F.expr(_OCTAVE), F.lit(0))).alias("__llm_octave"),
+        (F.col("n_words") * F.col("js_words")).alias("noise"),
+    )
+    quartiles = noise.groupBy("__llm_lang", "__llm_octave").agg(
+        F.percentile_approx("noise", [0.5, 0.75], 10_000).alias("q"), F.count("*").alias("n")
+    )
+    median = F.greatest(F.col("q")[0], F.lit(1.0))
+    return quartiles.select(
+        "__llm_lang", "__llm_octave", "n", median.alias("median"),
+        F.greatest((F.col("q")[1] - F.col("q")[0]) / 0.6745, F.sqrt(2 * median / (8 * math.log(2)))).alias("deviation"),
+    )
+
+
 def judge(scored: DataFrame, reference: DataFrame, limits: Limits | None = None) -> DataFrame:
     """Add ``js_chars``, ``js_words`` (null without a reference) and ``kept``.
 
-    The reference has one row per listed language at most, which bounds the broadcast.
+    The reference has one row per listed language at most, and the rooms one per octave of
+    those, which bounds the broadcasts. An octave never gets less room than its language.
     """
     limits = limits or Limits()
     df = scored.withColumns({f"__llm_share_{n}": _shares(f"__llm_{n}") for n in ("chars", "common")})
@@ -180,12 +213,24 @@ def judge(scored: DataFrame, reference: DataFrame, limits: Limits | None = None)
             "js_words": F.expr(divergence("__llm_share_common", "__llm_ref_common")),
         }
     )
+    room = common.stage(rooms(df), "rooms")
+    own = room.where((F.col("__llm_octave") > 0) & (F.col("n") >= limits.class_documents))
+    for name, part, on in (
+        ("own", own, (F.col("lang") == F.col("__llm_l")) & (F.col("__llm_o") == F.expr(_OCTAVE))),
+        ("all", room.where("__llm_octave = 0"), F.col("lang") == F.col("__llm_l")),
+    ):
+        part = part.select(
+            F.col("__llm_lang").alias("__llm_l"), F.col("__llm_octave").alias("__llm_o"),
+            (F.col("median") + limits.spread * F.col("deviation")).alias(f"__llm_room_{name}"),
+        )
+        df = df.join(F.broadcast(part), on, "left").drop("__llm_l", "__llm_o")
+    limit = F.greatest("__llm_room_own", "__llm_room_all") / F.col("n_words")
     odd = [
         (F.col("word_chars") >= limits.min_chars) & (F.coalesce("js_chars", F.lit(0.0)) > limits.chars),
-        (F.col("n_words") >= limits.min_words) & (F.coalesce("js_words", F.lit(0.0)) > limits.words + limits.noise / F.col("n_words")),
+        (F.col("n_words") >= limits.min_words) & F.coalesce(F.col("js_words") > limit, F.lit(False)),
     ]
     return df.withColumn("kept", ~F.col("base_failed") & ~reduce(Column.__or__, odd)).drop(
-        "__llm_lang", *[f"__llm_{part}{n}" for n in ("chars", "common") for part in ("", "share_", "ref_")]
+        "__llm_lang", "__llm_room_own", "__llm_room_all", *[f"__llm_{part}{n}" for n in ("chars", "common") for part in ("", "share_", "ref_")]
     )
 
 

@@ -69,3 +69,17 @@ def test_languages_and_extra_columns(spark, docs):
     assert len(got) == 3 and {(r["kept"], r["n_words"]) for r in got} == {("mine", 7)}
     assert quality.select(docs().limit(0)).columns == docs().columns
     assert quality.assess(docs().limit(0)).count() == 0
+
+
+def test_word_lists_go_at_every_length(docs):
+    """Lists with few common words are odd at 140 words, and at 60, where the base rules already judge."""
+
+    def mixed(n, share):
+        return [rng.choice(COMMON) if rng.random() < share else plain.sentence(rng, 1) for _ in range(n)]
+
+    clean = [" ".join(mixed(rng.randint(50, 400), 0.4)) for _ in range(300)]
+    lists = [" | ".join(mixed(80, 0.15)) for _ in range(10)] + [" | ".join(mixed(32, 0)) for _ in range(10)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.assess(docs(*clean, *lists)).collect()}
+    assert not any(kept[i] for i in range(300, 320)) and sum(kept[i] for i in range(300)) >= 297
+    copies = {r["doc_id"]: r["kept"] for r in quality.assess(docs(*[clean[0]] * 2_000, *clean)).collect()}
+    assert all(copies[i] for i in range(2_000)) and sum(copies[i] for i in range(2_000, 2_300)) >= 290
