@@ -32,8 +32,3 @@ def table(spark):
         return spark.createDataFrame(list(rows), schema)
 
     return make
-
-
-def value(spark, column):
-    """Evaluate one column expression."""
-    return spark.range(1).select(column.alias("v")).first()["v"]

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import value
+from helpers import value
 from pyspark.sql import functions as F
 
 from lectern.functions import model_output as mo

@@ -1,7 +1,7 @@
 """Links, languages, intents, catalog, choices."""
 
 import pytest
-from conftest import value
+from helpers import value
 from pyspark.sql import functions as F
 
 from lectern.functions import intent, links

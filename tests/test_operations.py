@@ -4,7 +4,7 @@ import datetime
 import hashlib
 import json
 
-from conftest import value
+from helpers import value
 from pyspark.sql import functions as F
 
 from lectern.operators import reuse, runs, sessions

@@ -1,7 +1,7 @@
 """Text, time and subtitle rules."""
 
 import pytest
-from conftest import value
+from helpers import value
 from pyspark.sql import functions as F
 
 from lectern.functions import text as x
