@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, kneser_ney, licenses, mixing, near, pii, quality, secrets, tokens, warc
+from lectern.llm import (
+    align, centroids, chat, decontam, kneser_ney, licenses, mixing, near, pii, quality, secrets, tokens, warc,
+)
 
 QUERIES = {
+    "op11_token_alignment": align.op11,
+    "op12_chat_assembly": chat.op12,
+    "op13_ptolemaic_clusters": centroids.op13,
     "op10_kneser_ney": kneser_ney.op10,
     "op8_license_index": licenses.op8,
     "op9_length_histogram": tokens.op9,
@@ -17,6 +22,8 @@ QUERIES = {
     "op7_quality_divergence": quality.op7,
 }
 ORACLES: dict[str, str] = {
+    "op12_chat_assembly": chat.SQL,
+    "op13_ptolemaic_clusters": centroids.SQL,
     "op2_warc_segments": warc.SQL,
     "op4_systematic_mix": mixing.SQL,
 }

@@ -5,13 +5,15 @@ sums over the lengths then answer, for every context limit, how many documents a
 tokens are in reach, what is left when documents are truncated to the limit, and which
 length a quantile has.
 
-Defined results: null and empty texts have length 0; repeated rows count each; ties are
+Defined results: null and empty texts have length 0; very long texts, long runs of one
+character included, are encoded whole; repeated rows count each; ties are
 one row; an empty table gives an empty histogram, whose totals are 0.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +29,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1024
+# Runs of white space from here on are cut out before the pattern sees them: it steps back
+# through a run character by character.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def encoder(vocabulary: bytes):
@@ -36,6 +41,21 @@ def encoder(vocabulary: bytes):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ordinary(encoding, text: str) -> list[int]:
+    """Ids of a text, with runs of white space of any length.
+
+    A run is one piece, up to its last character when something follows: that one the pattern
+    keeps for the next piece. No piece reaches into a run from before it.
+    """
+    ids, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return (ids + encoding.encode_ordinary(text[at:])) if at else encoding.encode_ordinary(text)
+
+
 def histogram(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """(n_tokens, n_docs). The driver reads the vocabulary, a file of fixed size, and sends it."""
     with open(vocabulary_path, "rb") as file:
@@ -46,7 +66,7 @@ def histogram(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                counts[len(encoding.encode_ordinary(text.as_py() or ""))] += 1
+                counts[len(ordinary(encoding, text.as_py() or ""))] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())],
             names=["n_tokens", "n_docs"],

@@ -39,3 +39,23 @@ def test_edge_tables(docs):
     assert tokens.suffix_sums(tokens.histogram(docs().limit(0))).count() == 0
     rows = tokens.suffix_sums(tokens.histogram(docs(None, None).withColumnRenamed("source", "n_tokens"))).collect()
     assert [tuple(r) for r in rows] == [(0, 2, 2, 0, 2, 0)]
+
+
+def test_long_runs():
+    """Runs of any length count like the same text in parts."""
+    with open(tokens.VOCABULARY, "rb") as file:
+        encoding = tokens.encoder(file.read())
+    for run in (" ", "\t", "\n", " \u00a0\r\n\u3000"):
+        for before, after in (("", ""), ("a", ""), ("", "b"), ("it's", "1"), ("x ", "\x1c"), ("", "!")):
+            text = before + run * 12_000 + after
+            assert tokens.ordinary(encoding, text) == encoding.encode_ordinary(text)
+            assert tokens.ordinary(encoding, text * 2) == encoding.encode_ordinary(text * 2)
+    for char in " \tx7":
+        ids = tokens.ordinary(encoding, char * 1_500_000)
+        assert encoding.decode(ids) == char * 1_500_000
+        assert len(ids) == 1_500_000 // len(encoding.decode(ids[:1]))
+
+
+def test_long_run_as_a_document(docs):
+    rows = tokens.histogram(docs(" " * 1_500_000, "x")).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 1), (1_500_000, 1)]
