@@ -201,42 +201,50 @@ def interval_grid(media: DataFrame, interval: float = 30.0) -> DataFrame:
     )
 
 
+def running_starts(steps: str, block: int = 256) -> str:
+    """SQL for the sums before each element of an array of doubles, added from left to right.
+
+    Folded in blocks that hand on their sum: the copies that a fold makes of its result
+    stay short, and the additions are those of one plain loop.
+    """
+    inner = (
+        f"aggregate(slice({steps}, b * {block} + 1, {block}),"
+        " named_struct('at', acc.at, 'out', CAST(array() AS array<double>)),"
+        " (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))))"
+    )
+    return (
+        f"flatten(aggregate(transform(sequence(0, greatest(size({steps}) - 1, 0) div {block}), b -> b),"
+        " named_struct('at', 0D, 'out', CAST(array() AS array<array<double>>)),"
+        f" (acc, b) -> element_at(transform(array({inner}), d -> named_struct('at', d.at, 'out', concat(acc.out, array(d.out)))), 1),"
+        " acc -> acc.out))"
+    )
+
+
 def synthesize_segments(texts: DataFrame) -> DataFrame:
     """Timed segments for untimed text, in proportion to line length.
 
-    ``texts`` is (video_id, text, duration_sec), one row per video. The lines of
-    one row form the window, so a window never outgrows a single text.
+    ``texts`` is (video_id, text, duration_sec), one row per video; everything is computed inside the row.
     """
     kept = F.filter(F.transform(lines(F.col("text")), strip), lambda x: x != "")
-    rows = texts.select(
-        "video_id",
-        F.col("duration_sec"),
-        F.size(kept).alias("n"),
-        F.posexplode(kept).alias("pos", "text"),
-    ).withColumn("weight", F.greatest(F.lit(1), F.length("text")).cast("double"))
-    rows = rows.withColumn(
-        "duration_sec",
-        F.when(F.col("duration_sec") > 0, F.col("duration_sec")).otherwise(
-            F.greatest(F.lit(4.5), F.col("n") * 4.5)
-        ),
+    rows = texts.select("video_id", kept.alias("lines"), F.col("duration_sec").cast("double").alias("given"))
+    rows = rows.withColumn("weights", F.transform("lines", lambda x: F.greatest(F.lit(1), F.length(x))))
+    rows = rows.withColumns(
+        {
+            "total": F.aggregate("weights", F.lit(0).cast("long"), lambda acc, x: acc + x),
+            "duration": F.when(F.col("given") > 0, F.col("given")).otherwise(
+                F.greatest(F.lit(4.5), F.size("lines") * 4.5)
+            ),
+        }
     )
-    whole = Window.partitionBy("video_id")
-    order = whole.orderBy("pos")
-    rows = rows.withColumn("total", F.sum("weight").over(whole)).withColumn(
-        "step", F.col("duration_sec") * F.col("weight") / F.col("total")
-    )
-    rows = rows.withColumn(
-        "start",
-        F.coalesce(F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+    rows = rows.withColumn("steps", F.transform("weights", lambda w: F.col("duration") * w / F.col("total")))
+    rows = rows.withColumn("starts", F.expr(running_starts("steps")))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("duration"))
+    rows = rows.where(F.size("lines") > 0).select(
+        "video_id", F.posexplode(F.arrays_zip(F.col("lines").alias("text"), F.col("starts").alias("start"), ends.alias("end"))).alias("pos", "s")
     )
     return rows.select(
-        "video_id",
-        F.col("pos").cast("long").alias("seq"),
-        "text",
-        "start",
-        F.greatest(
-            F.col("start") + 0.1, F.coalesce(F.lead("start").over(order), F.col("duration_sec"))
-        ).alias("end"),
+        "video_id", F.col("pos").cast("long").alias("seq"), F.col("s.text").alias("text"), F.col("s.start").alias("start"),
+        F.greatest(F.col("s.start") + 0.1, F.col("s.end")).alias("end"),
     )
 
 

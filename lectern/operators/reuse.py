@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.ordering import ordered, ordinal
+from lectern.operators.ordering import MAX_GROUP_ROWS, has_large_group
+from lectern.operators.streams import fold, fold_partitions
 
 KEY_CHARS = 16
-DIGEST_ROWS = 100_000
+#: Lines of a frame digest that are joined to one piece.
+PIECE_LINES = 4096
 
 
 def short_hash(value: Column) -> Column:
@@ -75,33 +81,67 @@ def cache_key(
     )
 
 
-def frames_digest(frames: DataFrame, block_rows: int = DIGEST_ROWS, **options) -> DataFrame:
-    """Order-sensitive digest of all frames of a video.
+class _Digest:
+    """SHA-256 over the lines that come, or over joined ones."""
 
-    Frames are hashed in ordered blocks of ``block_rows``. The digest of a video of one
-    block is the plain digest of its lines; that of a longer one is the digest of its
-    block digests in order, so that no video has to fit one row.
-    """
-    line = F.format_string("%s|%.6f\n", F.col("path"), F.col("timestamp_sec"))
-    placed = ordered(
-        frames.select("video_id", "timestamp_sec", "frame_id", line.alias("line")),
-        ["video_id"], ["timestamp_sec", "frame_id"], {"__pos": ordinal()}, **options,
-    )
+    def __init__(self) -> None:
+        self.hash = hashlib.sha256()
 
-    def joined(order: str, text: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("t"))))
-        return F.array_join(F.transform(rows, lambda r: r["t"]), "")
+    def take(self, at, frame_id, path) -> None:
+        self.hash.update(_line(path, at))
 
-    blocks = (
-        placed.withColumn("__block", F.floor((F.col("__pos") - 1) / block_rows))
-        .groupBy("video_id", "__block")
-        .agg(short_hash(joined("__pos", "line")).alias("digest"))
-    )
-    return (
-        blocks.groupBy("video_id")
-        .agg(F.count("*").alias("n"), F.min("digest").alias("one"), joined("__block", "digest").alias("all"))
-        .select("video_id", F.when(F.col("n") == 1, F.col("one")).otherwise(short_hash(F.col("all"))).alias("digest"))
+    def end(self) -> Iterator[tuple]:
+        yield (self.hash.hexdigest()[:KEY_CHARS],)
+
+
+class _JoinedDigest(_Digest):
+    def take(self, piece, lines) -> None:
+        self.hash.update(lines)
+
+
+class _Joined:
+    """Lines in order as pieces of bounded size, numbered along all partitions."""
+
+    def __init__(self) -> None:
+        self.number, self.lines = TaskContext.get().partitionId() << 33, []
+
+    def take(self, at, frame_id, path) -> Iterator[tuple]:
+        self.lines.append(_line(path, at))
+        if len(self.lines) >= PIECE_LINES:
+            yield from self.end()
+
+    def end(self) -> Iterator[tuple]:
+        yield self.number, b"".join(self.lines)
+        self.number, self.lines = self.number + 1, []
+
+
+def _line(path: str | None, at: float | None) -> bytes:
+    text = "null" if path is None else path
+    return f"{text}|{'null' if at is None else format(at, '.6f')}\n".encode("utf-8", "surrogatepass")
+
+
+def frames_digest(
+    frames: DataFrame, *, large: bool | None = None, max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Digest over the lines of all frames of a video, in order of time and id.
+
+    One hash state per video runs along its sorted rows. With a video of more than
+    ``max_rows`` frames, lines are first sorted and joined by many tasks over ranges of
+    (video, time), so that the task of that video only hashes bytes in order. The digest
+    is the same either way.
+    """
+    order = ["timestamp_sec", "frame_id", "path"]
+    rows = frames.select(
+        "video_id", F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "frame_id",
+        F.col("path").cast("string").alias("path"),
     )
+    if large is None:
+        large = has_large_group(rows, ["video_id"], max_rows)
+    if not large:
+        return fold(rows, ["video_id"], order, _Digest, "digest string")
+    placed = rows.repartitionByRange("video_id", *order).sortWithinPartitions("video_id", *order)
+    pieces = fold_partitions(placed, ["video_id"], _Joined, "piece long, lines binary")
+    return fold(pieces, ["video_id"], ["piece"], _JoinedDigest, "digest string")
 
 
 def validate_manifests(stored: DataFrame, current: DataFrame) -> DataFrame:

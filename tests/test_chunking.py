@@ -85,6 +85,26 @@ def test_synthetic_segments(table):
     }
 
 
+def test_synthetic_segments_of_long_texts(table):
+    rng = random.Random(3)
+    texts = ["\n".join("x" * rng.randint(0, 90) for _ in range(n)) for n in (1, 255, 256, 257, 3000)] + [None, "", " \n "]
+    rows = [(i, text, rng.choice([0.0, None, 1234.56, -1.0])) for i, text in enumerate(texts)]
+    df = c.synthesize_segments(table("video_id int, text string, duration_sec double", *rows))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.video_id, r.seq): (r.text, r.start, r.end) for r in df.collect()}
+    want = {}
+    for video, text, duration in rows:
+        lines = [x for x in (text or "").split("\n") if x.strip()]
+        duration = duration if duration and duration > 0 else max(4.5, len(lines) * 4.5)
+        total, starts = sum(map(len, lines)), [0.0]
+        for line in lines[:-1]:
+            starts.append(starts[-1] + duration * len(line) / total)
+        for k, line in enumerate(lines):
+            end = starts[k + 1] if k + 1 < len(lines) else duration
+            want[video, k] = (line, starts[k], max(starts[k] + 0.1, end))
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 50, 51])
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 7, 20, 50])
 def test_even_positions(spark, n, k):

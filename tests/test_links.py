@@ -1,5 +1,7 @@
 """Links, languages, intents, catalog, choices."""
 
+import random
+
 import pytest
 from helpers import value
 from pyspark.sql import functions as F
@@ -112,8 +114,8 @@ def test_downloaded_file(table):
     assert {r.video_id: r.name for r in selection.downloaded_file(rows).collect()} == {"a": "a.mkv", "b": "b.m4v"}
 
 
-def taken_in_turn(names):
-    taken, out = set(), []
+def taken_in_turn(names, present=()):
+    taken, out = set(present), []
     for name in names:
         stem, dot, ext = name.rpartition(".")
         target, i = name, 2
@@ -143,6 +145,26 @@ def test_unique_names(table, max_rows):
         assert [target for _, target in mine] == taken_in_turn(names)
 
 
+def test_unique_names_among_conflicts_and_files(table):
+    rng = random.Random(5)
+    stems = ["a", "a_2", "a_3", "a_2_2", "a_2_3", "a_2_2_2", "a_10", "b", "_2", "a_02", "a_1", "b_2_5"]
+    rows, files = [], []
+    for k in range(60):
+        few = rng.sample(stems, rng.randint(1, 6))
+        files += [(f"f{k}", n) for n in {rng.choice(stems) + rng.choice(["", ".jpg"]) for _ in range(rng.randint(0, 5))}]
+        rows += [(f"f{k}", i, rng.choice(few) + rng.choice(["", ".jpg"])) for i in range(rng.randint(1, 40))]
+    files.append((None, "a"))
+    rows += [(None, 1, "a"), (None, 2, None)]
+    got = selection.unique_names(
+        table("folder string, id int, name string", *rows), ["id"], table("folder string, name string", *files)
+    ).collect()
+    for folder in {r[0] for r in rows}:
+        mine = [r[2] for r in rows if r[0] == folder and r[2]]
+        have = {name for at, name in files if at == folder}
+        assert [r.target for r in sorted(got, key=lambda r: r.id) if r.folder == folder and r.name] == taken_in_turn(mine, have)
+    assert len(got) == len(rows)
+
+
 def test_catalog(spark, table):
     asked = table(
         "model string, purpose string, max_tokens_asked int",

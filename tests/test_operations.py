@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import json
 
+import pytest
 from helpers import value
 from pyspark.sql import functions as F
 
@@ -87,13 +88,20 @@ def test_digest(table):
     frames = table("video_id int, frame_id long, path string, timestamp_sec double", (1, 2, "b", 1.5), (1, 1, "a", 0.25), (1, 3, "c", 9.0))
     lines = ["a|0.250000\n", "b|1.500000\n", "c|9.000000\n"]
     assert reuse.frames_digest(frames).first()["digest"] == short("".join(lines))
-    assert reuse.frames_digest(frames, 2).first()["digest"] == short(short("".join(lines[:2])) + short(lines[2]))
 
 
-def test_digest_covers_every_frame(table):
-    rows = [(v, i, f"p{i}" if (v, i) != (2, 250) else "other", float(i)) for v in (1, 2) for i in range(300)]
-    frames = table("video_id int, frame_id long, path string, timestamp_sec double", *rows)
-    assert reuse.frames_digest(frames).select("digest").distinct().count() == 2
+@pytest.mark.parametrize("large", [False, True])
+def test_digest_of_long_videos(spark, large):
+    frames = spark.range(300_000, numPartitions=7).select(
+        F.expr("CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END").alias("video_id"), F.col("id").alias("frame_id"),
+        F.expr("CASE WHEN id = 7 THEN 'other' ELSE 'p' || id END").alias("path"),
+        (F.col("id") * 7919 % 300_007 / 2.0).alias("timestamp_sec"),
+    )
+    got = {r.video_id: r.digest for r in reuse.frames_digest(frames, large=large).collect()}
+    at = sorted((i * 7919 % 300_007 / 2.0, i) for i in range(300_000))
+    for video in (1, 2):
+        mine = [(t, i) for t, i in at if (i % 3 == 0) == (video == 1)]
+        assert got[video] == short("".join(f"{'other' if i == 7 else f'p{i}'}|{t:.6f}\n" for t, i in mine))
 
 
 def test_unreadable_manifests(spark, table, tmp_path):

@@ -280,20 +280,38 @@ SELECT conv_id, turn, CASE
  ELSE 'ask ' || said END AS command FROM utterances""")
 
 
+# Own names that are made-up names of others, and files that are already there.
+FRAME_NAME = """concat(p_brand, CASE WHEN p_partkey % 7 = 3 THEN '_2' WHEN p_partkey % 11 = 5 THEN '_4'
+ WHEN p_partkey % 13 = 1 THEN '_2_2' ELSE '' END, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.jpg' END)"""
+FILE_NAME = """concat('Brand#1', 1 + s_suppkey % 5, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('_', 2 + s_suppkey % 9) END, '.jpg')"""
+
+
 def w8(spark, sf):
     frames = t.read(spark, sf, "part").select(
-        F.col("p_partkey").alias("id"), F.expr("'v' || (p_size % 5)").alias("folder"),
-        F.expr("p_brand || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.jpg' END").alias("name"),
+        F.col("p_partkey").alias("id"), F.expr("concat('v', p_size % 5)").alias("folder"), F.expr(FRAME_NAME).alias("name")
     )
-    return selection.unique_names(frames, ["id"]).select("id", "folder", "target")
-
-
-W8 = """
-SELECT id, folder, CASE WHEN n = 1 THEN name
-       ELSE regexp_replace(name, '\\.jpg$', '') || '_' || n || CASE WHEN name LIKE '%.jpg' THEN '.jpg' ELSE '' END END AS target
-FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) AS n FROM (
-  SELECT p_partkey AS id, 'v' || (p_size % 5) AS folder,
-         p_brand || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.jpg' END AS name FROM part))"""
+    files = t.read(spark, sf, "supplier").select(
+        F.expr("concat('v', s_suppkey % 4)").alias("folder"), F.expr(FILE_NAME).alias("name")
+    )
+    return selection.unique_names(frames, ["id"], files.distinct()).select("id", "folder", "target")
+
+
+# Row by row: every row takes the first of its names that is not taken.
+W8 = f"""
+WITH RECURSIVE named AS (
+  SELECT p_partkey AS id, concat('v', p_size % 5) AS folder, {FRAME_NAME} AS name,
+         row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_partkey) AS seq FROM part),
+parts AS (SELECT *, regexp_replace(name, '\\.jpg$', '') AS stem, CASE WHEN name LIKE '%.jpg' THEN '.jpg' ELSE '' END AS ext FROM named),
+files AS (SELECT concat('v', s_suppkey % 4) AS folder, list({FILE_NAME}) AS present FROM supplier GROUP BY ALL),
+steps AS (
+  SELECT folder, CAST(0 AS BIGINT) AS seq, coalesce(present, []) AS taken, '' AS target, CAST(0 AS BIGINT) AS id
+  FROM (SELECT DISTINCT folder FROM parts) LEFT JOIN files USING (folder)
+  UNION ALL
+  SELECT folder, seq, list_append(taken, target), target, id FROM (
+    SELECT p.folder, p.seq, s.taken, p.id, CASE WHEN NOT list_contains(s.taken, p.name) THEN p.name ELSE concat(p.stem, '_',
+      list_filter(range(2, len(s.taken) + 3), lambda k: NOT list_contains(s.taken, concat(p.stem, '_', k, p.ext)))[1], p.ext) END AS target
+    FROM steps s JOIN parts p ON p.folder = s.folder AND p.seq = s.seq + 1))
+SELECT id, folder, target FROM steps WHERE seq > 0"""
 
 
 def w9(spark, sf):
