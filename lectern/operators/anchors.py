@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.model_output import (
@@ -16,6 +16,7 @@ from lectern.session import cut_lineage
 COMPLETED_REASON = "程序根据 blog_markdown 中的锚点自动补全"
 RECAPTURE_REASON = ("模型引用了无效候选帧，改为按 ", "s 补截")
 KEPT_REASON = "retake 超限，保守保留当前帧"
+UNSERVED_REASON = "retake frame was not captured"
 
 
 def read_answers(responses: DataFrame) -> DataFrame:
@@ -252,31 +253,50 @@ def evaluate_batches(responses: DataFrame, batch_items: DataFrame) -> tuple[Data
 def resolve_retakes(rounds: DataFrame, max_retakes: int = 1) -> tuple[DataFrame, DataFrame]:
     """(final evaluation per anchor, frames to grab for the next rounds).
 
-    An anchor ends at its first round without a retake. One that still asks for
-    a retake in round ``max_retakes`` is kept as it is and marked ``forced``.
+    The ``outcome`` of an anchor is ``kept`` at its first round without a retake,
+    ``forced`` when it still asks for one in round ``max_retakes`` (the frame is then kept
+    as it is), and ``unserved`` when its last round asks for a retake that never came:
+    that evaluation stands, with a reason. A frame to grab is ``served`` when a later
+    round of its anchor is there.
     """
     inside = rounds.where(F.col("round") <= max_retakes)
-    ends = inside.where(~F.col("retake") | (F.col("round") == max_retakes))
     keys = ["video_id", "anchor_id"]
-    rest = [c for c in rounds.columns if c not in keys]
-    last = ends.groupBy(*keys).agg(F.min_by(F.struct(*rest), "round").alias("row")).select(*keys, "row.*")
-    forced = F.col("retake")
-    final = (
-        last.withColumn("forced", forced)
-        .withColumn("keep_image", F.col("keep_image") | forced)
-        .withColumn(
-            "reason",
-            F.when(forced & (F.coalesce("reason", F.lit("")) == ""), KEPT_REASON).otherwise(F.col("reason")),
+    rest = F.struct(*[c for c in rounds.columns if c not in keys])
+    ends = ~F.col("retake") | (F.col("round") == max_retakes)
+    last = (
+        inside.groupBy(*keys)
+        .agg(
+            F.min_by(rest, F.when(ends, F.col("round"))).alias("end"),
+            F.max_by(rest, F.col("round")).alias("last"),
         )
-        .withColumn("retake_timestamp", F.when(~forced, F.col("retake_timestamp")))
-        .withColumn("retake", F.lit(False))
+        .withColumn("outcome", F.when(F.col("end").isNull(), "unserved").when(F.col("end.retake"), "forced").otherwise("kept"))
+        .withColumn("row", F.coalesce("end", "last"))
+        .select(*keys, "row.*", "outcome")
+    )
+    unsaid = F.coalesce("reason", F.lit("")) == ""
+    final = last.withColumns(
+        {
+            "forced": F.col("outcome") == "forced",
+            "keep_image": F.col("keep_image") | (F.col("outcome") == "forced"),
+            "reason": F.when((F.col("outcome") == "forced") & unsaid, KEPT_REASON)
+            .when((F.col("outcome") == "unserved") & unsaid, UNSERVED_REASON)
+            .otherwise(F.col("reason")),
+            "retake_timestamp": F.when(F.col("outcome") != "forced", F.col("retake_timestamp")),
+            "retake": F.lit(False),
+        }
     )
     at = F.coalesce(F.nullif("retake_timestamp", F.lit(0.0)), F.col("timestamp"))
-    captures = inside.where(F.col("retake") & (F.col("round") < max_retakes)).select(
-        *keys,
-        (F.col("round") + 1).alias("round"),
-        "srt_id",
-        at.alias("timestamp"),
-        F.format_string("retakes/%s_retake_%03d_%.3f.jpg", F.col("anchor_id"), F.col("srt_id"), at).alias("target"),
+    latest = F.max("round").over(Window.partitionBy(*keys))
+    captures = (
+        inside.withColumn("__latest", latest)
+        .where(F.col("retake") & (F.col("round") < max_retakes))
+        .select(
+            *keys,
+            (F.col("round") + 1).alias("round"),
+            "srt_id",
+            at.alias("timestamp"),
+            F.format_string("retakes/%s_retake_%03d_%.3f.jpg", F.col("anchor_id"), F.col("srt_id"), at).alias("target"),
+            (F.col("__latest") > F.col("round")).alias("served"),
+        )
     )
     return final, captures

@@ -194,6 +194,8 @@ def illustrate(ready: Prepared, titles: DataFrame, models: Models) -> Illustrate
         if wanted.isEmpty():
             break
         got = cut_lineage(models.grab(wanted))
+        never = wanted.join(got, ["video_id", "anchor_id"], "left_anti")
+        open_captures = open_captures.unionByName(never.select(*open_captures.columns))
         current = got.withColumn("frame_path", F.col("target")).select(*asked)
     final, _ = anchors.resolve_retakes(_together(rounds), retakes)
     # Evaluations keep the order of their chunks and, within one, of the anchors.

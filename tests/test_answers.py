@@ -149,18 +149,25 @@ def test_retakes(table):
     rows = table(
         ROUNDS, (1, "a", 0, 1, 5.0, False, "", True, 7.0), (1, "a", 1, 1, 7.0, False, "", True, 8.0),
         (1, "b", 0, 2, 5.0, False, "no", False, None), (1, "c", 0, 3, 5.0, False, "dark", True, 0.0), (1, "c", 1, 3, 5.0, True, "ok", False, None),
+        (1, "d", 0, 4, 9.0, False, "", True, 6.0), (1, "e", 0, 5, 9.0, False, "blurred", True, None),
     )
     final, captures = anchors.resolve_retakes(rows, 1)
     got = {r.anchor_id: (r["round"], r.keep_image, r.retake, r.retake_timestamp, r.reason, r.forced) for r in final.collect()}
     assert got == {
         "a": (1, True, False, None, anchors.KEPT_REASON, True), "b": (0, False, False, None, "no", False),
         "c": (1, True, False, None, "ok", False),
+        # The frame never came: the evaluation stays, with a reason, and the frame is still wanted.
+        "d": (0, False, False, 6.0, anchors.UNSERVED_REASON, False), "e": (0, False, False, None, "blurred", False),
     }
-    assert {(r.anchor_id, r.timestamp, r.target) for r in captures.collect()} == {
-        ("a", 7.0, "retakes/a_retake_001_7.000.jpg"), ("c", 5.0, "retakes/c_retake_003_5.000.jpg"),
+    assert {r.anchor_id: r.outcome for r in final.collect()} == {
+        "a": "forced", "b": "kept", "c": "kept", "d": "unserved", "e": "unserved",
+    }
+    assert {(r.anchor_id, r.timestamp, r.target, r.served) for r in captures.collect()} == {
+        ("a", 7.0, "retakes/a_retake_001_7.000.jpg", True), ("c", 5.0, "retakes/c_retake_003_5.000.jpg", True),
+        ("d", 6.0, "retakes/d_retake_004_6.000.jpg", False), ("e", 9.0, "retakes/e_retake_005_9.000.jpg", False),
     }
     none, _ = anchors.resolve_retakes(rows, 0)
-    assert {r.anchor_id: r.forced for r in none.collect()} == {"a": True, "b": False, "c": True}
+    assert {r.anchor_id: r.forced for r in none.collect()} == {"a": True, "b": False, "c": True, "d": True, "e": True}
 
 
 def refusing(batches):

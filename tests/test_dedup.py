@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import dedup as d
 
@@ -53,6 +54,38 @@ def test_equals_loop(spark, threshold, limit, fold, step):
     assert {(r.video_id, r.frame_id) for r in got.collect()} == loop(data, threshold, limit)
 
 
+@pytest.mark.parametrize("threshold,block", [(0.95, 20), (0.95, 150), (0.9, 30), (0.99, 7)])
+def test_blocks_equal_loop(spark, threshold, block):
+    data = rows(900, seed=4)
+    # A slow drift, where every frame is close to the next one only.
+    drift, h = [], 0
+    for i in range(60):
+        drift.append((9, 10_000 + i, "d", float(i), h))
+        h ^= 0b11 << (2 * (i % 31))
+    df = spark.createDataFrame(data + drift, SCHEMA)
+    got = d.deduplicate(df, threshold, float("inf"), fold_rows=40, round_rows=20, block_rows=block)
+    assert {(r.video_id, r.frame_id) for r in got.collect()} == loop(data + drift, threshold, 10**9)
+    some = d.deduplicate(df, threshold, 25, fold_rows=40, round_rows=20, block_rows=block)
+    assert {(r.video_id, r.frame_id) for r in some.collect()} == loop(data + drift, threshold, 25)
+
+
+def test_close_hashes_share_a_key(spark):
+    rng = random.Random(8)
+    pairs = []
+    for d_max in (0, 1, 3, 6):
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), d_max):
+                b ^= 1 << bit
+            pairs.append((d_max, *[x - 2**64 if x >= 2**63 else x for x in (a, b)]))
+    df = spark.createDataFrame(pairs, "d int, a long, b long")
+    for d_max in (0, 1, 3, 6):
+        mine = df.where(f"d = {d_max}")
+        shared = F.size(F.array_intersect(d._keys(F.col("a"), d_max), d._keys(F.col("b"), d_max)))
+        assert mine.where(shared == 0).isEmpty()
+
+
 def test_distance_is_strict():
     assert d.largest_duplicate_distance(0.95) == 3
     assert d.largest_duplicate_distance(0.9) == 6

@@ -99,3 +99,11 @@ def test_without_a_grabber(ready, table):
     assert {(r.anchor_id, r.timestamp) for r in out.captures.collect()} == {("c0_a2", 9999.5), ("c1_a2", 9999.5)}
     assert {r.anchor_id: r.keep_image for r in out.evaluations.collect()} == {"c0_a1": True}
     assert "[[FRAME" not in out.blog.where(F.col("video_id") == 1).first()["text"]
+
+
+def test_retakes_that_never_come(ready, table):
+    titles = table("video_id int, title string", (1, "One"))
+    out = illustrate(ready, titles, models(grab=lambda rows: rows.limit(0) if "round" in rows.columns else rows))
+    got = {r.anchor_id: r.outcome for r in out.evaluations.collect()}
+    assert got == {"c0_a1": "kept", "c0_a2": "unserved", "c1_a2": "unserved"}
+    assert {(r.anchor_id, r["round"], r.timestamp) for r in out.captures.collect()} == {("c0_a2", 1, 42.0), ("c1_a2", 1, 42.0)}

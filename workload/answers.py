@@ -360,9 +360,9 @@ FROM batch_items WHERE kind NOT IN (2, 3)""")
 
 
 def rounds(spark, sf):
-    """Three rounds per labelled frame; toxic ones ask for a retake for a while."""
+    """Three rounds per labelled frame; toxic ones ask for a retake for a while, some in vain."""
     n = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("round")
-    rows = t.read(spark, sf, "labels").select("*", n)
+    rows = t.read(spark, sf, "labels").select("*", n).where("doc_id % 11 <> 4 OR round = 0")
     again = ((F.col("toxic") == 1) | (F.col("doc_id") % 3 == 0)) & (F.col("round") < F.col("doc_id") % 4)
     return rows.select(
         (F.col("doc_id") % 50).alias("video_id"), F.expr("'a' || doc_id").alias("anchor_id"), "round",
@@ -379,29 +379,33 @@ SELECT doc_id % 50 AS video_id, 'a' || doc_id AS anchor_id, doc_id, round, doc_i
        CASE WHEN doc_id % 2 = 0 THEN 'r' || round ELSE '' END AS reason,
        (toxic = 1 OR doc_id % 3 = 0) AND round < doc_id % 4 AS retake,
        CASE doc_id % 5 WHEN 0 THEN 0e0 WHEN 1 THEN NULL ELSE doc_id + 10e0 END AS rt
-FROM labels, (SELECT unnest([0, 1, 2]) AS round)""")
+FROM labels, (SELECT unnest([0, 1, 2]) AS round) WHERE doc_id % 11 <> 4 OR round = 0""")
 
 
 def w10(spark, sf):
     final, _ = anchors.resolve_retakes(rounds(spark, sf), 1)
-    return final.select("video_id", "anchor_id", "round", "timestamp", "keep_image", "retake", "reason", "forced")
+    return final.select("video_id", "anchor_id", "round", "timestamp", "keep_image", "retake", "reason", "forced", "outcome")
 
 
 W10 = query(f"""
-SELECT video_id, anchor_id, round, timestamp, keep_image OR retake AS keep_image, false AS retake,
-       CASE WHEN retake AND reason = '' THEN '{anchors.KEPT_REASON}' ELSE reason END AS reason, retake AS forced
-FROM rounds WHERE round <= 1 AND (NOT retake OR round = 1)
-QUALIFY row_number() OVER (PARTITION BY video_id, anchor_id ORDER BY round) = 1""")
+SELECT video_id, anchor_id, round, timestamp, keep_image OR (retake AND round = 1) AS keep_image, false AS retake,
+       CASE WHEN retake AND reason = '' THEN CASE round WHEN 1 THEN '{anchors.KEPT_REASON}' ELSE '{anchors.UNSERVED_REASON}' END
+            ELSE reason END AS reason,
+       retake AND round = 1 AS forced, CASE WHEN NOT retake THEN 'kept' WHEN round = 1 THEN 'forced' ELSE 'unserved' END AS outcome
+FROM rounds WHERE round <= 1
+QUALIFY row_number() OVER (PARTITION BY video_id, anchor_id
+        ORDER BY CASE WHEN NOT retake OR round = 1 THEN round ELSE 9 - round END) = 1""")
 
 
 def w10_next(spark, sf):
     _, captures = anchors.resolve_retakes(rounds(spark, sf), 2)
-    return captures.select("video_id", "anchor_id", "round", "timestamp", "target")
+    return captures.select("video_id", "anchor_id", "round", "timestamp", "target", "served")
 
 
 W10_NEXT = query("""
 SELECT video_id, anchor_id, round + 1 AS round, coalesce(nullif(rt, 0), timestamp) AS timestamp,
-       'retakes/' || anchor_id || printf('_retake_%03d_%.3f.jpg', doc_id % 7, coalesce(nullif(rt, 0), timestamp)) AS target
+       'retakes/' || anchor_id || printf('_retake_%03d_%.3f.jpg', doc_id % 7, coalesce(nullif(rt, 0), timestamp)) AS target,
+       doc_id % 11 <> 4 AS served
 FROM rounds WHERE round < 2 AND retake""")
 
 # --- model calls -------------------------------------------------------------------------------
