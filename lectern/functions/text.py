@@ -174,3 +174,51 @@ def midpoint(start: Column, end: Column) -> Column:
 def repair_midpoint(start: Column, end: Column) -> Column:
     """As ``midpoint``, but a missing end counts as zero."""
     return (F.coalesce(start, F.lit(0.0)) + F.coalesce(end, F.lit(0.0))) / 2.0
+
+
+def python_float(number: Column) -> Column:
+    """A double as Python prints it: fewest digits that give it back, exponents below -4 and from 16 on."""
+    number = number.cast("double")
+    tries = [F.format_string(f"%.{p}e", number) for p in range(17)]
+    fewest = F.coalesce(*[F.when(t.cast("double") == number, t) for t in tries], tries[-1])
+
+    def printed(sci: Column) -> Column:
+        sign = F.when(F.startswith(sci, F.lit("-")), "-").otherwise("")
+        digits = F.regexp_replace(F.regexp_extract(sci, r"([0-9.]+)e", 1), r"\.", "")
+        power = F.regexp_extract(sci, r"e([+-][0-9]+)", 1).cast("int")
+        n = F.length(digits)
+        whole = F.when(power >= n - 1, F.concat(F.rpad(digits, power + 1, F.lit("0")), F.lit(".0"))).otherwise(
+            F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))
+        )
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        body = F.when((power < -4) | (power >= 16), F.regexp_replace(sci, "-(?=.*e)", "")).when(power < 0, small).otherwise(whole)
+        return F.concat(sign, body)
+
+    return (
+        F.when(F.isnan(number), "NaN")
+        .when(number == float("inf"), "Infinity")
+        .when(number == float("-inf"), "-Infinity")
+        .when(number == 0, F.when(F.startswith(number.cast("string"), F.lit("-")), "-0.0").otherwise("0.0"))
+        .when(number.isNotNull(), let(fewest, printed))
+    )
+
+
+# The short escapes of JSON.
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_ascii(text: Column) -> Column:
+    """A JSON string in ASCII: everything else as ``\\uXXXX``, in pairs above U+FFFF."""
+
+    def escaped(char: Column) -> Column:
+        units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
+        out = F.when(F.rlike(char, F.lit(r"\A[ -~]\z")), char).otherwise(
+            F.regexp_replace(units, "(.{4})", r"\\u$1")
+        )
+        for raw, short in _ESCAPES.items():
+            out = F.when(char == raw, short).otherwise(out)
+        return out
+
+    plain = F.rlike(text, F.lit(r'\A[ !#-\[\]-~]*\z'))
+    inner = F.when(plain, text).otherwise(F.array_join(F.transform(F.split(text, ""), escaped), ""))
+    return F.concat(F.lit('"'), inner, F.lit('"'))

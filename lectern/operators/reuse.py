@@ -9,6 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import json_ascii, python_float
 from lectern.operators.ordering import MAX_GROUP_ROWS, has_large_group
 from lectern.operators.streams import fold, fold_partitions
 
@@ -37,26 +38,23 @@ def config_hash(
     similarity: Column | None = None,
     max_frames: Column | None = None,
 ) -> Column:
-    """Hash of the settings that a cache depends on, as JSON with sorted keys."""
+    """Hash of the settings that a cache depends on, as JSON with sorted keys in ASCII."""
 
     def text(value: Column | None) -> Column:
-        return F.to_json(F.array(F.coalesce(value, F.lit("")) if value is not None else F.lit("")))
+        return json_ascii(F.coalesce(value, F.lit("")) if value is not None else F.lit(""))
 
-    def inner(value: Column | None) -> Column:
-        # to_json quotes and escapes; the array brackets come off again.
-        return F.regexp_replace(text(value), r"\A\[|\]\z", "")
-
-    def number(value: Column | None, zero: str) -> Column:
-        return F.lit(zero) if value is None else F.coalesce(value.cast("string"), F.lit(zero))
+    def number(value: Column | None) -> Column:
+        return python_float(F.coalesce(value, F.lit(0.0)) if value is not None else F.lit(0.0))
 
+    most = F.lit("0") if max_frames is None else F.coalesce(max_frames.cast("string"), F.lit("0"))
     return short_hash(
         F.concat(
-            F.lit('{"asr_model": '), inner(model),
-            F.lit(', "asr_provider": '), inner(provider),
-            F.lit(', "heuristic_max_frames": '), number(max_frames, "0"),
-            F.lit(', "heuristic_scene_threshold": '), number(scene, "0.0"),
-            F.lit(', "heuristic_similarity_threshold": '), number(similarity, "0.0"),
-            F.lit(', "mode": '), inner(mode), F.lit("}"),
+            F.lit('{"asr_model": '), text(model),
+            F.lit(', "asr_provider": '), text(provider),
+            F.lit(', "heuristic_max_frames": '), most,
+            F.lit(', "heuristic_scene_threshold": '), number(scene),
+            F.lit(', "heuristic_similarity_threshold": '), number(similarity),
+            F.lit(', "mode": '), text(mode), F.lit("}"),
         )
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.ordering import ordered, ordinal
@@ -61,31 +61,33 @@ def export(
 ) -> DataFrame:
     """Sessions with their messages in order, as nested rows.
 
-    Times become ISO strings and JSON text columns become values. A session
+    Times become ISO strings, with microseconds where there are any, and JSON text columns
+    become variants, which the JSON writer prints as the values they hold. A session
     with more than ``page_messages`` messages continues on further pages.
     """
 
-    def iso(column: str):
-        return F.date_format(F.timestamp_seconds(F.col(column)), "yyyy-MM-dd'T'HH:mm:ss")
-
-    plain = [
-        c for c in messages.columns
-        if c not in ("id", "session_id", "created_at", "tool_calls", "reasoning")
-    ]
-    message = F.struct(
-        F.col("__pos").alias("position"),
-        *plain,
-        *[
-            F.try_parse_json(F.nullif(F.col(c), F.lit(""))).cast("string").alias(c)
-            for c in ("tool_calls", "reasoning")
-        ],
-        iso("created_at").alias("created_at"),
-    )
+    def iso(column: str) -> Column:
+        micros = F.rint(F.col(column) * F.lit(1e6)).cast("long")
+        fraction = F.pmod(micros, F.lit(1_000_000))
+        seconds = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss")
+        return F.when(fraction == 0, seconds).otherwise(
+            F.concat(seconds, F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))
+        )
+
+    nested = ["tool_calls", "reasoning"]
+    plain = [c for c in messages.columns if c not in ("id", "session_id", "created_at", *nested)]
+    message = F.struct(F.col("__pos").alias("position"), *plain, *nested, iso("created_at").alias("created_at"))
+
+    def parsed(m: Column) -> Column:
+        values = [F.try_parse_json(F.nullif(m[c], F.lit(""))).alias(c) for c in nested]
+        return F.struct(*[m[c].alias(c) for c in ("position", *plain)], *values, m["created_at"].alias("created_at"))
+
     pages = (
         ordered(messages, ["session_id"], ["created_at", "id"], {"__pos": ordinal()}, **options)
         .withColumn("page", F.floor((F.col("__pos") - 1) / page_messages).cast("int"))
         .groupBy("session_id", "page")
         .agg(F.array_sort(F.collect_list(message)).alias("messages"))
+        .withColumn("messages", F.transform("messages", parsed))
     )
     return (
         sessions.join(pages, F.col("id") == F.col("session_id"), "left")

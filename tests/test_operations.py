@@ -3,11 +3,13 @@
 import datetime
 import hashlib
 import json
+import random
 
 import pytest
 from helpers import value
 from pyspark.sql import functions as F
 
+from lectern.functions.text import python_float
 from lectern.operators import reuse, runs, sessions
 from lectern.sources import files
 
@@ -41,7 +43,8 @@ def test_sessions(table):
     pages = {(r.id, r.page): r for r in sessions.export(s, m, page_messages=1, max_rows=1).collect()}
     assert set(pages) == {(1, 0), (1, 1), (2, 0)}
     first, second = pages[1, 0].messages[0], pages[1, 1].messages[0]
-    assert (first.role, first.tool_calls, second.tool_calls, second.created_at) == ("assistant", None, '{"a":1}', "1970-01-01T00:00:03")
+    assert (first.role, first.tool_calls, second.created_at) == ("assistant", None, "1970-01-01T00:00:03")
+    assert second.tool_calls.toPython() == {"a": 1}
     left, kept, gone = sessions.delete(s, m, s.where("id = 1").select("id"))
     assert [r.id for r in left.collect()] == [2] and kept.count() == 0
     assert [tuple(r) for r in gone.collect()] == [(1, 2)]
@@ -63,6 +66,39 @@ def test_config_hash(spark):
     assert got == short(json.dumps(config, sort_keys=True))
 
 
+def test_config_hash_of_odd_names_and_numbers(spark):
+    for name, scene, similarity in (
+        ("转写 \U0001f600 \x7f\x00\n\t\b\f\r\"\\/", 1e-05, 1e22), ("", 0.1 + 0.2, 1.5e-10), ("é", 1e16, 123456789012345.6),
+        ("a", 9.999999999999999e15, 5e-324), ("b", -0.0, -1.25), ("c", 1e-4, 1.7976931348623157e308), ("d", 100.0, 2e-3), ("e", float("inf"), 1 / 3),
+    ):
+        config = {
+            "mode": "keyframe", "asr_provider": name, "asr_model": name, "heuristic_scene_threshold": scene,
+            "heuristic_similarity_threshold": similarity, "heuristic_max_frames": 7,
+        }
+        got = value(spark, reuse.config_hash(F.lit("keyframe"), F.lit(name), F.lit(name), F.lit(scene), F.lit(similarity), F.lit(7)))
+        assert got == short(json.dumps(config, sort_keys=True)), (name, scene, similarity)
+
+
+def test_numbers_print_as_in_python(spark):
+    rng = random.Random(2)
+    numbers = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-30, 30) for _ in range(500)] + [round(rng.uniform(0, 1000), 3) for _ in range(200)]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select(python_float(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [repr(x) for x in numbers]
+
+
+def test_export_prints_values_and_microseconds(spark, table):
+    s = table("id long, title string, thread_id string, created_at double, updated_at double", (1, "t", None, 1.75, 2.0))
+    m = table(
+        "id long, session_id long, role string, content string, tool_calls string, reasoning string, created_at double",
+        (5, 1, "user", "hi", '{"call": [1, {"x": null}]}', "broken", 1.000001), (6, 1, "user", "yo", "", '"text"', 1.5),
+    )
+    row = json.loads(sessions.export(s, m).toJSON().first())
+    assert row["created_at"] == "1970-01-01T00:00:01.750000" and row["updated_at"] == "1970-01-01T00:00:02"
+    first, second = row["messages"]
+    assert first["tool_calls"] == {"call": [1, {"x": None}]} and "reasoning" not in first and second["reasoning"] == "text"
+    assert (first["created_at"], second["created_at"]) == ("1970-01-01T00:00:01.000001", "1970-01-01T00:00:01.500000")
+
+
 ROW = (
     "video_id int, mode string, input_sha string, input_size long, subtitle_sha string, subtitle_size long, "
     "config_hash string, frames_digest string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from lectern.operators import reuse, runs, sessions
@@ -180,23 +182,35 @@ def a9_roles(spark, sf):
     return sessions.messages_by_role(chat(spark, sf)[1])
 
 
+# Fractions of a second that are part of some times.
+PART = "CASE {x} % 4 WHEN 1 THEN 0.75 WHEN 2 THEN 0.000125 ELSE 0 END"
+
+
 def a10(spark, sf):
-    pages = sessions.export(*chat(spark, sf))
+    s, m = chat(spark, sf)
+    late = [F.col("created_at") + F.expr(PART.format(x="id")).cast("double")]
+    pages = sessions.export(s.withColumn("created_at", *late), m.withColumn("created_at", *late))
     return pages.select(
         "id", "page", "title", "thread_id", "created_at", "updated_at",
         F.posexplode_outer("messages").alias("place", "m"),
     ).select(
-        "id", "page", "title", "thread_id", "created_at", "updated_at", "m.position", "m.role", "m.content", "m.tool_calls",
-        "m.reasoning", F.col("m.created_at").alias("sent_at"),
+        "id", "page", "title", "thread_id", "created_at", "updated_at", "m.position", "m.role", "m.content",
+        # As the JSON writer prints them: values, not quoted texts.
+        F.when(F.col("m").isNotNull(), F.to_json(F.struct("m.tool_calls", "m.reasoning"))).alias("nested"),
+        F.col("m.created_at").alias("sent_at"),
     )
 
 
 ISO = "strftime(make_timestamp({x} * 1000000), '%Y-%m-%dT%H:%M:%S')"
+ISO_PART = "{iso} || CASE {x} % 4 WHEN 1 THEN '.750000' WHEN 2 THEN '.000125' ELSE '' END"
 A10 = query(f"""
-SELECT s.id, 0 AS page, s.title, s.thread_id, {ISO.format(x='s.created_at')} AS created_at, {ISO.format(x='s.updated_at')} AS updated_at,
-       CASE WHEN m.id IS NOT NULL THEN row_number() OVER (PARTITION BY s.id ORDER BY m.created_at, m.id) END AS position,
-       m.role, m.content, CASE WHEN m.turn % 4 = 0 THEN '{{"call":' || m.turn || '}}' END AS tool_calls,
-       CASE WHEN m.turn % 3 = 0 THEN '[' || m.turn || ']' END AS reasoning, {ISO.format(x='m.created_at')} AS sent_at
+SELECT s.id, 0 AS page, s.title, s.thread_id, {ISO_PART.format(iso=ISO.format(x='s.created_at'), x='s.id')} AS created_at,
+       {ISO.format(x='s.updated_at')} AS updated_at,
+       CASE WHEN m.id IS NOT NULL THEN row_number() OVER (PARTITION BY s.id ORDER BY m.created_at + {PART.format(x='m.id')}, m.id) END AS position,
+       m.role, m.content,
+       CASE WHEN m.id IS NOT NULL THEN '{{' || concat_ws(',', CASE WHEN m.turn % 4 = 0 THEN '"tool_calls":{{"call":' || m.turn || '}}' END,
+         CASE WHEN m.turn % 3 = 0 THEN '"reasoning":[' || m.turn || ']' END) || '}}' END AS nested,
+       {ISO_PART.format(iso=ISO.format(x='m.created_at'), x='m.id')} AS sent_at
 FROM sessions s LEFT JOIN messages m ON s.id = m.session_id""")
 
 
@@ -227,17 +241,43 @@ WHERE s.title IS NULL GROUP BY s.id""")
 # --- caches -----------------------------------------------------------------------------
 
 
+# Names and numbers whose JSON needs escapes and exponents.
+MODEL_NAMES = ["tiny", "转写-大", 'say "hi"', "tab\tend\\", "é\U0001d11e\x7f", ""]
+THRESHOLDS = [0.4, 1e-05, 1e16, 123456789.125, 0.1 + 0.2, 2.0]
+
+
 def a5(spark, sf):
-    """Content hashes of the document texts."""
-    files = t.read(spark, sf, "documents").select(
+    """Content hashes of the document texts, and hashes of settings with names and numbers of many kinds."""
+    rows = t.read(spark, sf, "documents")
+    files = rows.select(
         F.expr("'in/' || doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"),
         F.length(F.encode("text", "UTF-8")).cast("long").alias("length"),
     )
-    return reuse.content_hash(files)
+    names, numbers = (F.array(*[F.lit(x) for x in values]) for values in (MODEL_NAMES, THRESHOLDS))
+    k = F.col("doc_id") % len(MODEL_NAMES)
+    configs = rows.select(
+        F.expr("'config/' || doc_id").alias("path"), F.lit(None).cast("long").alias("size"),
+        reuse.config_hash(
+            F.lit("keyframe"), F.col("lang"), F.get(names, k), scene=F.get(numbers, k), similarity=F.lit(0.95),
+            max_frames=F.col("doc_id") % 7,
+        ).alias("sha"),
+    )
+    return reuse.content_hash(files).unionByName(configs)
+
+
+def _config(k: int) -> str:
+    """SQL for the JSON of the settings with name and number ``k``."""
+    name, number = (json.dumps(x[k]).replace("'", "''") for x in (MODEL_NAMES, THRESHOLDS))
+    return (
+        f"""'{{"asr_model": {name}, "asr_provider": "' || coalesce(lang, '') || '", "heuristic_max_frames": ' || (doc_id % 7)"""
+        f""" || ', "heuristic_scene_threshold": {number}, "heuristic_similarity_threshold": 0.95, "mode": "keyframe"}}'"""
+    )
 
 
-A5 = """
-SELECT 'in/' || doc_id AS path, octet_length(encode(text)) AS size, substr(sha256(text), 1, 16) AS sha FROM documents"""
+A5 = f"""
+SELECT 'in/' || doc_id AS path, octet_length(encode(text)) AS size, substr(sha256(text), 1, 16) AS sha FROM documents
+UNION ALL SELECT 'config/' || doc_id, NULL, substr(sha256(CASE doc_id % {len(MODEL_NAMES)}
+  {' '.join(f'WHEN {k} THEN {_config(k)}' for k in range(len(MODEL_NAMES)))} END), 1, 16) FROM documents"""
 
 
 def manifests(spark, sf, current: bool):
