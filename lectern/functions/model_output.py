@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -86,6 +86,22 @@ def json_object(raw: Column) -> Column:
     return F.coalesce(direct, F.try_parse_json(rest))
 
 
+def json_objects(rows: DataFrame, raw: str, name: str = "obj") -> DataFrame:
+    """Rows with ``json_object`` of a text column, as a table of two branches.
+
+    Texts that the JVM parser takes never come near Python; only the rows with refused
+    ones run through it. The rows are read twice, so a costly table is written before.
+    """
+    text = F.col(raw)
+    at = F.instr(text, "{")
+    direct = F.try_parse_json(F.when(at > 0, F.substr(text, at)))
+    refused = F.coalesce((at > 0) & direct.isNull(), F.lit(False))
+    return (
+        rows.where(~refused).withColumn(name, direct)
+        .unionByName(rows.where(refused).withColumn(name, F.try_parse_json(_salvage_udf(text))))
+    )
+
+
 def _fields(obj: Column, *names: str) -> Column:
     """Kind and text of each field: kind is null when the field is absent."""
 

@@ -17,20 +17,15 @@ def chunk_reach(chunks: DataFrame, **options) -> DataFrame:
 
     Chunks may overlap, and the first chunk in order wins. Starts grow with the
     index, so chunk ``i`` wins from ``max(start_i, largest earlier end)`` to its
-    own end, and nothing when an earlier chunk ends later.
+    own end, and nothing when an earlier chunk ends later. Chunk tables that carry
+    ``from_sec`` already know it.
     """
-    out = ordered(
-        chunks,
-        ["video_id"],
-        ["chunk_index"],
-        {"__past": running_max(F.col("end_sec"), inclusive=False)},
-        **options,
-    )
-    return (
-        out.withColumn("from_sec", F.greatest("start_sec", "__past"))
-        .where("end_sec > from_sec")
-        .select("video_id", "chunk_index", "from_sec", "end_sec")
-    )
+    if "from_sec" not in chunks.columns:
+        past = running_max(F.col("end_sec"), inclusive=False)
+        chunks = ordered(chunks, ["video_id"], ["chunk_index"], {"__past": past}, **options).withColumn(
+            "from_sec", F.greatest("start_sec", "__past")
+        )
+    return chunks.where("end_sec > from_sec").select("video_id", "chunk_index", "from_sec", "end_sec")
 
 
 def frames_in_chunks(chunks: DataFrame, frames: DataFrame, **options) -> DataFrame:

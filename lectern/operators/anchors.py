@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.model_output import (
-    REQUEST_STRUCT, anchors, frame_decision, frame_request, items, json_object, string_field,
+    REQUEST_STRUCT, anchors, frame_decision, frame_request, items, json_objects, string_field,
 )
 from lectern.functions.text import let, one_decimal, strip
 from lectern.operators.alignment import CHUNK, nearest_segment
@@ -28,7 +28,7 @@ def read_answers(responses: DataFrame) -> DataFrame:
     """
     blog = string_field(F.col("obj"), "blog_markdown")
     return cut_lineage(
-        responses.withColumn("obj", json_object(F.col("response")))
+        json_objects(responses.select(*CHUNK, "response"), "response")
         .select(*CHUNK, blog.alias("blog"), items(F.col("obj"), "frame_requests").alias("listed"))
         .select(
             *CHUNK,
@@ -193,9 +193,9 @@ def match_decisions(decisions: DataFrame, batch_items: DataFrame) -> DataFrame:
 
 def read_decisions(responses: DataFrame) -> DataFrame:
     """Vision answers (video_id, batch, response) as one row per decision."""
-    listed = items(json_object(F.col("response")), "decisions")
+    parsed = json_objects(responses.select(*BATCH, "response"), "response")
     return (
-        responses.select(*BATCH, F.posexplode(listed).alias("pos", "decision"))
+        parsed.select(*BATCH, F.posexplode(items(F.col("obj"), "decisions")).alias("pos", "decision"))
         .withColumn("anchor_id", string_field(F.col("decision"), "anchor_id"))
     )
 

@@ -97,6 +97,13 @@ def _chain(starts: DataFrame, seconds: float, max_rows: int) -> DataFrame:
     ).select("video_id", (F.col("n") - 1).cast("int").alias("chunk_index"), F.col("start").alias("chunk_start"))
 
 
+def _seconds(segment_minutes: float) -> float:
+    seconds = float(segment_minutes) * 60.0
+    if seconds <= 0:
+        raise ValueError(f"segment_minutes must be > 0, got {segment_minutes}")
+    return seconds
+
+
 def chunk_starts(
     segments: DataFrame, segment_minutes: float = 10.0, *, max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
@@ -106,9 +113,7 @@ def chunk_starts(
     after the current chunk's own first segment, so boundaries depend on the
     data and not on a fixed grid.
     """
-    seconds = float(segment_minutes) * 60.0
-    if seconds <= 0:
-        raise ValueError(f"segment_minutes must be > 0, got {segment_minutes}")
+    seconds = _seconds(segment_minutes)
     starts = timed(segments).select("video_id", "start")
     large = starts.groupBy("video_id").count().where(F.col("count") > max_rows).select("video_id")
     n_large = large.count()
@@ -148,6 +153,47 @@ def assign_chunks(
     )
 
 
+def numbered_members(segments: DataFrame, segment_minutes: float = 10.0) -> DataFrame:
+    """Timed segments with ``chunk_index``, ``srt_id`` and what the chunk table says of their chunk.
+
+    For videos that fit one task each. The chunk starts of a video are one array, met in
+    a join on the video; all windows then run where the rows of the video are. The row with
+    ``srt_id`` 1 of a chunk stands for it, see ``first_rows``.
+    """
+    rows = timed(segments)
+    arrays = rows.groupBy("video_id").agg(
+        _fold(F.array_sort(F.collect_set("start")), _seconds(segment_minutes)).alias("__starts")
+    )
+    before = F.filter("__starts", lambda x: x <= F.col("start"))
+    placed = rows.join(arrays, "video_id").select(*segments.columns, (F.size(before) - 1).alias("chunk_index"))
+    video = Window.partitionBy("video_id").orderBy("start", "seq")
+    chunk = Window.partitionBy("video_id", "chunk_index")
+    inside = chunk.orderBy("start", "seq")
+    placed = placed.select(
+        "*",
+        F.row_number().over(inside).cast("long").alias("srt_id"),
+        F.row_number().over(video).cast("long").alias("__place"),
+        F.count(F.lit(1)).over(chunk).alias("n_segments"),
+        F.min("start").over(chunk).alias("start_sec"),
+        F.last(F.coalesce("end", "start")).over(
+            inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ).alias("end_sec"),
+    )
+    closing = F.when(F.col("srt_id") == F.col("n_segments"), F.col("end_sec"))
+    past = F.max(closing).over(video.rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select(
+        *segments.columns, "chunk_index", "srt_id", "start_sec", "end_sec", "n_segments",
+        (F.col("__place") - F.col("srt_id")).alias("segment_offset"),
+        F.when(F.col("srt_id") == 1, F.greatest("start_sec", past)).alias("from_sec"),
+    )
+
+
+def first_rows(numbered: DataFrame) -> DataFrame:
+    """The chunk table of ``numbered_members``, without a shuffle."""
+    columns = ["video_id", "chunk_index", "start_sec", "end_sec", "n_segments", "segment_offset", "from_sec"]
+    return numbered.where("srt_id = 1").select(*columns)
+
+
 def chunk_table(members: DataFrame) -> DataFrame:
     """Per chunk: first start, the last segment's end (not the largest), row count."""
     last = F.struct("start", "seq")

@@ -34,6 +34,13 @@ def has_large_group(df: DataFrame, keys: list[str], max_rows: int = MAX_GROUP_RO
     return bool(sizes.where(F.col("count") > max_rows).limit(1).count())
 
 
+def any_large_group(tables: list[DataFrame], key: str, max_rows: int = MAX_GROUP_ROWS) -> bool:
+    """``has_large_group`` of several tables with the same key, in one aggregate."""
+    keyed = [df.select(key, F.lit(i).alias("__table")) for i, df in enumerate(tables)]
+    sizes = reduce(DataFrame.unionByName, keyed).groupBy(key, "__table").count()
+    return not sizes.where(F.col("count") > max_rows).isEmpty()
+
+
 @dataclass(frozen=True)
 class Spec:
     kind: str

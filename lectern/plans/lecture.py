@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import alignment, chunking, documents
-from lectern.operators.ordering import MAX_GROUP_ROWS, has_large_group
-from lectern.session import cut_lineage
+from lectern.operators.ordering import MAX_GROUP_ROWS, any_large_group
+from lectern.session import cut_lineage, hand_over
 
 
 @dataclass
@@ -33,24 +33,26 @@ class Prepared:
 def prepare(segments: DataFrame, frames: DataFrame, settings: Settings = Settings()) -> Prepared:
     """Chunk the transcripts, number the segments, place and cap the frames.
 
-    Group sizes are checked once, on the inputs: no later group of a video or of
-    a chunk is larger. The chunk table is small and feeds every later step, so it
-    is written once.
+    Group sizes are checked once, on the key columns of both inputs: no later group of a
+    video or of a chunk is larger. The second read of the segments chunks and numbers them;
+    all three tables are handed over, as every later step reads them again.
     """
-    sized = {"max_rows": settings.max_rows}
-    large = has_large_group(chunking.timed(segments), ["video_id"], settings.max_rows) or has_large_group(
-        frames, ["video_id"], settings.max_rows
-    )
-    starts = cut_lineage(chunking.chunk_starts(segments, settings.segment_minutes, **sized))
-    members = chunking.assign_chunks(segments, starts, settings.segment_minutes)
-    chunks = cut_lineage(chunking.chunk_offsets(chunking.chunk_table(members), large=large))
+    large = any_large_group([chunking.timed(segments), frames], "video_id", settings.max_rows)
+    if large:
+        starts = cut_lineage(
+            chunking.chunk_starts(segments, settings.segment_minutes, max_rows=settings.max_rows)
+        )
+        members = chunking.assign_chunks(segments, starts, settings.segment_minutes)
+        numbered = hand_over(chunking.number_segments(members, large=True), "segments")
+        chunks = chunking.chunk_offsets(chunking.chunk_table(numbered), large=True)
+    else:
+        full = hand_over(chunking.numbered_members(segments, settings.segment_minutes), "segments")
+        numbered = full.select(*segments.columns, "chunk_index", "srt_id")
+        chunks = chunking.first_rows(full)
+    chunks = hand_over(chunks, "chunks")
     placed = alignment.distribute_frames(chunks, frames, large=large)
-    return Prepared(
-        chunks=chunks,
-        segments=chunking.number_segments(members, large=large),
-        frames=alignment.cap_frames(placed, settings.max_images_per_chunk, large=large),
-        large=large,
-    )
+    capped = hand_over(alignment.cap_frames(placed, settings.max_images_per_chunk, large=large), "frames")
+    return Prepared(chunks=chunks.drop("from_sec"), segments=numbered, frames=capped, large=large)
 
 
 def chunk_summary(ready: Prepared) -> DataFrame:

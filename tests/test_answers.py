@@ -170,6 +170,18 @@ def test_retakes(table):
     assert {r.anchor_id: r.forced for r in none.collect()} == {"a": True, "b": False, "c": True, "d": True, "e": True}
 
 
+def test_only_refused_texts_reach_python(table):
+    raws = ['{"a": 1}', 'so: {"a": 2} and', '{"a": 1, "a": 3}', "none", "{broken", None, '{"a": NaN}', ""]
+    rows = table("id int, raw string", *enumerate(raws))
+    out = mo.json_objects(rows, "raw")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    accepted, refused = plan.split("\n:- ")[1].split("\n+- ")[0], plan.split("\n+- ")[1]
+    assert "ArrowEvalPython" not in accepted and "ArrowEvalPython" in refused
+    got = {r.id: r.o for r in out.select("id", F.to_json("obj").alias("o")).collect()}
+    want = {r.id: r.o for r in rows.select("id", F.to_json(mo.json_object(F.col("raw"))).alias("o")).collect()}
+    assert got == want and len(got) == len(raws)
+
+
 def refusing(batches):
     for b in batches:
         yield b.assign(response=["bad"] * len(b))[["doc_id", "response"]]

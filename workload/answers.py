@@ -66,8 +66,8 @@ def wrapped(spark, sf):
 
 
 def f22(spark, sf):
-    obj = mo.json_object(F.col("raw"))
-    return wrapped(spark, sf).select(
+    obj = F.col("obj")
+    return mo.json_objects(wrapped(spark, sf), "raw").select(
         "doc_id", mo.string_field(obj, "blog_markdown").alias("blog"), F.try_variant_get(obj, "$.n", "long").alias("n")
     )
 
