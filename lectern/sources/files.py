@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.model_output import image_type
 from lectern.functions.text import frame_name_time
 from lectern.operators.inference import log_to_keep
+from lectern.sources.text_sink import EMPTY_NAME, NO_NAME, TextDocuments
 
 MANIFEST = (
     "video_id string, mode string, input_sha string, input_size bigint, subtitle_sha string, "
@@ -53,14 +54,27 @@ def write_texts(parts: DataFrame, path: str) -> None:
     parts.select("video_id", "part", "text").write.mode("overwrite").json(path)
 
 
-def write_text_files(parts: DataFrame, path: str) -> None:
-    """Documents as plain text, one folder per video and part.
+def write_text_files(parts: DataFrame, path: str, suffix: str) -> None:
+    """Documents as plain text, one file ``<video_id>.<suffix>`` each.
 
-    Meant for hand-over of few videos: every one becomes a folder.
+    A task writes the files of many videos; the parts of a document reach its file in order.
     """
-    # The writer ends each row with a line break of its own.
-    text = F.regexp_replace("text", "\n\\z", "").alias("text")
-    parts.select("video_id", "part", text).write.mode("overwrite").partitionBy("video_id", "part").text(path)
+    parts.sparkSession.dataSource.register(TextDocuments)
+    rows = parts.select(F.col("video_id").cast("string").alias("name"), "part", "text")
+    rows = rows.repartition("name").sortWithinPartitions("name", "part").select("name", "text")
+    rows.write.format("text_documents").mode("overwrite").option("suffix", suffix).save(path)
+
+
+def read_text_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(video_id, text) of written documents; Spark's readers leave empty files out."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", f"*.{suffix}").load(path)
+    )
+    name = F.regexp_extract("path", rf"([^/]+)\.{suffix}\z", 1)
+    return files.select(
+        F.when(name == EMPTY_NAME, "").when(name != NO_NAME, F.try_url_decode(name)).alias("video_id"), F.decode("content", "UTF-8").alias("text")
+    )
 
 
 def write_reports(pages: DataFrame, path: str) -> None:

@@ -645,8 +645,12 @@ def s11(spark, sf):
     out = []
     for name, doc in zip(("subtitles", "blog"), assemble(ready, blogs, evaluations, titles)):
         path = scratch_path(spark, name)
-        file_io.write_texts(doc, path)
-        out.append(spark.read.schema("video_id bigint, part int, text string").json(path).withColumn("name", F.lit(name)))
+        file_io.write_text_files(doc, path, "md")
+        out.append(
+            file_io.read_text_files(spark, path, "md").select(
+                F.col("video_id").cast("long").alias("video_id"), F.lit(0).alias("part"), "text", F.lit(name).alias("name")
+            )
+        )
     return out[0].unionByName(out[1])
 
 

@@ -340,11 +340,13 @@ FROM merged WHERE "end" IS NOT NULL GROUP BY video_id""")
 
 
 def s10(spark, sf):
-    """Subtitle rows written as SRT text and read back."""
+    """Subtitle rows written as SRT files and read back."""
     path = scratch_path(spark, "srt")
     rows = merged(spark, sf).withColumn("end", F.coalesce("end", "start"))
-    file_io.write_texts(documents.srt_from_rows(rows), path)
-    return spark.read.schema("video_id bigint, part int, text string").json(path)
+    file_io.write_text_files(documents.srt_from_rows(rows), path, "srt")
+    return file_io.read_text_files(spark, path, "srt").select(
+        F.col("video_id").cast("long").alias("video_id"), F.lit(0).alias("part"), "text"
+    )
 
 
 S10 = query(f"""
