@@ -10,8 +10,11 @@ bit-parallel distance, whose column of the matrix is one integer.
 Items are taken in blocks of bounded size; each block is one pass over the documents, so
 the benchmark may be of any size.
 
-Defined results: null and empty texts match nothing; items shorter than ``min_chars``
-after normalising, or null, match nothing; repeated rows and repeated items each match;
+Items of fewer than ``border_chars`` characters are found unchanged and between word borders
+only: with edits, or inside other words, they would be found nearly everywhere.
+
+Defined results: null and empty texts match nothing; items that are null or empty after
+normalising match nothing; repeated rows and repeated items each match;
 of equal distances the first place counts; an empty table gives an empty table.
 """
 
@@ -32,10 +35,10 @@ from lectern.llm import common
 
 @dataclass(frozen=True)
 class Settings:
-    """Edits per character of an item, the shortest item, characters of items per pass."""
+    """Edits per character of an item, the size below which it needs word borders, characters of items per pass."""
 
     budget: float = 0.08
-    min_chars: int = 24
+    border_chars: int = 24
     block_chars: int = 1_000_000
 
 
@@ -46,8 +49,9 @@ def normalised(text: str | None) -> str:
 class Item:
     """One benchmark item: its pieces, three-character parts and bit masks."""
 
-    def __init__(self, item_id: int, text: str, budget: float):
-        self.id, self.text, self.edits = item_id, text, int(len(text) * budget)
+    def __init__(self, item_id: int, text: str, budget: float, border_chars: int = 0):
+        self.bordered = len(text) < border_chars
+        self.id, self.text, self.edits = item_id, text, 0 if self.bordered else int(len(text) * budget)
         self.masks: dict[str, int] = defaultdict(int)
         for i, char in enumerate(text):
             self.masks[char] |= 1 << i
@@ -63,6 +67,15 @@ class Item:
         found = {window[i : i + 3] for i in range(len(window) - 2)}
         return len(self.parts & found) >= len(self.parts) - 3 * self.edits
 
+    def between_borders(self, text: str, start: int) -> bool:
+        """True where the item's unchanged text at ``start`` begins and ends no word in the middle."""
+        end = start + len(self.text)
+        joined = [
+            at for at in (start, end)
+            if 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+        ]
+        return text.startswith(self.text, start) and not joined
+
     def search(self, window: str) -> tuple[int, int] | None:
         """The smallest distance of the item to a part of the window and the first end of it."""
         size = len(self.text)
@@ -111,6 +124,11 @@ def matches(text: str, items: list[Item], found) -> list[tuple[int, int, int]]:
     out = []
     for number, places in starts.items():
         item, best = items[number], None
+        if item.bordered:
+            whole = [p for p in sorted(places) if item.between_borders(text, p)]
+            if whole:
+                out.append((number, 0, whole[0] + len(item.text)))
+            continue
         for first, last in _runs(sorted(places), item.edits):
             low = max(0, first - item.edits)
             window = text[low : last + len(item.text) + item.edits]
@@ -138,7 +156,7 @@ def item_blocks(items: DataFrame, settings: Settings) -> Iterator[list[tuple[int
     size = 0
     for row in items.select("item_id", "text").orderBy("item_id").toLocalIterator():
         text = normalised(row["text"])
-        if len(text) < settings.min_chars:
+        if not text:
             continue
         if block and size + len(text) > settings.block_chars:
             yield block
@@ -163,8 +181,8 @@ def find(docs: DataFrame, items: DataFrame, settings: Settings | None = None) ->
     for block in item_blocks(items, settings):
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, budget=settings.budget) -> Iterator[pa.RecordBatch]:
-            known = [Item(i, text, budget) for i, text in sent.value]
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = [Item(i, text, settings.budget, settings.border_chars) for i, text in sent.value]
             pieces = automaton(known)
             for batch in batches:
                 rows = []
@@ -191,8 +209,8 @@ def clean(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -
     for block in item_blocks(items, settings):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, budget=settings.budget) -> Iterator[pa.RecordBatch]:
-            known = [Item(i, text, budget) for i, text in sent.value]
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = [Item(i, text, settings.budget, settings.border_chars) for i, text in sent.value]
             pieces = automaton(known)
             at = columns.index("text")
             for batch in batches:

@@ -24,9 +24,9 @@ probability (1 - threshold ** rows) ** bands, 3e-6 for the defaults.
 
 Defined results: null and empty texts have no shingles and are linked with nothing, not
 even each other; a text with fewer words than a shingle is one shingle; equal rows and
-equal texts are one component; of different texts under
-one id the smallest is compared; an empty table gives
-an empty table.
+equal texts are one component; different texts under one id, or without an id, are compared
+like those of different ids, as classes of equal texts have numbers of their own; a row
+without an id links others but gives no component its name; an empty table gives an empty table.
 """
 
 from __future__ import annotations

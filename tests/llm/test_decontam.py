@@ -1,6 +1,7 @@
 """Benchmark decontamination."""
 
 import random
+import re
 
 import plain
 import pytest
@@ -40,13 +41,28 @@ def expected(texts=TEXTS, rows=ITEMS, s=decontam.Settings()):
     for d, text in enumerate(texts):
         for i, item in enumerate(rows):
             wanted = decontam.normalised(item)
-            if len(wanted) >= s.min_chars:
+            if len(wanted) < s.border_chars:
+                before = r"(?<![^\W_])" if wanted[:1].isalnum() else ""
+                after = r"(?![^\W_])" if wanted[-1:].isalnum() else ""
+                if wanted and re.search(before + re.escape(wanted) + after, decontam.normalised(text)):
+                    out[d, i] = 0
+            else:
                 distance = plain.distance_in(wanted, decontam.normalised(text))
                 if distance <= int(len(wanted) * s.budget):
                     out[d, i] = distance
     return out
 
 
+SHORT = ["who wrote it?", "paris", "4", "a b", "x" * 23, "?!"]
+
+
+def test_short_items_stand_between_word_borders(docs, items):
+    texts = ["so who  wrote IT? me", "comparison paris.", "44 x4 4x", "a bc, ca b", "(a b)", "x" * 23, "x" * 24, "what?!", "", None, "in-paris-in 4"]
+    got = decontam.find(docs(*texts), items(SHORT)).collect()
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == expected(texts, SHORT)
+    assert {(0, 0), (1, 1), (4, 3), (5, 4), (10, 1), (10, 2)} <= set(expected(texts, SHORT)) and len(got) == len(expected(texts, SHORT))
+
+
 @pytest.mark.parametrize("block", [1_000_000, 100])
 def test_matches_equal_plain_distance(docs, items, block):
     got = decontam.find(docs(*TEXTS), items(), decontam.Settings(block_chars=block)).collect()
