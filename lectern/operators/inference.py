@@ -12,25 +12,26 @@ from lectern.session import cut_lineage
 
 Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
-# Wording of the repair requests and context blocks.
+# Default wording; callers may pass their own.
 TEXT_REPAIR = (
-    "你上一次的输出无法被程序解析为要求的 JSON。请只输出修正后的 JSON，"
-    "不要输出任何解释、markdown 代码围栏之外的内容。\n\n上一次输出：\n<RAW>",
-    "</RAW>\n\n再次输出完整 JSON：",
+    "Your last answer could not be read as the JSON that was asked for. Send the whole corrected"
+    " JSON object and nothing else.\n\nLast answer:\n<RAW>",
+    "</RAW>\n",
 )
 VISION_REPAIR = (
-    "你上一次的输出无法被程序解析为要求的 JSON。请只输出修正后的完整 JSON，不要输出解释。\n\n<RAW>",
-    "</RAW>",
+    "Your last list of decisions could not be read as JSON. Send all decisions again as one JSON"
+    " object, without comments.\n\n<RAW>",
+    "</RAW>\n",
 )
-VISION_CONTEXT = ("\n锚点：[[FRAME:", "@", "]]\n上下文字幕：", "\n帧路径：", "\n")
+VISION_CONTEXT = ("\nAnchor [[FRAME:", "@", "]]\nSubtitle: ", "\nImage: ", "\n")
 
 
-def text_repair_prompt(response: Column) -> Column:
-    return F.concat(F.lit(TEXT_REPAIR[0]), response, F.lit(TEXT_REPAIR[1]))
+def text_repair_prompt(response: Column, wording: tuple[str, str] = TEXT_REPAIR) -> Column:
+    return F.concat(F.lit(wording[0]), response, F.lit(wording[1]))
 
 
-def vision_repair_prompt(response: Column) -> Column:
-    return F.concat(F.lit(VISION_REPAIR[0]), response, F.lit(VISION_REPAIR[1]))
+def vision_repair_prompt(response: Column, wording: tuple[str, str] = VISION_REPAIR) -> Column:
+    return F.concat(F.lit(wording[0]), response, F.lit(wording[1]))
 
 
 def text_prompt(template: str, annotated: Column) -> Column:
@@ -39,9 +40,12 @@ def text_prompt(template: str, annotated: Column) -> Column:
     return F.concat(F.lit(head), annotated, F.lit(tail))
 
 
-def vision_context(anchor_id: Column, timestamp: Column, subtitle: Column, path: Column) -> Column:
+def vision_context(
+    anchor_id: Column, timestamp: Column, subtitle: Column, path: Column,
+    wording: tuple[str, str, str, str, str] = VISION_CONTEXT,
+) -> Column:
     """The text block that precedes one image of a vision request."""
-    a, b, c, d, e = (F.lit(x) for x in VISION_CONTEXT)
+    a, b, c, d, e = (F.lit(x) for x in wording)
     return F.concat(a, anchor_id, b, timestamp.cast("string"), c, subtitle, d, path, e)
 
 
@@ -128,9 +132,3 @@ def infer_with_retries(
 def log_to_keep(log: DataFrame, only_failures: bool = True) -> DataFrame:
     """Failures always; successes only for an audit."""
     return log.where("parse_error IS NOT NULL") if only_failures else log
-
-
-def echo_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A deterministic stand-in for tests: answers the JSON found in its prompt."""
-    for batch in batches:
-        yield batch.assign(response=batch["prompt"]).drop(columns="prompt")

@@ -35,8 +35,18 @@ def listing(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def newest_first(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.col("updated_at").desc(), "id")
+def _positions(rows: DataFrame, most: str, then: str, **options) -> DataFrame:
+    """Rows with their 1-based ``position`` by a falling number, in that order."""
+    keyed = rows.withColumns({"__all": F.lit(0), "__most": -F.col(most)})
+    return (
+        ordered(keyed, ["__all"], ["__most", then], {"position": ordinal()}, **options)
+        .select(*rows.columns, "position").orderBy("position")
+    )
+
+
+def newest_first(rows: DataFrame, **options) -> DataFrame:
+    """Sessions in the order they are listed, with their ``position``."""
+    return _positions(rows, "updated_at", "id", **options)
 
 
 def totals(sessions: DataFrame, messages: DataFrame) -> DataFrame:
@@ -53,7 +63,8 @@ def totals(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def messages_by_role(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("role").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "role")
+    """Messages per role, most frequent first, with the ``position`` of the role."""
+    return _positions(messages.groupBy("role").agg(F.count(F.lit(1)).alias("count")), "count", "role", large=False)
 
 
 def export(

@@ -15,7 +15,7 @@ from lectern.sources import subtitles
     "text,want",
     [
         ("3.21 口令 https://v.douyin.com/kQ7_m2/ 去应用里看", "https://v.douyin.com/kQ7_m2/"),
-        ("看https://b23.tv/abc，很好", "https://b23.tv/abc"),
+        ("看https://b23.tv/k7Qx，很好", "https://b23.tv/k7Qx"),
         ("(see https://youtu.be/x).", "https://youtu.be/x"),
         ("HTTP://A.example/x", "HTTP://A.example/x"),
         ("nothing", None),
@@ -29,7 +29,7 @@ def test_extract_url(spark, text, want):
     "url,platform,video",
     [
         ("https://www.bilibili.com/video/BV1qW4y1p8z?p=2", "bilibili", "BV1qW4y1p8z"),
-        ("https://b23.tv/abc", "bilibili", None),
+        ("https://b23.tv/k7Qx", "bilibili", None),
         ("https://music.youtube.com/watch?v=Lec_ture-01", "youtube", "Lec_ture-01"),
         ("https://youtu.be/Lec_ture-01", "youtube", "Lec_ture-01"),
         ("https://www.douyin.com/video/880042", "douyin", "880042"),
@@ -58,9 +58,9 @@ def test_language(spark, raw, want):
     assert value(spark, links.language(F.lit(raw).cast("string"))) == want
 
 
-@pytest.mark.parametrize("name,want", [("abc.srt", "und"), ("abc.zh-Hans.vtt", "zh"), ("other.srt", "und"), ("abc.FR.srt", "FR")])
+@pytest.mark.parametrize("name,want", [("talk.srt", "und"), ("talk.zh-Hans.vtt", "zh"), ("other.srt", "und"), ("talk.FR.srt", "FR")])
 def test_file_language(spark, name, want):
-    assert value(spark, links.file_language(F.lit(name), F.lit("abc"))) == want
+    assert value(spark, links.file_language(F.lit(name), F.lit("talk"))) == want
 
 
 @pytest.mark.parametrize(
@@ -102,9 +102,9 @@ FILES = "video_id string, name string, size long, mtime long"
 
 
 def test_local_tracks(table):
-    rows = table(FILES, ("abc", "abc.en.srt", 1, 9), ("abc", "abc.zh-Hans.vtt", 1, 9), ("abc", "abc.zh-CN.srt", 1, 1), ("abc", "abc.zh.srt", 0, 1))
-    assert selection.local_subtitle(rows, ["zh", "en"]).first()["name"] == "abc.zh-CN.srt"
-    assert selection.local_subtitle(rows, ["en", "zh"]).first()["name"] == "abc.en.srt"
+    rows = table(FILES, ("talk", "talk.en.srt", 1, 9), ("talk", "talk.zh-Hans.vtt", 1, 9), ("talk", "talk.zh-CN.srt", 1, 1), ("talk", "talk.zh.srt", 0, 1))
+    assert selection.local_subtitle(rows, ["zh", "en"]).first()["name"] == "talk.zh-CN.srt"
+    assert selection.local_subtitle(rows, ["en", "zh"]).first()["name"] == "talk.en.srt"
 
 
 def test_downloaded_file(table):

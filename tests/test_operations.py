@@ -39,7 +39,8 @@ def test_sessions(table):
         (1, 1, "user", "x", '{"a":1}', "", 3), (2, 1, "assistant", "y", "broken", None, 1),
     )
     assert {r.id: r.message_count for r in sessions.listing(s, m).collect()} == {1: 2, 2: 0}
-    assert [r.id for r in sessions.newest_first(s).collect()] == [2, 1]
+    assert [(r.id, r.position) for r in sessions.newest_first(s).collect()] == [(2, 1), (1, 2)]
+    assert [(r.role, r.position) for r in sessions.messages_by_role(m.withColumn("role", F.expr("'r' || id"))).collect()][0][1] == 1
     pages = {(r.id, r.page): r for r in sessions.export(s, m, page_messages=1, max_rows=1).collect()}
     assert set(pages) == {(1, 0), (1, 1), (2, 0)}
     first, second = pages[1, 0].messages[0], pages[1, 1].messages[0]

@@ -494,8 +494,9 @@ F27 = f"""
 SELECT doc_id, 'Polish this:' || chr(10) || text || chr(10) || 'End.' AS prompt,
   '{inference.TEXT_REPAIR[0]}' || text || '{inference.TEXT_REPAIR[1]}' AS repair,
   '{inference.VISION_REPAIR[0]}' || text || '{inference.VISION_REPAIR[1]}' AS vision_repair,
-  chr(10) || '锚点：[[FRAME:a' || doc_id || '@' || CAST(n_chars / 8e0 AS VARCHAR) || ']]' || chr(10) || '上下文字幕：' || lang
-  || chr(10) || '帧路径：' || source || chr(10) AS context FROM documents"""
+  '{inference.VISION_CONTEXT[0]}a' || doc_id || '{inference.VISION_CONTEXT[1]}' || CAST(n_chars / 8e0 AS VARCHAR)
+  || '{inference.VISION_CONTEXT[2]}' || lang || '{inference.VISION_CONTEXT[3]}' || source
+  || '{inference.VISION_CONTEXT[4]}' AS context FROM documents"""
 
 
 def f29(spark, sf):

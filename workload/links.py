@@ -283,7 +283,7 @@ SELECT conv_id, turn, CASE
 # Own names that are made-up names of others, and files that are already there.
 FRAME_NAME = """concat(p_brand, CASE WHEN p_partkey % 7 = 3 THEN '_2' WHEN p_partkey % 11 = 5 THEN '_4'
  WHEN p_partkey % 13 = 1 THEN '_2_2' ELSE '' END, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.jpg' END)"""
-FILE_NAME = """concat('Brand#1', 1 + s_suppkey % 5, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('_', 2 + s_suppkey % 9) END, '.jpg')"""
+PRESENT_NAME = """concat('Brand#1', 1 + s_suppkey % 5, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('_', 2 + s_suppkey % 9) END, '.jpg')"""
 
 
 def w8(spark, sf):
@@ -291,7 +291,7 @@ def w8(spark, sf):
         F.col("p_partkey").alias("id"), F.expr("concat('v', p_size % 5)").alias("folder"), F.expr(FRAME_NAME).alias("name")
     )
     files = t.read(spark, sf, "supplier").select(
-        F.expr("concat('v', s_suppkey % 4)").alias("folder"), F.expr(FILE_NAME).alias("name")
+        F.expr("concat('v', s_suppkey % 4)").alias("folder"), F.expr(PRESENT_NAME).alias("name")
     )
     return selection.unique_names(frames, ["id"], files.distinct()).select("id", "folder", "target")
 
@@ -302,7 +302,7 @@ WITH RECURSIVE named AS (
   SELECT p_partkey AS id, concat('v', p_size % 5) AS folder, {FRAME_NAME} AS name,
          row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_partkey) AS seq FROM part),
 parts AS (SELECT *, regexp_replace(name, '\\.jpg$', '') AS stem, CASE WHEN name LIKE '%.jpg' THEN '.jpg' ELSE '' END AS ext FROM named),
-files AS (SELECT concat('v', s_suppkey % 4) AS folder, list({FILE_NAME}) AS present FROM supplier GROUP BY ALL),
+files AS (SELECT concat('v', s_suppkey % 4) AS folder, list({PRESENT_NAME}) AS present FROM supplier GROUP BY ALL),
 steps AS (
   SELECT folder, CAST(0 AS BIGINT) AS seq, coalesce(present, []) AS taken, '' AS target, CAST(0 AS BIGINT) AS id
   FROM (SELECT DISTINCT folder FROM parts) LEFT JOIN files USING (folder)

@@ -171,7 +171,8 @@ FROM sessions s LEFT JOIN messages m ON s.id = m.session_id GROUP BY s.id, s.tit
 
 
 def t6(spark, sf):
-    return sessions.newest_first(sessions.listing(*chat(spark, sf))).select("id", "updated_at")
+    rows = sessions.newest_first(sessions.listing(*chat(spark, sf)))
+    return rows.select("id", "updated_at", "position")
 
 
 def a9(spark, sf):
@@ -426,11 +427,13 @@ QUERIES = {
 SELECT s.id, s.title, m.id AS message_id, m.role, m.created_at AS message_created_at
 FROM sessions s LEFT JOIN messages m ON s.id = m.session_id""")),
     "a8_message_counts": (a8, A8),
-    "t6_newest_sessions": (t6, query("SELECT id, updated_at FROM sessions")),
+    "t6_newest_sessions": (t6, query("""
+SELECT id, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) AS position FROM sessions""")),
     "a9_totals": (a9, query("""
 SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT min(created_at) FROM sessions) AS oldest,
        (SELECT max(updated_at) FROM sessions) AS newest, (SELECT count(*) FROM messages) AS messages""")),
-    "a9_roles": (a9_roles, query("SELECT role, count(*) AS count FROM messages GROUP BY role")),
+    "a9_roles": (a9_roles, query("""
+SELECT role, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, role) AS position FROM messages GROUP BY role""")),
     "a10_session_export": (a10, A10),
     "a15_cascade_delete": (a15, A15),
     "a15_deleted_counts": (a15_counts, A15_COUNTS),

@@ -116,11 +116,9 @@ def s1(spark, sf):
     messages = subtitle_files(spark, sf).select(
         F.floor(F.col("video_id") / 1000).alias("video_id"), (F.col("video_id") % 1000).alias("turn"), "text"
     )
-    file_io.write_text_files(documents.stitch(messages, ["video_id"], ["turn"], "text", "\n\n"), path)
-    number = F.regexp_extract("path", r"video_id=(\d+)", 1).cast("long")
-    files = subtitles.read_subtitle_files(spark, path).select(
-        number.alias("video_id"), F.lit("x.srt").alias("path"), "text"
-    )
+    file_io.write_text_files(documents.stitch(messages, ["video_id"], ["turn"], "text", "\n\n"), path, "srt")
+    number = F.regexp_extract("path", r"(\d+)\.srt\z", 1).cast("long")
+    files = subtitles.read_subtitle_files(spark, path).select(number.alias("video_id"), "path", "text")
     return subtitles.subtitle_full_text(files).select("video_id", "text")
 
 
@@ -230,7 +228,7 @@ SELECT event_id, printf('frame_%02dh%02dm%02ds%03dms_', pms // 3600000, pms // 6
 
 def listing(spark, sf):
     """A file listing: names with and without milliseconds, and without a time."""
-    name = F.expr("CASE event_id % 4 WHEN 0 THEN 'frame_00h01m30s.jpg' WHEN 1 THEN 'a1_12.5.jpg' END")
+    name = F.expr("CASE event_id % 4 WHEN 0 THEN 'frame_00h04m12s.jpg' WHEN 1 THEN 'a1_12.5.jpg' END")
     return moments(spark, sf).select(
         F.concat(F.lit("src/"), F.coalesce(name, fx.frame_name(F.col("p"), F.col("source"), F.col("n")))).alias("path"),
         F.col("event_id").alias("size"),
@@ -251,7 +249,7 @@ def s8(spark, sf):
 
 
 S8 = query("""
-SELECT 'src/' || CASE event_id % 4 WHEN 0 THEN 'frame_00h01m30s.jpg' WHEN 1 THEN 'a1_12.5.jpg'
+SELECT 'src/' || CASE event_id % 4 WHEN 0 THEN 'frame_00h04m12s.jpg' WHEN 1 THEN 'a1_12.5.jpg'
        ELSE printf('frame_%02dh%02dm%02ds%03dms_', pms // 3600000, pms // 60000 % 60, pms // 1000 % 60, pms % 1000)
             || source || printf('_%03d.jpg', n) END AS path,
        event_id AS size,
