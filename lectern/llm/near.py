@@ -38,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import common
@@ -141,7 +141,12 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-_SKETCH = "id long, text_key string, n_shingles long, bands array<long>"
+_SKETCH = "id long, text_hash long, text_key string, n_shingles long, bands array<long>"
+
+
+def _row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells rows apart, but for equal ones: the id, and a hash of the text."""
+    return docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -150,9 +155,9 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in _slices(batch.column(1)):
-                ids = batch.column(0).slice(start, stop - start)
-                texts = batch.column(1).slice(start, stop - start).to_pylist()
+            for start, stop in _slices(batch.column(2)):
+                keys_of = [batch.column(k).slice(start, stop - start) for k in (0, 1)]
+                texts = batch.column(2).slice(start, stop - start).to_pylist()
                 docs, hashes = shingle_sets(texts, settings.shingle)
                 size = np.bincount(docs, minlength=len(texts))
                 signature = signatures(docs, hashes, len(texts), settings.bands * settings.rows, settings.seed)
@@ -166,13 +171,14 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids, pa.array(names), pa.array(size.astype(np.int64)),
+                        *keys_of, pa.array(names), pa.array(size.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[keep].ravel())),
                     ],
-                    names=["id", "text_key", "n_shingles", "bands"],
+                    names=["id", "text_hash", "text_key", "n_shingles", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, _SKETCH)
+    doc_id, text_hash = _row_key(docs)
+    return docs.select(doc_id.alias("id"), text_hash.alias("text_hash"), "text").mapInArrow(run, _SKETCH)
 
 
 def _slices(texts: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -245,6 +251,19 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+_SALTS = 64
+
+
+def _smallest(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, low): the smallest value by key, through salted keys.
+
+    The exchange of the join that follows is then its own, which adaptive execution may
+    split; an aggregate by the key alone would share it and forbid that.
+    """
+    salted = rows.groupBy(key, F.pmod(F.xxhash64(value), F.lit(_SALTS)).alias("__salt")).agg(F.min(value).alias("low"))
+    return salted.groupBy(key).agg(F.min("low").alias("low"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per id of ``edges`` (a, b).
 
@@ -261,10 +280,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        low = _smallest(both, "a", "b").select("a", F.least("low", "a").alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = common.stage(large.where("a <> b"), "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        least = _smallest(large, "a", "b")
         moved = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = common.stage(moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), "edges")
         after = state(edges)
@@ -433,54 +452,117 @@ def _intersections(docs: np.ndarray, hashes: np.ndarray, left: np.ndarray, right
     return both
 
 
-def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+@dataclass(frozen=True)
+class Groups:
+    """What ``groups`` found.
 
-    The smallest id of a component stays. Rows without shingles are their own component.
+    ``rows``: (id, text_hash, text_key, n_shingles) of every row. ``texts``: (text_key,
+    component_id, keeper_id, keeper_hash) of the texts in components of several rows;
+    the keeper is the row that stays.
+    """
+
+    rows: DataFrame
+    texts: DataFrame
+
+
+def groups(docs: DataFrame, settings: Settings | None = None) -> Groups:
+    """Components of the documents, as classes of equal texts.
+
+    A class has a number of its own, which stars and components work with, so that rows
+    may share an id or have none. A component has the smallest id of its rows.
     """
     settings = settings or Settings()
     rows = common.stage(sketches(docs, settings), "sketches")
-    full = rows.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("text_key").agg(
-        F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("bands").alias("bands")
+    # The first row stands for its class; rows with an id come before those without.
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+    classes = rows.where("n_shingles > 0").groupBy("text_key").agg(
+        F.min(order).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")
     )
-    classes = common.stage(classes, "texts")
+    classes = common.stage(classes.withColumn("number", F.monotonically_increasing_id()), "texts")
 
     def texts(ids: DataFrame) -> DataFrame:
-        named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-        return common.stage(named.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "pool")
+        wanted = classes.join(ids.withColumnRenamed("id", "number"), "number", "left_semi").select(
+            F.col("number"), F.col("first.id").alias("__llm_id"), F.col("first.text_hash").alias("__llm_hash")
+        )
+        doc_id, text_hash = _row_key(docs)
+        named = docs.select(doc_id.alias("id"), text_hash.alias("text_hash"), "text")
+        same = (F.col("text_hash") == F.col("__llm_hash")) & F.col("id").eqNullSafe(F.col("__llm_id"))
+        found = named.join(wanted, same).groupBy(F.col("number").alias("id")).agg(F.min("text").alias("text"))
+        return common.stage(found, "pool")
 
-    postings = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    postings = classes.select(F.col("number").alias("id"), F.explode("bands").alias("key"))
     stars = star_links(postings, texts, settings)
     roots = components(stars.links)
     families = common.stage(open_families(stars, roots, settings), "open")
     more = common.stage(family_links(families, stars.pool, settings), "links")
     if more.limit(1).count():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = classes.where("n > 1").select("text_key", "rep")
+    placed = (
+        classes.select("text_key", "number", "first", "n")
+        .join(roots.withColumnRenamed("id", "number"), "number", "left")
+        .withColumn("root", F.coalesce("root", "number"))
+    )
+    placed = common.stage(placed.select("text_key", "root", "first", "n"), "placed")
+    named = placed.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("rows")).where("rows > 1")
+    return Groups(
+        rows.drop("bands"),
+        placed.join(named, "root").select(
+            "text_key", F.col("keeper.id").alias("component_id"),
+            F.col("keeper.id").alias("keeper_id"), F.col("keeper.text_hash").alias("keeper_hash"),
+        ),
+    )
+
+
+def group(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+
+    The smallest id of a component stays. Rows without shingles are their own component.
+    """
+    found = groups(docs, settings)
+    several = found.texts.select("text_key", "component_id", F.lit(True).alias("several"))
+    # Rows without words share a key, but no component.
+    key = F.when(F.col("n_shingles") > 0, F.col("text_key"))
     return (
-        rows.drop("bands")
-        .join(named, "text_key", "left")
-        .withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-        .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+        found.rows.withColumn("text_key", key).join(several, "text_key", "left")
         .select(
             F.col("id").alias("doc_id"), "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("id")).alias("component_id"),
+            F.when(F.col("several"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         )
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
-#: Ids to drop (8 bytes each) up to which they are sent to all executors.
+#: Rows to drop (16 bytes each) up to which they are sent to all executors.
 BROADCAST_ROWS = 1_000_000
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def select(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The documents with one of each component; rows without shingles or id stay."""
-    gone = common.stage(group(docs, settings).where("NOT kept").select(F.col("doc_id").alias("__llm_id")), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__llm_id"), "left_anti")
+    """The documents with one row of each component; rows without shingles stay.
+
+    Rows go by id and text. Of equal rows, which nothing tells apart, one is taken.
+    """
+    found = groups(docs, settings)
+    rows = found.rows.where("n_shingles > 0").join(found.texts, "text_key")
+    keeper = (F.col("text_hash") == F.col("keeper_hash")) & F.col("id").eqNullSafe(F.col("keeper_id"))
+    judged = rows.groupBy("id", "text_hash").agg(F.max(keeper).alias("keeper"), F.count("*").alias("n"))
+    judged = judged.where("NOT keeper OR n > 1").select(
+        F.col("id").alias("__llm_id"), F.col("text_hash").alias("__llm_hash"), F.col("keeper").alias("__llm_keeper")
+    )
+    judged = common.stage(judged, "gone")
+    doc_id, text_hash = _row_key(docs)
+    same = (text_hash == F.col("__llm_hash")) & doc_id.eqNullSafe(F.col("__llm_id"))
+    stay = docs.join(_bounded(judged), same, "left_anti")
+    repeated = judged.where("__llm_keeper")
+    if repeated.isEmpty():
+        return stay
+    one = docs.join(_bounded(repeated), same).groupBy("__llm_id", "__llm_hash").agg(
+        F.first(F.struct(*docs.columns)).alias("__llm_doc")
+    )
+    return stay.unionByName(one.select(*[F.col("__llm_doc")[c].alias(c) for c in docs.columns]))
 
 
 def op6(spark, sf) -> DataFrame:

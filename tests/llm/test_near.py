@@ -96,11 +96,31 @@ def test_selection_and_edge_tables(spark, docs):
         (9, None, None, None, None), (9, None, None, None, None), (4, "", "en", "a", 0),
     ).withColumn("kept", F.lit("mine"))
     rows = near.select(table).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, 3), (False, 4), (False, 9), (False, 9), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, 3), (False, 4), (False, 9), (False, 9)]
     assert {r["kept"] for r in rows} == {"mine"}
     assert near.select(docs().limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(docs):
+    a, b = plain.sentence(rng, 60), plain.sentence(rng, 60)
+    rows = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (None, a + " else"), (9, b), (9, plain.sentence(rng, 60)), (None, "alone here")]
+    table = docs(*[(i, t, "en", "s", 1) for i, t in rows])
+    parts = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near.group(table).collect()), key=repr)
+    assert parts == sorted([
+        (1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (None, 1, False), (9, 1, False), (9, 9, True), (None, None, True),
+    ], key=repr)
+    kept = sorted((r["text"] for r in near.select(table).collect()))
+    assert kept == sorted([a, b, rows[6][1], "alone here"])
+
+
+def test_one_of_equal_rows_stays(docs):
+    text = plain.sentence(rng, 40)
+    table = docs(*[(2, text, "en", "s", 1)] * 5, *[(None, "no id " + text, None, None, None)] * 3, (4, "  ", "en", "s", 1), (4, "  ", "en", "s", 1))
+    kept = sorted(r["text"] for r in near.select(table).collect())
+    # The texts without an id are near the others, too.
+    assert kept == sorted([text, "  ", "  "])
+
+
 def test_query(spark, docs, saved):
     got = near.op6(spark, saved(documents=docs(*TEXTS)))
     assert got.columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"]
