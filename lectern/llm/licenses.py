@@ -5,10 +5,13 @@ inverse document frequency; the highest of each template go into an index from w
 (template, position). A document looks up its licence words; hits whose document and
 template positions have nearly the same difference support one placement of a template.
 A placement counts when its hits hold a large enough part of the template's weight and
-every mandatory phrase of the template stands in the placed stretch. Short phrases that
-name a licence are found as they are.
+every mandatory phrase of the template, or one of its alternatives, stands in the placed
+stretch. A licence has several templates: its notice, the head of its full text, one-line
+grants with each of its names, and its identifier lines. Short phrases that name a licence
+are found as they are.
 
-Defined results: null and empty texts have no words and no labels; equal rows get equal
+Defined results: null and empty texts have no words and no labels; very long texts are scanned
+whole; equal rows get equal
 labels; an empty table gives an empty table.
 """
 
@@ -96,6 +99,73 @@ TEMPLATES = {
         ["creative commons attribution 4"],
     ),
 }
+# Heads of full texts, names and identifiers of licences.
+BODIES = {
+    "gpl-3": (
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim"
+        " copies of this license document, but changing it is not allowed.",
+        ["version 3 29 june 2007"],
+    ),
+    "gpl-2": (
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim"
+        " copies of this license document, but changing it is not allowed.",
+        ["version 2 june 1991"],
+    ),
+    "apache-2": (
+        "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        ["version 2 0 january 2004"],
+    ),
+    "mpl-2": (
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity"
+        " that creates, contributes to the creation of, or owns Covered Software.",
+        ["mozilla public license version 2"],
+    ),
+}
+NAMES = {
+    "mit": ["mit license", "mit licence", "expat license"],
+    "apache-2": ["apache license 2", "apache 2 0 license", "apache license version 2", "apache license v2"],
+    "bsd-3-clause": ["bsd 3 clause", "3 clause bsd", "three clause bsd", "new bsd license", "revised bsd license"],
+    "bsd-2-clause": ["bsd 2 clause", "2 clause bsd", "two clause bsd", "simplified bsd license"],
+    "isc": ["isc license"],
+    "gpl-3": [
+        "gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gplv3",
+        "gpl version 3", "gpl v3",
+    ],
+    "gpl-2": [
+        "gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gplv2",
+        "gpl version 2", "gpl v2",
+    ],
+    "lgpl-3": ["gnu lesser general public license version 3", "gnu lesser general public license v3", "lgpl v3", "lgplv3"],
+    "agpl-3": ["gnu affero general public license version 3", "gnu affero general public license v3", "agpl v3", "agplv3"],
+    "mpl-2": ["mozilla public license version 2", "mozilla public license v 2", "mozilla public license 2", "mpl v2"],
+    "cc-by-4": ["creative commons attribution 4", "cc by 4"],
+    "cc-by-sa-4": ["creative commons attribution sharealike 4", "cc by sa 4"],
+    "cc-by-nc": ["creative commons attribution noncommercial", "cc by nc"],
+    "unlicense": ["the unlicense"],
+}
+IDENTIFIERS = {
+    "mit": ["MIT"], "apache-2": ["Apache-2.0"], "bsd-3-clause": ["BSD-3-Clause"], "bsd-2-clause": ["BSD-2-Clause"],
+    "isc": ["ISC"], "gpl-3": ["GPL-3.0"], "gpl-2": ["GPL-2.0"], "lgpl-3": ["LGPL-3.0"], "agpl-3": ["AGPL-3.0"],
+    "mpl-2": ["MPL-2.0"], "cc-by-4": ["CC-BY-4.0"], "cc-by-sa-4": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"],
+    "unlicense": ["Unlicense"],
+}
+GRANTS = ["licensed under the {}", "licensed under {}", "released under the {}", "distributed under the {}", "{}"]
+
+
+def templates() -> Iterator[tuple[str, str, list[list[str]]]]:
+    """(label, text, mandatory phrases, each as its alternatives) of all templates."""
+    for table in (TEMPLATES, BODIES):
+        for label, (text, phrases) in table.items():
+            yield label, text, [[p] for p in phrases]
+    for label, names in NAMES.items():
+        for name in names:
+            for grant in GRANTS:
+                # A name by itself is a title line only when it says what it is.
+                if grant != "{}" or "licen" in name or "clause" in name:
+                    yield label, grant.format(name), [[name]]
+    for label, identifiers in IDENTIFIERS.items():
+        for name in identifiers:
+            yield label, f"SPDX-License-Identifier: {name}", [[f"spdx license identifier {name}", f"license identifier {name}"]]
 
 
 @dataclass(frozen=True)
@@ -107,6 +177,9 @@ class Settings:
     drift: int = 8
 
 
+#: The best score of a placement; only a phrase found as it is has 1.
+MOST = 0.99
+
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -135,40 +208,42 @@ class Index:
 
     def __init__(self, documents: int, frequency: dict[bytes, int], settings: Settings):
         self.settings = settings
-        self.postings: dict[bytes, list[tuple[str, int, float]]] = defaultdict(list)
-        self.total: dict[str, float] = {}
-        self.length: dict[str, int] = {}
-        self.mandatory: dict[str, list[list[bytes]]] = {}
-        for label, (text, phrases) in TEMPLATES.items():
+        self.postings: dict[bytes, list[tuple[int, int, float]]] = defaultdict(list)
+        self.labels, self.total, self.length, self.mandatory = [], [], [], []
+        for number, (label, text, phrases) in enumerate(templates()):
             words = words_of(text)
             weight = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for w in set(words)}
-            rare = set(sorted(weight, key=lambda w: (-weight[w], w))[: settings.rare])
+            # At most half of the words of a short template: its common ones find everything.
+            most = min(settings.rare, (len(weight) + 1) // 2)
+            rare = set(sorted(weight, key=lambda w: (-weight[w], w))[:most])
             hits = [(i, w) for i, w in enumerate(words) if w in rare]
-            self.total[label] = sum(weight[w] for _, w in hits)
-            self.length[label] = len(words)
-            self.mandatory[label] = [words_of(p) for p in phrases]
+            self.labels.append(label)
+            self.total.append(sum(weight[w] for _, w in hits))
+            self.length.append(len(words))
+            self.mandatory.append([[words_of(p) for p in either] for either in phrases])
             for i, w in hits:
-                self.postings[w].append((label, i, weight[w]))
+                self.postings[w].append((number, i, weight[w]))
 
     def scan(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the placed templates with their best share of weight."""
         if self.postings.keys().isdisjoint(words):
             return {}
-        support: dict[str, list[tuple[int, int, float]]] = defaultdict(list)
+        support: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
         for at, word in enumerate(words):
-            for label, position, weight in self.postings.get(word, ()):
-                support[label].append((at - position, position, weight))
-        found = {}
-        for label, hits in support.items():
+            for number, position, weight in self.postings.get(word, ()):
+                support[number].append((at - position, position, weight))
+        found: dict[str, float] = {}
+        for number, hits in support.items():
+            label = self.labels[number]
             for stretch in self._stretches(sorted(hits)):
                 covered = {position: weight for _, position, weight in stretch}
-                share = sum(covered.values()) / self.total[label]
-                if share < self.settings.share:
+                share = min(MOST, sum(covered.values()) / self.total[number])
+                if share < self.settings.share or share <= found.get(label, 0.0):
                     continue
                 low = max(0, stretch[0][0] - self.settings.drift)
-                part = words[low : stretch[-1][0] + self.length[label] + self.settings.drift]
-                if all(places(part, phrase) for phrase in self.mandatory[label]):
-                    found[label] = max(found.get(label, 0.0), min(1.0, share))
+                part = words[low : stretch[-1][0] + self.length[number] + self.settings.drift]
+                if all(any(places(part, phrase) for phrase in either) for either in self.mandatory[number]):
+                    found[label] = share
         return found
 
     def _stretches(self, hits: list[tuple[int, int, float]]) -> Iterator[list[tuple[int, int, float]]]:
@@ -180,7 +255,7 @@ class Index:
                 start = i
 
 
-VOCABULARY = frozenset(w for text, _ in TEMPLATES.values() for w in words_of(text))
+VOCABULARY = frozenset(w for _, text, _ in templates() for w in words_of(text))
 
 
 def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:

@@ -61,6 +61,29 @@ def test_notices_are_placed(docs):
         assert label in rows[i]["labels"].split(",")
 
 
+SHORT = {
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+    "Licensed under the BSD 3-Clause License.": "bsd-3-clause", "SPDX-License-Identifier: MPL-2.0": "mpl-2", "MIT License": "mit",
+    "// SPDX-License-Identifier: Apache-2.0 OR MIT": "apache-2", "Released under the GNU GPL v2 or later": "gpl-2",
+    "distributed under the Mozilla Public License, v. 2.0": "mpl-2", "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+    "Version 3, 29 June 2007: GNU GENERAL PUBLIC LICENSE": None, "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": None,
+    "Licensed under CC BY-SA 4.0": "cc-by-sa-4", "This is licensed under the terms of a contract, version 3.": "", "spdx": "",
+    "The public licence office is open; a general version of it, 3 rooms.": "", "licensed under the sea": "", "bsd mit apache gpl": "",
+}
+
+
+def test_short_forms(docs):
+    """One-line grants, names with versions and identifier lines, alone and inside other text."""
+    lines = list(SHORT)
+    around = [f"{plain.sentence(rng, 60)}\n{line}\n{plain.sentence(rng, 60)}" for line in lines]
+    rows = {r["doc_id"]: r for r in licenses.scan(docs(*lines, *around, *[plain.sentence(rng, 80) for _ in range(300)])).collect()}
+    for k, line in enumerate(lines * 2):
+        if SHORT[line] is not None:
+            assert (SHORT[line] in rows[k]["labels"].split(",")) if SHORT[line] else rows[k]["labels"] == "", line
+            assert SHORT[line] == "" or 0.6 <= rows[k]["score"] < 1
+    assert not any(rows[k]["labels"] for k in range(2 * len(lines), 2 * len(lines) + 300))
+
+
 def test_frequencies_and_edge_tables(docs):
     n, held = licenses.frequencies(docs("the software", "software SOFTWARE", None, ""))
     assert n == 4 and held[b"software"] == 2 and held[b"the"] == 1 and b"warranty" not in held
