@@ -1,15 +1,18 @@
 """Personal data: base patterns, and terms that disclose a protected entity.
 
-An entity is a kind with a normalised value (an address, a number). Terms are words
-of four or more letters within ``reach`` characters of an occurrence. With N documents,
-n_e of them with the entity, n_t with the term and n_et with the term near the entity,
+A base span stands for two entities: its normalised value, and the part of it that it
+shares with others (mail domain, network of an address, first digits of a number). Terms
+are words of four or more letters within ``reach`` characters of an occurrence. With N
+documents, n_e of them with the entity, n_t with the term, n_et with the term near the
+entity, and k different texts among these,
 
-    disclosure = log(N * n_et / (n_e * n_t)) / log(N / n_e)
+    disclosure = log(N * n_et / (n_e * n_t)) / log(N / n_e) * k / (k + support)
 
-is the pointwise mutual information as a share of the entity's information: 1 when the
-term is found nowhere but with the entity. Terms seen with the entity in at least
-``min_texts`` different texts and at or above ``generalise`` become ``[GENERALISED]``,
-at or above ``remove`` they are removed. All counts cover the whole input.
+is the pointwise mutual information as a share of the entity's information, 1 when the
+term is found nowhere but with the entity, smoothed by how many texts say so. Terms at or
+above ``generalise`` for any entity become ``[GENERALISED]``, at or above ``remove`` they
+are removed, wherever they stand: also in documents without the entity, which they would
+give away. All counts cover the whole input.
 
 Defined results: null and empty texts give no spans and stay as they are; equal rows
 count as one co-occurrence and get equal spans; when every document has the entity its
@@ -46,8 +49,8 @@ class Disclosure:
     """Thresholds of the information-theoretic part."""
 
     generalise: float = 0.6
-    remove: float = 0.9
-    min_texts: int = 3
+    remove: float = 0.8
+    support: float = 1.0
     reach: int = 60
 
 
@@ -84,13 +87,17 @@ def _row_key(docs: DataFrame) -> DataFrame:
 
 
 def contexts(found: DataFrame, reach: int) -> DataFrame:
-    """Add ``__llm_near``: per base span its entity and the text on both sides of it."""
+    """Add ``__llm_near``: per base span its entities and the text on both sides of it."""
     return found.withColumn(
         "__llm_near",
         F.expr(
             f"""transform(pii, s -> named_struct(
-              'entity', xxhash64(s.kind, CASE s.kind WHEN 'email' THEN lower(s.text)
-                                         WHEN 'ip' THEN s.text ELSE regexp_replace(s.text, '[^0-9]', '') END),
+              'entities', array(
+                xxhash64(s.kind, CASE s.kind WHEN 'email' THEN lower(s.text)
+                                 WHEN 'ip' THEN s.text ELSE regexp_replace(s.text, '[^0-9]', '') END),
+                xxhash64(s.kind, 'part', CASE s.kind WHEN 'email' THEN lower(substring_index(s.text, '@', -1))
+                                         WHEN 'ip' THEN substring_index(s.text, '.', 3)
+                                         ELSE left(regexp_replace(s.text, '[^0-9]', ''), 6) END)),
               'at', array(greatest(s.start - {reach}, 0), s.end),
               'side', array(
                 substring(coalesce(text, ''), greatest(s.start - {reach}, 0) + 1, s.start - greatest(s.start - {reach}, 0)),
@@ -100,7 +107,7 @@ def contexts(found: DataFrame, reach: int) -> DataFrame:
 
 
 def occurrences(found: DataFrame, reach: int) -> DataFrame:
-    """One row per term near an entity: row key, entity, term, and the place of the term.
+    """One row per term near an entity: ``__llm_hash``, ``__llm_row``, entity, term.
 
     Words that the window cuts, or that are part of a base span, do not count.
     """
@@ -108,10 +115,10 @@ def occurrences(found: DataFrame, reach: int) -> DataFrame:
         "doc_id", "__llm_hash", "__llm_row", "pii", F.explode("__llm_near").alias("n")
     )
     sides = near.select(
-        "doc_id", "__llm_hash", "__llm_row", "pii", F.col("n.entity").alias("entity"),
+        "doc_id", "__llm_hash", "__llm_row", "pii", F.col("n.entities").alias("entities"),
         F.posexplode(F.arrays_zip(F.col("n.at").alias("at"), F.col("n.side").alias("side"))).alias("__llm_pos", "z"),
     ).select(
-        "doc_id", "__llm_hash", "__llm_row", "pii", "entity", "__llm_pos",
+        "doc_id", "__llm_hash", "__llm_row", "pii", "entities", "__llm_pos",
         F.col("z.at").alias("at"), F.col("z.side").alias("side"),
     )
     terms = common.with_spans(sides, "side", {"term": TERM}).select(
@@ -124,10 +131,7 @@ def occurrences(found: DataFrame, reach: int) -> DataFrame:
         terms.where(~cut)
         .withColumns({"start": F.col("at") + F.col("t.start"), "end": F.col("at") + F.col("t.end")})
         .where(F.expr("NOT exists(pii, b -> b.start < end AND start < b.end)"))
-        .select(
-            "doc_id", "__llm_hash", "__llm_row", "entity", F.xxhash64(F.lower("t.text")).alias("term"),
-            "start", "end", F.col("t.text").alias("text"),
-        )
+        .select("__llm_hash", "__llm_row", F.explode("entities").alias("entity"), F.xxhash64(F.lower("t.text")).alias("term"))
     )
 
 
@@ -150,10 +154,12 @@ def disclosing(docs: DataFrame, near: DataFrame, rules: Disclosure) -> DataFrame
     their terms counted over the whole input.
     """
     per_text = near.groupBy("entity", "term", "__llm_hash").agg(F.countDistinct("__llm_row").alias("n"))
+    # No disclosure is above its smoothing: pairs of too few texts go before any join.
+    smoothing = F.col("n_texts") / (F.col("n_texts") + rules.support)
     pairs = (
         per_text.groupBy("entity", "term")
         .agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts"))
-        .where(F.col("n_texts") >= rules.min_texts)
+        .where(smoothing >= rules.generalise)
     )
     entities = (
         near.select("entity", "__llm_row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
@@ -162,7 +168,7 @@ def disclosing(docs: DataFrame, near: DataFrame, rules: Disclosure) -> DataFrame
     total = docs.agg(F.count("*").alias("n_all"))
 
     def share(n_t: str) -> Column:
-        return F.ln(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / F.ln(
+        return smoothing * F.ln(F.col("n_all") * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / F.ln(
             F.nullif(F.col("n_all") / F.col("n_e"), F.lit(1.0))
         )
 
@@ -182,27 +188,44 @@ def disclosing(docs: DataFrame, near: DataFrame, rules: Disclosure) -> DataFrame
     )
 
 
-def term_spans(docs: DataFrame, found: DataFrame, rules: Disclosure) -> DataFrame:
-    """Per row key with disclosing terms: ``__llm_terms``, the spans to generalise or remove."""
+def term_hits(docs: DataFrame, found: DataFrame, rules: Disclosure) -> DataFrame:
+    """Per (doc_id, text) with disclosing terms: ``__llm_hits``, these terms and their actions."""
     near = common.stage(occurrences(found, rules.reach), "pii-near")
-    flagged = near.join(disclosing(docs, near, rules), ["entity", "term"])
-    places = flagged.groupBy("doc_id", "__llm_hash", "start", "end", "text").agg(F.max("action").alias("action"))
-    kind = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), F.col("action") + 1)
-    return places.groupBy("doc_id", "__llm_hash").agg(
-        F.collect_list(
-            F.struct(
-                "start", (F.col("action") + len(PATTERNS)).alias("rank"), "end", kind.alias("kind"), "text"
-            )
-        ).alias("__llm_terms")
-    )
-
-
-def _attach(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """Add the term spans to ``pii``."""
-    named = terms.withColumnsRenamed({"doc_id": "__llm_id", "__llm_hash": "__llm_h"})
+    flagged = disclosing(docs, near, rules).groupBy("term").agg(F.max("action").alias("action"))
+    flagged = common.stage(flagged, "pii-terms")
+    if flagged.count() <= BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)
+    keyed = _row_key(docs.select("doc_id", "text"))
+    words = F.transform(F.regexp_extract_all(common.text_of(keyed), F.lit(TERM), F.lit(0)), F.lower)
+    held = keyed.select("doc_id", "__llm_hash", F.explode(F.array_distinct(words)).alias("word"))
+    met = held.select("doc_id", "__llm_hash", F.xxhash64("word").alias("term")).join(flagged, "term")
+    hits = met.groupBy("doc_id", "__llm_hash").agg(F.collect_set(F.struct("term", "action")).alias("__llm_hits"))
+    return common.stage(hits, "pii-hits")
+
+
+#: Terms or documents with terms up to which their table is sent to all executors.
+BROADCAST_ROWS = 200_000
+
+
+def _with_terms(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """Add the spans of the disclosing terms to ``pii``; spans inside base spans stay out."""
+    named = hits.withColumnsRenamed({"doc_id": "__llm_id", "__llm_hash": "__llm_h"})
+    if hits.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
     on = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_hash") == F.col("__llm_h"))
-    both = F.array_sort(F.concat("pii", F.coalesce("__llm_terms", F.expr("slice(pii, 1, 0)"))))
-    return found.join(named, on, "left").withColumn("pii", both).drop("__llm_id", "__llm_h", "__llm_terms")
+    # Only texts with a term are searched for words.
+    searched = F.when(F.col("__llm_hits").isNotNull(), common.text_of(found)).otherwise("")
+    df = common.with_spans(found.join(named, on, "left").withColumn("__llm_said", searched), "__llm_said", {"word": TERM})
+    kinds = ", ".join(f"'{a}'" for a in ACTIONS)
+    spans = F.expr(
+        f"""transform(filter(transform(__llm_word, w -> named_struct(
+              'w', w, 'a', array_max(transform(filter(__llm_hits, h -> h.term = xxhash64(lower(w.text))), h -> h.action)))),
+            x -> x.a IS NOT NULL AND NOT exists(pii, b -> b.start < x.w.end AND x.w.start < b.end)),
+          x -> named_struct('start', x.w.start, 'rank', x.a + {len(PATTERNS)}, 'end', x.w.end,
+                            'kind', element_at(array({kinds}), x.a + 1), 'text', x.w.text))"""
+    )
+    both = F.when(F.col("__llm_hits").isNull(), F.col("pii")).otherwise(F.array_sort(F.concat("pii", spans)))
+    return df.withColumn("pii", both).drop("__llm_id", "__llm_h", "__llm_hits", "__llm_said", "__llm_word")
 
 
 def _inventory(docs: DataFrame, rules: Disclosure) -> DataFrame:
@@ -214,24 +237,21 @@ def _inventory(docs: DataFrame, rules: Disclosure) -> DataFrame:
 def scan(docs: DataFrame, rules: Disclosure | None = None) -> DataFrame:
     """Per row: ``doc_id`` and ``pii``, all spans sorted by place."""
     rules = rules or Disclosure()
-    found = _inventory(docs, rules)
-    terms = term_spans(docs, found, rules)
-    return _attach(found.drop("__llm_near", "__llm_row"), terms).select("doc_id", "pii")
+    hits = term_hits(docs, _inventory(docs, rules), rules)
+    found = find(_row_key(docs.select("doc_id", "text")))
+    return _with_terms(found, hits).select("doc_id", "pii")
 
 
 def sanitise(docs: DataFrame, rules: Disclosure | None = None) -> DataFrame:
     """The documents with personal data and disclosing terms taken out of ``text``.
 
-    Rows without a base span pass by: only rows with one are joined to their terms.
+    Rows stay where they are while the table of documents with terms can be sent to them.
     """
     rules = rules or Disclosure()
-    terms = term_spans(docs, _inventory(docs, rules), rules)
-    found = find(_row_key(common.packed(docs, "doc_id", "text")))
-    clean = found.where(F.size("pii") == 0)
-    held = _attach(found.where(F.size("pii") > 0), terms).withColumn("text", common.redacted("text", "pii"))
-    return common.unpacked(clean.select("__llm_doc"), docs.columns).unionByName(
-        common.unpacked(held, docs.columns, text="text")
-    )
+    hits = term_hits(docs, _inventory(docs, rules), rules)
+    found = _with_terms(find(_row_key(common.packed(docs, "doc_id", "text"))), hits)
+    text = F.when(F.size("pii") > 0, common.redacted("text", "pii")).otherwise(F.col("text"))
+    return common.unpacked(found.withColumn("text", text), docs.columns, text="text")
 
 
 def op3(spark, sf) -> DataFrame:

@@ -83,4 +83,4 @@ def test_oracles(spark):
 
 def test_production_shapes():
     assert near.Settings().shingle == 5 and near.Settings().percent == 80
-    assert pii.Disclosure().min_texts > 1 and 0 < decontam.Settings().budget < 0.2
+    assert pii.Disclosure().support > 0 and 0 < decontam.Settings().budget < 0.2

@@ -108,22 +108,86 @@ def disclosure_docs(docs):
     filler = [plain.sentence(rng, 30) for _ in range(60)]
     held = [f"{filler[i]} Zanzibarov wrote from zan@mail.example.com yesterday {filler[i + 1]}" for i in range(4)]
     common_word = [f"yesterday {t}" for t in filler[10:]]
-    return docs(*held, *common_word, None, "")
+    # The name alone gives the address away; a colleague shares the domain only.
+    alone = [f"{filler[5]} and zanzibarov said yesterday"]
+    return docs(*held, *common_word, None, "", *alone)
+
+
+def plain_disclosure(texts, rules):
+    """Terms and actions, from the formula and plain sets."""
+    import math
+    import re
+
+    near, held, said = {}, {}, {}
+    for number, text in enumerate(texts):
+        spans = [m.span() for m in re.finditer(r"[a-z0-9.]+@[a-z]+(?:\.[a-z]+)+", text)]
+        for word in set(re.findall(r"[^\W\d_]{4,}", text.lower())):
+            held.setdefault(word, set()).add(number)
+        for start, end in spans:
+            value = text[start:end]
+            for entity in (value, value.split("@")[1] + "/part"):
+                said.setdefault(entity, set()).add(number)
+                for word in re.finditer(r"[^\W\d_]{4,}", text):
+                    a, b = word.span()
+                    inside = (a >= start - rules.reach and b <= start and (a > start - rules.reach or a == 0)) or (
+                        a >= end and b <= end + rules.reach and (b < end + rules.reach or b == len(text)))
+                    if inside and not any(x < b and a < y for x, y in spans):
+                        near.setdefault((entity, word[0].lower()), set()).add(number)
+    out = {}
+    for (entity, word), docs in near.items():
+        n, e, t = len(texts), len(said[entity]), len(held[word])
+        k = len({texts[i] for i in docs})
+        share = math.log(n * len(docs) / (e * t)) / math.log(n / e) * k / (k + rules.support)
+        if share >= rules.generalise:
+            out[word] = max(out.get(word, 0), int(share >= rules.remove))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_disclosure_equals_plain_sets(docs, seed):
+    import re
+
+    rng = random.Random(seed)
+    names = ["alvarez", "brontes", "cassini", "delacroix"]
+    texts = []
+    for i in range(120):
+        who = rng.randrange(4)
+        parts = [plain.sentence(rng, rng.randint(3, 12)) for _ in range(2)]
+        if i % 3 == 0:
+            parts.insert(1, f"{names[who]} {rng.choice(['at', 'from their'])} {names[who]}@mail{'ab'[who % 2]}.org")
+        elif i % 7 == 0:
+            parts.insert(1, names[who])
+        texts.append(" ".join(parts))
+    texts += texts[:6]
+    rules = pii.Disclosure()
+    want = plain_disclosure(texts, rules)
+    assert set(want) & set(names)
+    for r in pii.scan(docs(*texts), rules).collect():
+        text = texts[r["doc_id"]]
+        base = [m.span() for m in re.finditer(r"[a-z0-9.]+@[a-z]+(?:\.[a-z]+)+", text)]
+        expected = [
+            (m.start(), m.end(), pii.ACTIONS[want[m[0].lower()]]) for m in re.finditer(r"[^\W\d_]{4,}", text)
+            if m[0].lower() in want and not any(x < m.end() and m.start() < y for x, y in base)
+        ]
+        assert [(s["start"], s["end"], s["kind"]) for s in r["pii"] if s["kind"] != "email"] == expected
 
 
 def test_disclosing_terms(docs):
     table = disclosure_docs(docs)
-    rules = pii.Disclosure(generalise=0.5, remove=0.9)
+    rules = pii.Disclosure(generalise=0.7, remove=0.72)
     rows = {r["doc_id"]: [(s["kind"], s["text"]) for s in r["pii"]] for r in pii.scan(table, rules).collect()}
     assert len(rows) == table.count()
     for i in range(4):
         assert ("removed", "Zanzibarov") in rows[i] and ("email", "zan@mail.example.com") in rows[i]
         assert not [s for s in rows[i] if s[1] == "yesterday"]
-    assert not any(rows[i] for i in rows if i >= 4)
+    last = table.count() - 1
+    assert rows[last] == [("removed", "zanzibarov")]
+    assert not any(rows[i] for i in rows if 4 <= i < last)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table, rules).collect()}
     texts = {r["doc_id"]: r["text"] for r in table.collect()}
     assert "zan@" not in clean[0] and "Zanzibarov" not in clean[0] and "[EMAIL] yesterday" in clean[0]
-    assert all(clean[i] == texts[i] for i in texts if i >= 4)
+    assert "anzibarov" not in clean[last] and clean[last].endswith("said yesterday")
+    assert all(clean[i] == texts[i] for i in texts if 4 <= i < last)
 
 
 def test_personal_edge_tables(spark, docs):
