@@ -14,13 +14,14 @@ distinct n-grams that end in them; every order is joined with the totals of its
 The spelling tables have V ** ORDER entries of four bytes (25 MB for each half), whatever
 the input, and are sent to the tasks.
 
-Perplexity is by character. The share of a language's trusted documents of about the
-same length sets the threshold.
+Perplexity is by character. Quantiles of a language's trusted documents of about the same
+length set two thresholds: text that is too easy to guess (repeated words, lists) is as odd
+as text that surprises. A length with few trusted documents takes the language's quantiles.
 
 Defined results: null and empty texts and those of white space only have no perplexity and
 are not kept; documents of a null language, or of one without trusted documents, have no
 threshold and are kept; repeated ids in the labels count as trusted when any row is; ties
-with the threshold are kept; without trusted documents every document with a text is kept;
+with a threshold are kept; without trusted documents every document with a text is kept;
 equal rows get equal verdicts; an empty table gives an empty table.
 """
 
@@ -48,11 +49,11 @@ V = len(SYMBOLS) + 3
 
 @dataclass(frozen=True)
 class Settings:
-    """Threshold quantile, its slack as a factor, and when a length class has its own."""
+    """Quantiles of the thresholds, and when a length class has its own."""
 
-    quantile: float = 0.99
-    slack: float = 1.25
-    class_documents: int = 50
+    low: float = 0.01
+    high: float = 0.99
+    class_documents: int = 200
 
 
 def _symbol_table() -> np.ndarray:
@@ -218,7 +219,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Per row: ``perplexity``, ``threshold`` (null without one) and ``kept``."""
+    """Per row: ``perplexity``, ``lowest`` and ``threshold`` (null without one) and ``kept``."""
     settings = settings or Settings()
     trusted = common.stage(
         labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -231,23 +232,21 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = Non
         "__llm_class", F.length(F.bin("n_symbols"))
     )
     good = scored.join(trusted, "doc_id", "left_semi").where("perplexity IS NOT NULL AND lang IS NOT NULL")
-    bound = F.percentile_approx("perplexity", F.lit(settings.quantile), F.lit(10_000)) * settings.slack
-    by_class = good.groupBy("lang", "__llm_class").agg(bound.alias("__llm_own"), F.count("*").alias("n"))
+    bounds = [
+        F.percentile_approx("perplexity", F.lit(q), F.lit(10_000)).alias(name)
+        for name, q in (("low", settings.low), ("high", settings.high))
+    ]
+    by_class = good.groupBy("lang", "__llm_class").agg(F.struct(*bounds).alias("__llm_own"), F.count("*").alias("n"))
     by_class = by_class.where(F.col("n") >= settings.class_documents).drop("n")
-    by_lang = good.groupBy("lang").agg(bound.alias("__llm_all"))
-    # A short document strays further: without a class of its own it gets the language's
-    # bound, and never a tighter one than the language has.
-    threshold = F.greatest("__llm_own", "__llm_all")
+    by_lang = good.groupBy("lang").agg(F.struct(*bounds).alias("__llm_all"))
+    bound = F.coalesce("__llm_own", "__llm_all")
+    inside = F.col("perplexity").between(F.col("lowest"), F.col("threshold"))
     return (
         scored.join(by_class, ["lang", "__llm_class"], "left")
         .join(by_lang, "lang", "left")
-        .withColumn("threshold", threshold)
-        .withColumn(
-            "kept",
-            F.col("perplexity").isNotNull()
-            & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))),
-        )
-        .select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "kept")
+        .withColumns({"lowest": bound["low"], "threshold": bound["high"]})
+        .withColumn("kept", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | inside))
+        .select("doc_id", "lang", "n_symbols", "perplexity", "lowest", "threshold", "kept")
     )
 
 

@@ -64,19 +64,43 @@ def test_model_equals_plain_recursion(docs):
 
 
 def test_held_out_documents(spark, docs, saved):
-    """Kept: 95 of 100 of the same language. Not kept: 95 of 100 of noise."""
-    held = [plain.sentence(rng, rng.randint(20, 120)) + "." for _ in range(100)]
+    """Kept: 92 of 100 of the same kind. Not kept: 95 of 100 of noise, and no text that repeats a known one."""
+    held = [plain.sentence(rng, rng.randint(5, 120)) + ". Été, 12 €" for _ in range(100)]
     noise = ["".join(rng.choices("qwxzj|#$ %&", k=300)) for _ in range(100)]
-    table = docs(*GOOD, *held, *noise)
+    repeated = [". Été, 12 € " * (20 + i) for i in range(10)]
+    table = docs(*GOOD, *held, *noise, *repeated)
     labels = spark.createDataFrame(
         [(i, 1, 0) for i in range(80)] + [(180 + i, 0, 0) for i in range(40)] + [(None, 1, 0), (3, 1, 0), (81, 1, 1), (5, None, None)],
         "doc_id long, quality int, toxic int",
     )
     rows = {r["doc_id"]: r for r in kn.op10(spark, saved(documents=table, labels=labels)).collect()}
-    assert len(rows) == 280 and sum(rows[i]["kept"] for i in range(80, 180)) >= 95
+    assert len(rows) == 290 and sum(rows[i]["kept"] for i in range(80, 180)) >= 92
+    assert not any(rows[i]["kept"] for i in range(280, 290))
     assert sum(not rows[i]["kept"] for i in range(180, 280)) >= 95
 
 
+def test_thresholds_equal_plain_quantiles(spark, docs):
+    """Both thresholds by language and length, and the verdict, from sorted lists."""
+    rows = [(i, plain.sentence(rng, rng.choice([6, 60])), rng.choice(["en", "fr"]), "a", 1) for i in range(150)]
+    rows += [(200, "ba ba ba " * 40, "en", "a", 1), (201, "zq# " * 40, "fr", "a", 1), (202, "ba", "xx", "a", 1)]
+    trusted = set(range(0, 140))
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")
+    settings = kn.Settings(low=0.1, high=0.9, class_documents=30)
+    got = {r["doc_id"]: r for r in kn.classify(docs(*rows), labels, settings).collect()}
+
+    def quantile(values, q):
+        return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+
+    for i, text, lang, _, _ in rows:
+        mine = [j for j, _, other, _, _ in rows if j in trusted and other == lang]
+        near = [j for j in mine if len(rows[j][1]).bit_length() == len(text).bit_length()]
+        values = [got[j]["perplexity"] for j in (near if len(near) >= 30 else mine)]
+        want = (quantile(values, 0.1), quantile(values, 0.9)) if values else (None, None)
+        r = got[i]
+        assert (r["lowest"], r["threshold"]) == want
+        assert r["kept"] == (want[0] is None or want[0] <= r["perplexity"] <= want[1])
+
+
 def test_edge_tables(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     rows = [(0, GOOD[0], "en", "a", 1), (1, None, "en", "a", 1), (1, "", None, None, None), (2, "#" * 50_000, "xx", "a", 1), (None, "ba", None, None, None)]
