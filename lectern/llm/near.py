@@ -569,5 +569,26 @@ def op6(spark, sf) -> DataFrame:
     return group(common.documents(spark, sf), Settings(shingle=2))
 
 
+def sql(shingle: int = 2, percent: int = 80) -> str:
+    """The exact answer for small tables: all pairs that share a shingle, and what they reach."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    joined = f"array_to_string(w[i : i + {shingle - 1}], chr(32))"
+    return f"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^ \t-\r]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {shingle} THEN [array_to_string(w, chr(32))]
+         ELSE list_distinct(list_transform(range(1, len(w) - {shingle} + 2), lambda i: {joined})) END AS s FROM said),
+items AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+near AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b
+    ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+links AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT doc_id, any_value(len(s)) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM sets JOIN reach USING (doc_id) GROUP BY doc_id"""
+
+
 # Functions of this module travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

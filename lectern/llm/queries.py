@@ -22,6 +22,7 @@ QUERIES = {
     "op7_quality_divergence": quality.op7,
 }
 ORACLES: dict[str, str] = {
+    "op6_superminhash": near.sql(),
     "op12_chat_assembly": chat.SQL,
     "op13_ptolemaic_clusters": centroids.SQL,
     "op2_warc_segments": warc.SQL,
