@@ -158,8 +158,8 @@ def test_document_in_parts(spark):
 
 def test_written_text_files(spark, table, tmp_path):
     parts = table("video_id int, part int, text string", (1, 0, "# A\n\nbody\n"), (2, 0, "# B\n"))
-    files.write_text_files(parts, str(tmp_path / "out"))
-    got = {r.path.split("video_id=")[1][0]: r.text for r in subtitles.read_subtitle_files(spark, str(tmp_path / "out")).collect()}
+    files.write_text_files(parts, str(tmp_path / "out"), "srt")
+    got = {r.path.split("/")[-1].removesuffix(".srt"): r.text for r in subtitles.read_subtitle_files(spark, str(tmp_path / "out")).collect()}
     assert got == {"1": "# A\n\nbody\n", "2": "# B\n"}
 
 
