@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import alignment, chunking, documents
+from lectern.operators import alignment, chunking, dedup, documents
 from lectern.operators.ordering import MAX_GROUP_ROWS, any_large_group
 from lectern.session import cut_lineage, hand_over
 
@@ -20,6 +20,39 @@ class Settings:
     max_rows: int = MAX_GROUP_ROWS
 
 
+@dataclass
+class Inputs:
+    """What ``prepare`` takes, and an event per fallback or skipped frame."""
+
+    segments: DataFrame
+    frames: DataFrame
+    events: DataFrame
+
+
+def complete_inputs(
+    segments: DataFrame, texts: DataFrame, frames: DataFrame, similarity: float = 0.95, max_frames: int = 200
+) -> Inputs:
+    """Inputs of every video: approximate segments where there are no times, frames without near copies.
+
+    ``texts`` is (video_id, text, duration_sec): a video without any timed segment gets its
+    text spread over its duration. ``frames`` carry ``phash``: the earliest ``max_frames`` of
+    a video are taken, and of these the ones unlike all kept before.
+    """
+    known = chunking.timed(segments).select("video_id").distinct()
+    made = hand_over(chunking.synthesize_segments(texts.join(known, "video_id", "left_anti")), "synthetic")
+    fallbacks = made.groupBy("video_id").agg(F.count(F.lit(1)).alias("segment_count")).select(
+        "video_id", F.lit("fallbacks").alias("bucket"), F.lit("synthetic_segments").alias("stage"), "segment_count"
+    )
+    early = alignment.earliest_frames(frames, max_frames)
+    skipped = dedup.unhashed(early).select("video_id", "bucket", "stage", "frame_id")
+    columns = segments.columns
+    return Inputs(
+        segments=segments.unionByName(made.select(*[c for c in columns if c in made.columns]), allowMissingColumns=True),
+        frames=dedup.deduplicate(early, similarity, max_frames),
+        events=fallbacks.unionByName(skipped, allowMissingColumns=True),
+    )
+
+
 @dataclass
 class Prepared:
     """Tables the text model's requests are made of."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import model_output
 from lectern.plans.illustrated import Models, illustrate
-from lectern.plans.lecture import Settings, prepare
+from lectern.plans.lecture import Settings, complete_inputs, prepare
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(model_output)
@@ -107,3 +107,24 @@ def test_retakes_that_never_come(ready, table):
     got = {r.anchor_id: r.outcome for r in out.evaluations.collect()}
     assert got == {"c0_a1": "kept", "c0_a2": "unserved", "c1_a2": "unserved"}
     assert {(r.anchor_id, r["round"], r.timestamp) for r in out.captures.collect()} == {("c0_a2", 1, 42.0), ("c1_a2", 1, 42.0)}
+
+
+def test_inputs_without_times_and_with_near_copies(table):
+    segments = table(
+        "video_id int, seq long, text string, start double, `end` double",
+        (1, 0, "timed", 0.0, 5.0), (1, 1, "not timed", None, None), (2, 0, "untimed", None, None),
+    )
+    texts = table("video_id int, text string, duration_sec double", (1, "unused", 9.0), (2, "ab\n\n cdef ", 6.0), (3, " \n", 6.0), (4, "x", 0.0))
+    frames = table(
+        "video_id int, frame_id long, path string, timestamp_sec double, phash long",
+        (1, 1, "a", 0.0, 0), (1, 2, "b", 1.0, 1), (1, 3, "c", 2.0, -1), (1, 4, "late", 3.0, 77), (2, 5, "d", 0.0, None),
+    )
+    got = complete_inputs(segments, texts, frames, 0.95, 3)
+    rows = {(r.video_id, r.seq, r.text): (r.start, r.end) for r in got.segments.where("start IS NOT NULL").collect()}
+    assert rows == {(1, 0, "timed"): (0.0, 5.0), (2, 0, "ab"): (0.0, 2.0), (2, 1, "cdef"): (2.0, 6.0), (4, 0, "x"): (0.0, 4.5)}
+    assert got.segments.count() == 3 + 3
+    assert {r.frame_id for r in got.frames.collect()} == {1, 3, 5}
+    events = {(r.video_id, r.bucket, r.segment_count, r.frame_id) for r in got.events.collect()}
+    assert events == {(2, "fallbacks", 2, None), (4, "fallbacks", 1, None), (2, "skipped_frames", None, 5)}
+    ready = prepare(got.segments, got.frames.drop("phash"), Settings(segment_minutes=1.0))
+    assert {(r.video_id, r.n_segments) for r in ready.chunks.collect()} == {(1, 1), (2, 2), (4, 1)}
