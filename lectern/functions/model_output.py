@@ -103,16 +103,18 @@ def json_objects(rows: DataFrame, raw: str, name: str = "obj") -> DataFrame:
 
 
 def _fields(obj: Column, *names: str) -> Column:
-    """Kind and text of each field: kind is null when the field is absent."""
+    """Kind and text of each field: kind is null when the field is absent.
 
-    def field(name: str) -> Column:
-        value = F.try_variant_get(obj, f"$.{name}", "variant")
+    The object is taken apart once, however many fields are asked for.
+    """
+
+    def field(value: Column, name: str) -> Column:
         return F.struct(
-            F.schema_of_variant(value).alias("kind"),
-            F.try_variant_get(obj, f"$.{name}", "string").alias("text"),
+            F.schema_of_variant(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text")
         ).alias(name)
 
-    return F.struct(*[field(n) for n in names])
+    parts = F.try_variant_get(obj, "$", f"struct<{','.join(f'{n}:variant' for n in names)}>")
+    return let(parts, lambda p: F.struct(*[field(p[n], n) for n in names]))
 
 
 def _is_object(value: Column) -> Column:
@@ -217,7 +219,7 @@ def frame_decision(item: Column, frame_path: Column) -> Column:
         "frame", "keep_image", "content_type", "caption", "text_representation", "reason",
         "retake", "retake_timestamp",
     ]
-    return F.when(_is_object(item), let(let(_fields(item, *names), read), check))
+    return let(item, lambda i: F.when(_is_object(i), let(let(_fields(i, *names), read), check)))
 
 
 def items(obj: Column, name: str) -> Column:

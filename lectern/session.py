@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lectern", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,11 +64,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+#: Rows of heavy work that a task should have at most.
+SPREAD_ROWS = 500_000
 
-    For heavy work per row over a few files. A large scan has many splits and is
-    left alone, without any shuffle.
+
+def spread(df: DataFrame, task_rows: int = SPREAD_ROWS) -> DataFrame:
+    """Deal the rows of a scan out evenly, where its splits do not.
+
+    For heavy work per row over a few files. A split holds the row groups that begin in it, so
+    a scan with many splits may still have all its rows in a few of them: the rows of each are
+    counted, which reads no column. A scan whose splits are even and small is left alone,
+    without any shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    sizes = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    if rows is None or (most <= 2 * task_rows and most * cores <= 2 * rows):
+        return df
+    return df.repartition(max(cores, -(-rows // task_rows)))

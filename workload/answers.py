@@ -141,7 +141,7 @@ def _expected(cases: list, position: str, names: list[str], key: str, table: str
 
 def f23(spark, sf):
     value = _pick([f'{{"b": {x}}}' for x, _ in BOOLS], f"CAST(event_id % {len(BOOLS)} AS INT)")
-    return t.read(spark, sf, "events").select(
+    return t.read_spread(spark, sf, "events").select(
         "event_id", mo.strict_bool(F.try_parse_json(value), "b").alias("flag")
     )
 
