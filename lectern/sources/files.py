@@ -66,14 +66,12 @@ def write_text_files(parts: DataFrame, path: str, suffix: str) -> None:
 
 
 def read_text_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """(video_id, text) of written documents; Spark's readers leave empty files out."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*.{suffix}").load(path)
-    )
-    name = F.regexp_extract("path", rf"([^/]+)\.{suffix}\z", 1)
+    """(video_id, text) of written documents; empty files are left out."""
+    spark.dataSource.register(TextDocuments)
+    files = spark.read.format("text_documents").option("suffix", suffix).load(path)
+    name = F.col("name")
     return files.select(
-        F.when(name == EMPTY_NAME, "").when(name != NO_NAME, F.try_url_decode(name)).alias("video_id"), F.decode("content", "UTF-8").alias("text")
+        F.when(name == EMPTY_NAME, "").when(name != NO_NAME, F.try_url_decode(name)).alias("video_id"), "text"
     )
 
 

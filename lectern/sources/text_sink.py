@@ -1,25 +1,33 @@
-"""A data source that writes one text file per document.
+"""A data source that writes one text file per document, and reads them back.
 
 Rows (name, text) of a partition become files in one staging folder per task, one open
 file at a time; rows of the same name in a row are one file. The driver then moves each
 task's folder into place, a rename per task however many documents there are, so a
 failed or repeated task leaves nothing behind, and neither does a failed job.
+
+Reading, a task takes one such folder, which it lists itself: the driver sees the folders,
+never the files, and a million small files are a few hundred tasks.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
+)
 
 #: File names, without suffix, of documents whose name is null or empty.
 NO_NAME, EMPTY_NAME = "%00", "%01%"
+#: Documents and characters that a task reads at a time; one longer document goes alone.
+BATCH_ROWS, BATCH_CHARS = 1_000, 8_000_000
 
 
 @dataclass
@@ -93,14 +101,75 @@ class Writer(DataSourceArrowWriter):
                 files.delete_dir(f"{root}/_temporary")
 
 
+@dataclass
+class Folder(InputPartition):
+    """A folder of documents, or without ``deep`` only the files beside the folders."""
+
+    path: str
+    deep: bool
+
+    def __post_init__(self):
+        super().__init__(self.path)
+
+
+def hidden(path: str) -> bool:
+    return any(part.startswith(("_", ".")) for part in path.split("/"))
+
+
+class Reader(DataSourceReader):
+    def __init__(self, path: str, suffix: str):
+        self.path, self.suffix = path.rstrip("/"), suffix
+
+    def partitions(self) -> list[Folder]:
+        from pyarrow import fs
+
+        files, root = open_folder(self.path)
+        found = files.get_file_info(fs.FileSelector(root))
+        folders = sorted(f.path for f in found if f.type == fs.FileType.Directory and not hidden(f.base_name))
+        return [Folder(root, False), *[Folder(f, True) for f in folders]]
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, _ = open_folder(self.path)
+        names, texts, size = [], [], 0
+        for info in files.get_file_info(fs.FileSelector(partition.path, recursive=partition.deep)):
+            inside = info.path[len(partition.path):].lstrip("/")
+            if info.type != fs.FileType.File or not info.size or hidden(inside) or not inside.endswith(f".{self.suffix}"):
+                continue
+            with files.open_input_stream(info.path) as file:
+                text = file.read().decode("utf-8", "replace")
+            if names and (len(names) >= BATCH_ROWS or size + len(text) > BATCH_CHARS):
+                yield pa.RecordBatch.from_pydict({"name": names, "text": texts})
+                names, texts, size = [], [], 0
+            names.append(info.base_name[: -len(self.suffix) - 1])
+            texts.append(text)
+            size += len(text)
+        if names:
+            yield pa.RecordBatch.from_pydict({"name": names, "text": texts})
+
+
 class TextDocuments(DataSource):
-    """``df.write.format("text_documents").option("suffix", "srt").save(path)`` of (name, text)."""
+    """``df.write.format("text_documents").option("suffix", "srt").save(path)`` of (name, text), and ``load``.
+
+    Read names are those of the files; empty files are left out, as by Spark's readers.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "text_documents"
 
+    def schema(self) -> str:
+        return "name string, text string"
+
+    def reader(self, schema) -> Reader:
+        return Reader(self.options["path"], self.options.get("suffix", "txt"))
+
     def writer(self, schema, overwrite: bool) -> Writer:
         if sorted(schema.names) != ["name", "text"]:
             raise ValueError(f"columns name and text expected, not {schema.names}")
         return Writer(self.options["path"], self.options.get("suffix", "txt"), overwrite)
+
+
+# The source travels with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

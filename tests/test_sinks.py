@@ -54,5 +54,18 @@ def test_a_failed_job_leaves_nothing_new(spark, table, tmp_path):
     assert "_temporary" not in os.listdir(path)
 
 
+def test_a_task_reads_a_folder_of_documents(spark, tmp_path):
+    """Tasks are those that wrote, not one per few files; hidden, other and empty files are no documents."""
+    path = tmp_path / "srt"
+    parts = spark.range(3_000).select(F.col("id").alias("video_id"), F.lit(0).alias("part"), F.col("id").cast("string").alias("text"))
+    files.write_text_files(parts, str(path), "srt")
+    for name, text in [("top.srt", "t"), ("in/deep/er.srt", "d"), ("in/.x/no.srt", "n"), ("_no/no.srt", "n"), ("in/no.md", "n"), ("in/no.srt", "")]:
+        (path / name).parent.mkdir(parents=True, exist_ok=True)
+        (path / name).write_text(text)
+    got = files.read_text_files(spark, str(path), "srt")
+    assert got.rdd.getNumPartitions() <= 8 + 2
+    assert sorted(map(tuple, got.collect())) == sorted([("top", "t"), ("er", "d"), *[(str(i), str(i)) for i in range(3_000)]])
+
+
 def test_names_are_safe():
     assert file_name("a/../b", "md") == "a%2F..%2Fb.md" and file_name(".x", "md") == "%2Ex.md"
