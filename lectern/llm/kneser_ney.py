@@ -3,10 +3,10 @@
 Trusted documents (labelled good and not toxic) are all counted, in two halves by the hash
 of their text. A document is scored by the model of the half that does not hold its text:
 no document, and no copy of it, meets its own counts, so thresholds from trusted documents
-hold for others. The word models (``word_model``) are tables that grow with the trusted
-text; a document's distinct n-grams are joined with them by n-gram and by context, and only
-sums per document leave the joins. Words that a model has not seen are spelled by a
-character model of the same half.
+hold for others. The word models (``word_model``) are a table of weights that grows with the
+trusted text; a document's distinct n-grams are joined with it once, and only sums per
+document leave the join. Words that a model has not seen are spelled by a character model
+of the same half.
 
 Characters are folded to ``V`` symbols there, so an n-gram is one integer below V ** ORDER;
 characters that share a symbol are taken as equally likely. Lower orders count the
@@ -175,15 +175,24 @@ SHARED = {LETTER: 130_000, OTHER: 10_000, SYMBOLS["0"]: 10}
 
 def spellers(tables: list[np.ndarray]) -> list:
     """Per half, the logarithm of the probability of a word's letters and its end."""
-    symbols = _symbol_table()
-    alike = np.zeros(V)
+    symbols = _symbol_table().tolist()
+    alike = [0.0] * V
     for symbol, n in SHARED.items():
-        alike[symbol] = -np.log(n)
+        alike[symbol] = -float(np.log(n))
+    start = ((BORDER * V + BORDER) * V + SYMBOLS[" "]) % V ** (ORDER - 1)
 
     def speller(table: np.ndarray):
+        # Indexed value by value: words are short.
+        held = memoryview(np.ascontiguousarray(table))
+
         def spell(word: str) -> float:
-            got = grams(f" {word} ", symbols)[1:]
-            return float(table[got].sum(dtype=np.float64) + alike[got[:-1] % V].sum())
+            context, total = start, 0.0
+            for char in word:
+                symbol = symbols[min(ord(char), 0xFFFF)]
+                gram = context * V + symbol
+                total += held[gram] + alike[symbol]
+                context = gram % V ** (ORDER - 1)
+            return total + held[context * V + SYMBOLS[" "]]
 
         return spell
 
@@ -205,7 +214,7 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     good = rows.join(trusted, "doc_id", "left_semi")
     sent = docs.sparkSession.sparkContext.broadcast([train(good.where(F.col("half") == half)) for half in (0, 1)])
     spell = lambda: spellers(sent.value)
-    model = word_model.train(word_model.tokens(good, spell))
+    model = word_model.train(word_model.tokens(good, spell, (word_model.ORDER,)))
     other = rows.withColumn("half", 1 - F.col("half"))
     sums = word_model.score(word_model.tokens(other, spell), model)
     held = rows.select("doc_id", "lang", "row", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"))

@@ -168,3 +168,26 @@ def test_word_order_counts_in_every_script(spark, docs):
     got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs(*good, *odd, *same), labels).collect()}
     for k in range(10):
         assert got[100 + k] > 1.2 * got[200 + k % 2]
+
+
+def test_ngrams_meet_the_model_once(spark):
+    """One exchange holds the n-grams of the documents: they are dealt out by key, then summed by row."""
+    spell = lambda: [lambda word: -2.0 * len(word)] * 2
+    make = lambda rows: word_model.tokens(spark.createDataFrame(rows, "row long, lang string, half int, text string"), spell)
+    model = word_model.train(make([(i, "en", 0, f"the cat sat on mat {i % 7}") for i in range(40)]))
+    asked = word_model.score(make([(1, "en", 0, "the cat sat"), (2, "en", 0, "dog"), (3, "xx", 1, "dog"), (4, "en", 0, "y" * 100_000)]), model)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert sum("key#" in line for line in joins) == 1 and sum("model#" in line for line in joins) == 1 and len(joins) == 2
+    got = {r["row"]: (r["logs"], r["size"]) for r in asked.collect()}
+    probability = plain_words([f"the cat sat on mat {i % 7}" for i in range(40)], 0)
+    for row, text in ((1, "the cat sat"), (2, "dog"), (4, "y" * 100_000)):
+        w = ["\n", "\n", *text.split()]
+        # Above the spelling of a word: of the long one, exp(-200,000) is no number above 0.
+        spelled = [-2.0 * len(x) for x in w[2:]]
+        if row == 1:
+            want = sum(math.log(probability(tuple(w[k - 2 : k + 1]), math.exp(spelled[k - 2]))) for k in range(2, len(w)))
+        else:
+            want = spelled[0] + math.log(probability(tuple(w), 1.0))
+        assert got[row] == (pytest.approx(want, rel=1e-9), sum(len(x) + 1 for x in w[2:]))
+    assert got[3] == (-6.0, 4)
