@@ -37,7 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import common, word_model
+from lectern.llm import common, word_shards
 
 ORDER = 4
 # The symbols. Letters without an own symbol share one, and so do marks.
@@ -174,25 +174,30 @@ SHARED = {LETTER: 130_000, OTHER: 10_000, SYMBOLS["0"]: 10}
 
 
 def spellers(tables: list[np.ndarray]) -> list:
-    """Per half, the logarithm of the probability of a word's letters and its end."""
-    symbols = _symbol_table().tolist()
-    alike = [0.0] * V
+    """Per half, the logarithms of the probabilities of words' letters and ends."""
+    symbols = _symbol_table()
+    alike = np.zeros(V)
     for symbol, n in SHARED.items():
-        alike[symbol] = -float(np.log(n))
-    start = ((BORDER * V + BORDER) * V + SYMBOLS[" "]) % V ** (ORDER - 1)
+        alike[symbol] = -np.log(n)
 
     def speller(table: np.ndarray):
-        # Indexed value by value: words are short.
-        held = memoryview(np.ascontiguousarray(table))
-
-        def spell(word: str) -> float:
-            context, total = start, 0.0
-            for char in word:
-                symbol = symbols[min(ord(char), 0xFFFF)]
-                gram = context * V + symbol
-                total += held[gram] + alike[symbol]
-                context = gram % V ** (ORDER - 1)
-            return total + held[context * V + SYMBOLS[" "]]
+        def spell(words: list[str]) -> np.ndarray:
+            # Each word stands between spaces, the first of them after a border.
+            sizes = np.array([len(w) for w in words], np.int64)
+            ends = np.cumsum(sizes + ORDER)
+            starts = ends - sizes - ORDER
+            codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            said = np.full(len(codes) + ORDER * len(words), BORDER, np.int32)
+            said[starts + ORDER - 2] = said[ends - 1] = SYMBOLS[" "]
+            letters = np.ones(len(said), bool)
+            letters[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = letters[ends - 1] = False
+            said[letters] = symbols[np.minimum(codes, 0xFFFF)]
+            value = np.zeros(len(said), np.int32)
+            for k in range(ORDER):
+                value[ORDER - 1 :] = value[ORDER - 1 :] * V + said[k : len(said) - ORDER + 1 + k]
+            logs = table[value] + np.where(letters, alike[said], 0.0)
+            logs[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = 0.0
+            return np.add.reduceat(logs, starts)
 
         return spell
 
@@ -201,26 +206,15 @@ def spellers(tables: list[np.ndarray]) -> list:
 
 def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Per row: ``doc_id``, ``lang``, number of characters, perplexity by the other half."""
+    part = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
-    ).withColumns(
-        {
-            # Equal texts of a language share their sums.
-            "row": F.xxhash64(F.coalesce("lang", F.lit("\0")), F.coalesce("text", F.lit(""))),
-            "half": F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int"),
-        }
-    )
-    good = rows.join(trusted, "doc_id", "left_semi")
+    ).withColumns({"half": F.pmod(part, F.lit(2)).cast("int"), "part": F.pmod(F.shiftright(part, 1), F.lit(1 << 30))})
+    rows = rows.join(trusted.withColumn("good", F.lit(1)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    good = rows.where("good = 1")
     sent = docs.sparkSession.sparkContext.broadcast([train(good.where(F.col("half") == half)) for half in (0, 1)])
-    spell = lambda: spellers(sent.value)
-    model = word_model.train(word_model.tokens(good, spell, (word_model.ORDER,)))
-    other = rows.withColumn("half", 1 - F.col("half"))
-    sums = word_model.score(word_model.tokens(other, spell), model)
-    held = rows.select("doc_id", "lang", "row", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_symbols"))
-    return held.join(sums, "row", "left").select(
-        "doc_id", "lang", "n_symbols", F.exp(-F.col("logs") / F.col("size")).alias("perplexity")
-    )
+    return word_shards.score(rows, lambda: spellers(sent.value))
 
 
 #: Trusted ids (8 bytes each) up to which they are sent to all executors.

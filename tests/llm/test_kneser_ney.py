@@ -9,7 +9,7 @@ import plain
 import pytest
 
 from lectern.llm import kneser_ney as kn
-from lectern.llm import word_model
+from lectern.llm import word_model, word_shards
 
 rng = random.Random(53)
 GOOD = [plain.sentence(rng, rng.randint(5, 120)) + ". Été, 12 €" for _ in range(80)]
@@ -191,3 +191,55 @@ def test_ngrams_meet_the_model_once(spark):
             want = spelled[0] + math.log(probability(tuple(w), 1.0))
         assert got[row] == (pytest.approx(want, rel=1e-9), sum(len(x) + 1 for x in w[2:]))
     assert got[3] == (-6.0, 4)
+
+
+def labelled(spark, rows):
+    """Rows as ``word_shards.score`` takes them, from (doc_id, lang, text, half, good)."""
+    return spark.createDataFrame(
+        [(i, lang, text, half, 7 * i, good) for i, lang, text, half, good in rows],
+        "doc_id long, lang string, text string, half int, part long, good int",
+    )
+
+
+@pytest.mark.parametrize("pack_chars,codes", [(10**9, 10**6), (150, 10**6), (10**9, 3)])
+def test_packed_model_equals_plain_recursion(spark, monkeypatch, pack_chars, codes):
+    """Many shards and packs, most words sent as hashes or as ranks: a half's texts are scored by the other half's model."""
+    for name, value in {"SHARD_CHARS": 200, "PACK_CHARS": pack_chars, "CODES": codes}.items():
+        monkeypatch.setattr(word_shards, name, value)
+    texts = ["The cat sat on the mat. the cat sat", "a cat, the dog: the cat ran", "слово за слово и слово", "猫坐在猫上"]
+    texts += [f"the cat {plain.sentence(rng, 12)}" for _ in range(20)]
+    rows = [(i, "en", text, 0, 1) for i, text in enumerate(texts)] + [(100, "de", "the mat the mat", 0, 1), (101, "en", "dog dog", 1, 1)]
+    asked = {200: "the cat sat on a dog", 201: "猫坐", 202: "слово unseen слово и", 203: "the the the", 204: "y" * 5_000, 205: texts[5]}
+    rows += [(i, "en", text, 1, 0) for i, text in asked.items()] + [(300, "xx", "dog", 1, 0), (301, "en", " ", 1, 0), (302, None, None, 1, 0)]
+    spell = lambda: [lambda words: np.array([-3.0 * len(w) for w in words])] * 2
+    scored = word_shards.score(labelled(spark, rows).repartition(3), spell).collect()
+    got = {r["doc_id"]: r["perplexity"] for r in scored}
+    assert len(scored) == len(rows) and got[301] is None and got[302] is None and got[300] == pytest.approx(math.exp(9 / 4))
+    probability = plain_words(texts, 0)
+    for i, text in asked.items():
+        w = ["\n", "\n", *word_model.words_of(text)]
+        size = sum(len(x) + 1 for x in w[2:])
+        if i == 204:
+            # The spelling of the long word is no number above 0.
+            want = -15_000 + math.log(probability(tuple(w), 1.0))
+        else:
+            want = sum(math.log(probability(tuple(w[k - 2 : k + 1]), math.exp(-3.0 * len(w[k])))) for k in range(2, len(w)))
+        assert got[i] == pytest.approx(math.exp(-want / size), rel=1e-9)
+
+
+def test_what_is_sent_for_a_trigram():
+    """A pack sends each distinct trigram once, in few bytes: one exchanged by rows took 26."""
+    local = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    words = ["".join(local.choices(syllables, k=local.randint(1, 3))) for _ in range(3_000)]
+    odds = [1 / (i + 1) for i in range(len(words))]
+    docs = [("en", " ".join(local.choices(words, odds, k=300)), 1) for _ in range(400)]
+    hashes = word_shards.hashed("en", sorted(set(words)))
+    table = (hashes, np.argsort(hashes))
+    pack, again = (word_shards.Pack(x, table, 4) for x in (docs + docs[:100], (docs + docs[:100])[::-1]))
+    distinct = {g for _, t, _ in docs for w in [["\n", "\n", *t.split()]] for g in zip(w, w[1:], w[2:])}
+    asked = [(shard, pack.asked(*ranges)) for shard, *ranges in pack.parts()]
+    assert int((pack.n > 0).sum()) == len(distinct) and int(pack.n.sum()) == 500 * 300
+    assert asked == [(shard, again.asked(*ranges)) for shard, *ranges in again.parts()]
+    sent = sum(len(x) for _, part in asked for y in part[1:] for x in (y if isinstance(y, tuple) else [y]))
+    assert sent < 5 * len(distinct)
