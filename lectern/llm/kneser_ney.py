@@ -3,10 +3,10 @@
 Trusted documents (labelled good and not toxic) are all counted, in two halves by the hash
 of their text. A document is scored by the model of the half that does not hold its text:
 no document, and no copy of it, meets its own counts, so thresholds from trusted documents
-hold for others. The word models (``word_model``) are a table of weights that grows with the
-trusted text; a document's distinct n-grams are joined with it once, and only sums per
-document leave the join. Words that a model has not seen are spelled by a character model
-of the same half.
+hold for others. The word models (``word_shards``) are counts in shards that grow with the
+trusted text; documents stay where they are read, and their distinct trigrams go to the
+shards and come back as counts. Words that a model has not seen are spelled by a character
+model of the same half.
 
 Characters are folded to ``V`` symbols there, so an n-gram is one integer below V ** ORDER;
 characters that share a symbol are taken as equally likely. Lower orders count the

@@ -32,7 +32,7 @@ from lectern.llm.word_model import words_of
 #: Words that travel as a rank.
 CODES = 1_000_000
 #: Characters of text for each shard and each pack, about.
-SHARD_CHARS, PACK_CHARS = 15_000_000, 12_000_000
+SHARD_CHARS, PACK_CHARS = 15_000_000, 24_000_000
 #: Words and the end of a text as they travel: ranks from 2 on, others by a hash below 0, of which 7 bytes are sent.
 END, FIRST = 1, 2
 _SENT = 7
