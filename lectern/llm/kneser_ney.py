@@ -11,8 +11,8 @@ model of the same half.
 Characters are folded to ``V`` symbols there, so an n-gram is one integer below V ** ORDER;
 characters that share a symbol are taken as equally likely. Lower orders count the
 distinct n-grams that end in them; every order is joined with the totals of its contexts.
-The spelling tables have V ** ORDER entries of four bytes (25 MB for each half), whatever
-the input, and are sent to the tasks.
+The spelling tables have at most V ** ORDER entries of four bytes (23 MB for each half), whatever
+the input, and are sent to the tasks; contexts never seen share the rows of the lower order.
 
 Perplexity is by character. Quantiles of a language's trusted documents of about the same
 length set two thresholds: text that is too easy to guess (repeated words, lists) is as odd
@@ -37,7 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import common, word_shards
+from lectern.llm import common, word_scan, word_shards
 
 ORDER = 4
 # The symbols. Letters without an own symbol share one, and so do marks.
@@ -88,36 +88,38 @@ _CHUNK = 4_000_000
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all given documents; a task sends each of its n-grams once."""
+    """(half, gram, n) over all given documents; a task sends each of its n-grams once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _symbol_table()
-        dense = np.zeros(V**ORDER, dtype=np.int64)
-        held, size = [], 0
+        held, counts, size = ([], []), ([], []), 0
 
         def settle():
-            if held:
-                dense[:] += np.bincount(np.concatenate(held), minlength=len(dense))
-                held.clear()
+            for parts, summed in zip(held, counts):
+                if parts:
+                    summed.append(np.unique(np.concatenate(parts), return_counts=True))
+                    summed[:] = [word_shards.summed(summed)]
+                    parts.clear()
 
         for batch in batches:
-            for text in batch.column(0):
+            for half, text in zip(*batch.columns):
                 got = grams(text.as_py() or "", table)
-                held.append(got)
+                held[half.as_py()].append(got)
                 size += len(got)
                 if size > _CHUNK:
                     settle()
                     size = 0
         settle()
-        seen = np.flatnonzero(dense)
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), pa.array(dense[part], pa.int64())], names=["gram", "n"]
-            )
+        for half, summed in enumerate(counts):
+            for gram, n in summed:
+                for at in range(0, len(gram), 100_000):
+                    columns = [x[at : at + 100_000].astype(np.int64) for x in (gram, n)]
+                    columns = [pa.array(np.full(len(columns[0]), half, np.int32)), *map(pa.array, columns)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["half", "gram", "n"])
+        word_scan.give_back()
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("half", F.col("text").cast("string")).mapInArrow(run, "half int, gram long, n long")
+    return counted.groupBy("half", "gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -145,8 +147,12 @@ def weights(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def train(docs: DataFrame) -> np.ndarray:
     """The logarithm of the probability of every n-gram's last symbol after the others."""
-    counts = common.stage(count_grams(docs), "grams")
-    orders = [counts]
+    return logs_of(common.stage(count_grams(docs.withColumn("half", F.lit(0))), "grams"))
+
+
+def logs_of(counts: DataFrame) -> np.ndarray:
+    """The same from (gram, n)."""
+    orders = [counts.select("gram", "n")]
     for order in range(ORDER - 1, 0, -1):
         lower = orders[0].select((F.col("gram") % V**order).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
         orders.insert(0, common.stage(lower, "grams"))
@@ -173,14 +179,21 @@ def _columns(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarra
 SHARED = {LETTER: 130_000, OTHER: 10_000, SYMBOLS["0"]: 10}
 
 
-def spellers(tables: list[np.ndarray]) -> list:
-    """Per half, the logarithms of the probabilities of words' letters and ends."""
+def compact(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table's different rows, and the row of each context: contexts never seen have the row of the lower order."""
+    rows: dict[bytes, int] = {}
+    at = np.array([rows.setdefault(row.tobytes(), len(rows)) for row in table.reshape(-1, V)], np.int32)
+    return np.frombuffer(b"".join(rows), table.dtype).reshape(-1, V), at
+
+
+def spellers(tables: list[tuple[np.ndarray, np.ndarray]]) -> list:
+    """Per half, from ``compact``, the logarithms of the probabilities of words' letters and ends."""
     symbols = _symbol_table()
     alike = np.zeros(V)
     for symbol, n in SHARED.items():
         alike[symbol] = -np.log(n)
 
-    def speller(table: np.ndarray):
+    def speller(rows: np.ndarray, row_of: np.ndarray):
         def spell(words: list[str]) -> np.ndarray:
             # Each word stands between spaces, the first of them after a border.
             sizes = np.array([len(w) for w in words], np.int64)
@@ -192,16 +205,16 @@ def spellers(tables: list[np.ndarray]) -> list:
             letters = np.ones(len(said), bool)
             letters[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = letters[ends - 1] = False
             said[letters] = symbols[np.minimum(codes, 0xFFFF)]
-            value = np.zeros(len(said), np.int32)
-            for k in range(ORDER):
-                value[ORDER - 1 :] = value[ORDER - 1 :] * V + said[k : len(said) - ORDER + 1 + k]
-            logs = table[value] + np.where(letters, alike[said], 0.0)
+            context = np.zeros(len(said), np.int32)
+            for k in range(ORDER - 1):
+                context[ORDER - 1 :] = context[ORDER - 1 :] * V + said[k : len(said) - ORDER + 1 + k]
+            logs = rows[row_of[context], said] + np.where(letters, alike[said], 0.0)
             logs[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = 0.0
             return np.add.reduceat(logs, starts)
 
         return spell
 
-    return [speller(table) for table in tables]
+    return [speller(*table) for table in tables]
 
 
 def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -213,7 +226,8 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     ).withColumns({"half": F.pmod(part, F.lit(2)).cast("int"), "part": F.pmod(F.shiftright(part, 1), F.lit(1 << 30))})
     rows = rows.join(trusted.withColumn("good", F.lit(1)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
     good = rows.where("good = 1")
-    sent = docs.sparkSession.sparkContext.broadcast([train(good.where(F.col("half") == half)) for half in (0, 1)])
+    counts = common.stage(count_grams(good), "grams")
+    sent = docs.sparkSession.sparkContext.broadcast([compact(logs_of(counts.where(F.col("half") == half))) for half in (0, 1)])
     return word_shards.score(rows, lambda: spellers(sent.value))
 
 

@@ -15,9 +15,10 @@ documents of one half: it trains that half's model and asks the other.
 from __future__ import annotations
 
 import sys
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import blake2b
+from itertools import groupby
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import common
-from lectern.llm.word_model import words_of
+from lectern.llm.word_scan import Scanner, chunks, give_back, kinds
 
 #: Words that travel as a rank.
 CODES = 1_000_000
@@ -36,26 +37,43 @@ SHARD_CHARS, PACK_CHARS = 15_000_000, 24_000_000
 #: Words and the end of a text as they travel: ranks from 2 on, others by a hash below 0, of which 7 bytes are sent.
 END, FIRST = 1, 2
 _SENT = 7
+#: Words counted between two sums of a task, and in a batch.
+_KEPT = 2_000_000
 _LOW, _SIGN = (1 << 8 * _SENT) - 1, -(1 << 8 * _SENT)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of all words of the texts and their borders."""
+    """(word, n) of the words of the texts and their borders, without those that a task meets once: to rank words, not to score."""
+    known = kinds()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict = defaultdict(Counter)
+        scanner, held, size = Scanner(known), [], 0
         for batch in batches:
-            for lang, text in zip(*batch.columns):
-                held = counts[lang.as_py()]
-                held.update(words_of(text.as_py()))
-                held["\n"] += 2
-        for lang, held in counts.items():
-            columns = [pa.array(hashed(lang, list(held)), pa.int64()), pa.array(held.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+            rows = sorted(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: (r[0] is not None, r[0] or ""))
+            for lang, texts in groupby(rows, itemgetter(0)):
+                texts = [text or "" for _, text in texts]
+                held.append((scanner.hashed(lang, ["\n"]), np.array([2 * len(texts)])))
+                held += [np.unique(scanner.words(lang, text)[0], return_counts=True) for text, _, _ in chunks(texts)]
+            if sum(len(word) for word, _ in held) > size + _KEPT:
+                held = [summed(held)]
+                size = len(held[0][0])
+        if held:
+            word, n = summed(held)
+            word, n = word[n > 1], n[n > 1]
+            for at in range(0, len(word), _KEPT):
+                columns = [pa.array(x[at : at + _KEPT]) for x in (word, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+            del held, word, n
+        give_back()
 
     return docs.select("lang", "text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts in order, with the sum of their numbers."""
+    return _grouped(*(np.concatenate(x) for x in zip(*parts)))
+
+
 def ranks(docs: DataFrame) -> np.ndarray:
     """Hashes of the most frequent words in their order."""
     counts = common.stage(word_counts(docs), "ranks")
@@ -127,22 +145,7 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def hashed(lang: str | None, words: list[str]) -> np.ndarray:
     """A hash of each word of a language; both halves share it."""
-    said = f"{lang is None}\0{lang or ''}\0".encode("utf-8", "surrogatepass")
-    return np.frombuffer(
-        b"".join([blake2b(said + w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words]), "<i8"
-    )
-
-
-class _Places(dict):
-    """A place for each word of a language, given as it comes."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self.words)
-        self.words.append(word)
-        return place
+    return Scanner(kinds()).hashed(lang, words)
 
 
 def _coded(hashes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -154,71 +157,135 @@ def _coded(hashes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return np.where(by_rank[at] == hashes, at + FIRST, hashes | _SIGN)
 
 
+def _coded_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key its place among the distinct ones, which stand as they come."""
+    if not len(keys):
+        return np.zeros(0, np.int32), keys
+    coded = pa.Array.from_buffers(pa.int64(), len(keys), [None, pa.py_buffer(keys)]).dictionary_encode()
+    place, distinct = coded.indices, coded.dictionary
+    return np.frombuffer(place.buffers()[1], np.int32, len(place)), np.frombuffer(distinct.buffers()[1], np.int64, len(distinct))
+
+
+def _firsts(places: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """Of each of n places, the value where it stands first."""
+    first = np.empty(n, values.dtype)
+    first[places[::-1]] = values[::-1]
+    return first
+
+
 class Pack:
     """Distinct trigrams of documents of one half, by shard; the same for any order of the documents."""
 
-    def __init__(self, docs: list[tuple], table: tuple[np.ndarray, np.ndarray], shards: int):
-        """``docs``: (lang, text, good), by language."""
-        self.words: list[str] = []
-        self.langs, first, flat, places = [], [], [], None
-        for lang, text, _ in docs:
-            if places is None or lang != self.langs[-1]:
-                first.append(len(self.words))
-                self.langs.append(lang)
-                places = _Places(self.words)
-            words = words_of(text)
-            flat.append(np.fromiter(map(places.__getitem__, ["\n", "\n", *words]), np.int32, len(words) + 2))
-            # The end stands for the last word being a context, which asks for that word's own numbers.
-            flat.append(np.array([-1], np.int32))
-        places = None
-        self.sizes = np.array([len(x) - 2 for x in flat[::2]], np.int64)
-        flat = np.concatenate(flat)
-        bounds = [*zip(first, [*first[1:], len(self.words)])]
-        hashes = np.concatenate([hashed(lang, self.words[i:j]) for lang, (i, j) in zip(self.langs, bounds)])
+    def __init__(
+        self, docs: list[tuple], table: tuple[np.ndarray, np.ndarray], shards: int, scanner: Scanner | None = None, judged: bool = False
+    ):
+        """``docs``: (lang, text, good), by language. Only with ``judged`` it knows each document's words, only without their numbers."""
+        flat, hashes, lang, sizes = self._read(docs, scanner or Scanner(kinds()), judged)
+        self.lang, self.sizes = lang, sizes
         sent = _coded(hashes, table)
-        self.lang = lang = np.repeat(np.arange(len(first)), [j - i for i, j in bounds])
         shard = shard_of(hashes, shards)
         # Ranks go up, hashes stand after them.
-        order = np.where(sent < 0, np.iinfo(np.int64).max, sent)
-        middle = np.lexsort((sent, order, lang, shard)).astype(np.int32)
-        side = np.concatenate([[-1], np.lexsort((sent, order))]).astype(np.int32)
+        order = sent.view(np.uint64)
+        middle = np.lexsort((order, lang, shard)).astype(np.int32)
+        side = np.concatenate([[-1], np.lexsort((order,))]).astype(np.int32)
         n = len(side)
         if n >= 1 << 21:
             raise ValueError(f"{n} words in a pack: lower PACK_CHARS")
-        middle_of, side_of = np.empty(n - 1, np.int64), np.empty(n, np.int64)
+        middle_of, side_of = np.empty(n - 1, np.uint64), np.empty(n, np.uint64)
         middle_of[middle], side_of[side] = np.arange(n - 1), np.arange(n)
         self.sent = np.append(sent, END)
 
-        starts = np.cumsum(self.sizes + 3) - self.sizes - 3
+        starts = np.cumsum(sizes + 3) - sizes - 3
         inside = np.ones(len(flat), bool)
         inside[starts] = inside[starts + 1] = False
-        inside = np.flatnonzero(inside)
+        inside = np.flatnonzero(inside).astype(np.int32)
+        bits = n.bit_length()
+        shift, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
         keys = middle_of[flat[inside - 1]]
-        keys *= n
-        keys += side_of[flat[inside - 2]]
-        keys *= n
-        keys += side_of[flat[inside]]
+        keys <<= shift
+        keys |= side_of[flat[inside - 2]]
+        keys <<= shift
+        keys |= side_of[flat[inside]]
         del inside, flat
-        order = np.argsort(keys)
-        keys = keys[order]
-        new = np.diff(keys, prepend=-1) != 0
-        self.found = np.empty(len(keys), np.int32)
-        self.found[order] = np.cumsum(new) - 1
-        keys = keys[new]
-        del order, new
-        good = np.repeat(np.array([g for _, _, g in docs], np.int8), self.sizes + 1)
-        good[np.cumsum(self.sizes + 1) - 1] = 0
-        self.n = np.bincount(self.found[good > 0], minlength=len(keys))
-        pair, last = np.divmod(keys, n)
-        self.h0 = side[last]
-        self.new_pair = np.flatnonzero(np.diff(pair, prepend=-1))
-        mid, before = np.divmod(pair[self.new_pair], n)
-        del keys, pair, last
-        self.pair = np.repeat(np.arange(len(mid), dtype=np.int32), np.diff(np.append(self.new_pair, len(self.h0))))
-        self.pair_word, self.h2 = middle[mid], side[before]
-        word = np.flatnonzero(np.diff(mid, prepend=-1))
+        if judged:
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            self.found = np.empty(len(keys), np.int32)
+            self.found[order] = np.cumsum(new, dtype=np.int32) - 1
+            keys = keys[new]
+            del order
+        else:
+            keys <<= np.uint64(1)
+            keys |= np.repeat(np.array([g > 0 for _, _, g in docs], np.uint64), sizes + 1)
+            keys.sort()
+            good = (keys & np.uint64(1)).astype(np.int32)
+            keys >>= np.uint64(1)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, self.n = keys[first], np.add.reduceat(good, first)
+            # The end of a text is no word of it, but says what stands before its last word.
+            last = (keys & mask) == 0
+            self.ended = last & (self.n > 0)
+            self.n[last] = 0
+            del good, first, last
+        self.h0 = side[keys & mask]
+        keys >>= shift
+        self.new_pair = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys = keys[self.new_pair]
+        self.pair_word, self.h2 = middle[keys >> shift], side[keys & mask]
+        word = np.flatnonzero(np.concatenate([[True], np.diff(self.pair_word) != 0]))
         self.h1, self.new_word = self.pair_word[word], self.new_pair[word]
         self.shard = shard[self.h1]
+        if judged:
+            sizes = np.diff(np.append(self.new_pair, len(self.h0)))
+            self.pair = np.repeat(np.arange(len(self.h2), dtype=np.int32), sizes)
+
+    def _read(self, docs: list[tuple], scanner: Scanner, judged: bool) -> tuple:
+        """All texts as places of words, between two borders and an end (-1); the words' hashes and languages; words of each text."""
+        self.langs, distinct, langs, codes, held, size = [], [], [], [], [], 0
+        sizes, border, at = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64), 0
+
+        def add(hashes: np.ndarray, text: str, starts: np.ndarray, sizes: np.ndarray) -> None:
+            nonlocal size
+            distinct.append(hashes)
+            langs.append(np.full(len(hashes), len(self.langs) - 1))
+            size += len(hashes)
+            if judged:
+                held.append((text, starts, sizes))
+
+        for lang, texts in groupby(docs, itemgetter(0)):
+            texts = [text for _, text, _ in texts]
+            self.langs.append(lang)
+            border[at : at + len(texts)] = size
+            add(scanner.hashed(lang, ["\n"]), "\n", np.array([0]), np.array([1]))
+            for text, numbers, ends in chunks(texts):
+                hashes, starts, lengths = scanner.words(lang, text)
+                np.add.at(sizes, at + np.array(numbers), np.diff(np.searchsorted(starts, ends), prepend=0))
+                place, hashes = _coded_places(hashes)
+                codes.append(place + np.int32(size))
+                add(hashes, text, *(_firsts(place, len(hashes), x) if judged else x for x in (starts, lengths)))
+            at += len(texts)
+        place, hashes = _coded_places(np.concatenate(distinct))
+        starts = np.cumsum(sizes + 3) - sizes - 3
+        flat = np.empty(int(sizes.sum()) + 3 * len(docs), np.int32)
+        words = np.ones(len(flat), bool)
+        # The end stands for the last word being a context, which asks for that word's own numbers.
+        for i, value in ((starts, place[border]), (starts + 1, place[border]), (starts + sizes + 2, -1)):
+            words[i], flat[i] = False, value
+        flat[words] = place[np.concatenate([np.zeros(0, np.int32), *codes])]
+        self.border = np.zeros(len(hashes), bool)
+        self.border[place[border]] = True
+        if judged:
+            first = _firsts(place, len(hashes), np.arange(len(place)))
+            self.words, self.lengths, before = [], [], 0
+            for text, begins, lengths in held:
+                new = first[len(self.words) :]
+                new = new[: np.searchsorted(new, before + len(begins))] - before
+                self.words += [text[i:j] for i, j in zip(begins[new].tolist(), (begins + lengths)[new].tolist())]
+                self.lengths.append(lengths[new])
+                before += len(begins)
+            self.lengths = np.concatenate(self.lengths)
+        return flat, hashes, _firsts(place, len(hashes), np.concatenate(langs)), sizes
 
     def parts(self) -> Iterator[tuple]:
         """Per shard, the ranges of its words, pairs and trigrams."""
@@ -238,14 +305,16 @@ class Pack:
         of_word = np.searchsorted(of_pair, self.new_word[words] - grams.start)
         lang = self.lang[self.h1[words]]
         new = np.flatnonzero(np.diff(lang, prepend=-1))
+        ended = self.ended[grams][self.h0[grams] == -1]
         return (
-            [(self.langs[lang[i]], int(i)) for i in new],
+            ([(self.langs[lang[i]], int(i)) for i in new], np.flatnonzero(self.border[self.h1[words]]).tolist()),
             _sent(self.sent[self.h1[words]], new),
             squeeze(np.diff(np.append(of_word, len(of_pair)))),
             _sent(self.sent[self.h2[pairs]], of_word),
             squeeze(np.diff(np.append(of_pair, grams.stop - grams.start))),
             _sent(self.sent[self.h0[grams]], of_pair),
             squeeze(self.n[grams]),
+            squeeze(np.packbits(ended)),
         )
 
 
@@ -257,18 +326,25 @@ class Asked:
     """A pack's part, read in its shard."""
 
     def __init__(self, part: tuple):
-        langs, words, pairs_of, before, grams_of, last, n = part
+        (langs, self.border), words, pairs_of, before, grams_of, last, n, ended = part
         first = [i for _, i in langs]
-        words = _read(words, np.array(first, np.int64))
-        self.lang = np.repeat(np.arange(len(langs)), np.diff([*first, len(words)]))
+        self.words = _read(words, np.array(first, np.int64))
+        self.lang = np.repeat(np.arange(len(langs)), np.diff([*first, len(self.words)]))
         self.langs = [x for x, _ in langs]
         pairs_of, grams_of = spread(pairs_of), spread(grams_of)
-        self.words = words
-        self.pair_word = np.repeat(np.arange(len(words)), pairs_of)
-        self.pair_before = _read(before, _starts(pairs_of))
-        self.gram_pair = np.repeat(np.arange(len(grams_of)), grams_of)
+        self.pair_word = np.repeat(np.arange(len(self.words), dtype=np.int32), pairs_of)
+        self.before = _read(before, _starts(pairs_of))
+        self.gram_pair = np.repeat(np.arange(len(grams_of), dtype=np.int32), grams_of)
         self.last = _read(last, _starts(grams_of))
-        self.n = spread(n)
+        self.n = spread(n).astype(np.int32)
+        ends = np.flatnonzero(self.last == END)
+        self.ended = ends[np.unpackbits(spread(ended).astype(np.uint8), count=len(ends)) > 0]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
 
 
 def _grouped(key: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +353,7 @@ def _grouped(key: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
         return np.unique(key, return_counts=True)
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
     return key[first], np.add.reduceat(weights[order], first) if len(first) else weights
 
 
@@ -303,68 +379,65 @@ class Shard:
         """``rows``: (pack, half, part)."""
         self.asked = [(pack, half, Asked(part)) for pack, half, part in rows]
         every = [a for _, _, a in self.asked]
-        self.words = np.unique(np.concatenate([x for a in every for x in (a.words, a.pair_before, a.last)]))
-        w = self.w = len(self.words)
+        # In the order of the parts: ranks, then hashes.
+        words = _distinct(np.concatenate([x for a in every for x in (a.words, a.before, a.last)]).view(np.uint64)).view(np.int64)
+        w = self.w = len(words)
         if w >= 1 << 21:
             raise ValueError(f"{w} words in a shard: lower SHARD_CHARS")
+        ranked = int(np.searchsorted(words.view(np.uint64), np.uint64(1 << 63)))
+        places = np.zeros(int(words[ranked - 1]) + 1 if ranked else 0, np.int64)
+        places[words[:ranked]] = np.arange(ranked)
+
+        def place(asked: np.ndarray) -> np.ndarray:
+            got, other = np.empty(len(asked), np.int64), asked < 0
+            got[~other] = places[asked[~other]]
+            got[other] = ranked + np.searchsorted(words[ranked:], asked[other])
+            return got
+
         names = sorted({x for a in every for x in a.langs}, key=lambda x: (x is not None, x or ""))
-        self.langs, self.lang = names, np.zeros(w, np.int64)
+        self.langs, self.lang, self.border = names, np.zeros(w, np.int64), np.zeros(w, bool)
         for a in every:
-            a.word = np.searchsorted(self.words, a.words)
+            a.word = place(a.words)
             self.lang[a.word] = np.array([names.index(x) for x in a.langs])[a.lang]
-            a.pair = a.word[a.pair_word] * w + np.searchsorted(self.words, a.pair_before)
-            a.after = np.searchsorted(self.words, a.last)
+            self.border[a.word[a.border]] = True
+            a.pair = a.word[a.pair_word] * w + place(a.before)
+            a.after = place(a.last)
+            a.words = a.before = a.last = None
         self.models = [self._model([a for _, half, a in self.asked if half == m]) for m in (0, 1)]
 
     def _model(self, packs: list[Asked]) -> tuple:
+        """Trigrams, pairs, (middle, last) and words as contexts, and words after different ones, all with their numbers."""
         w = self.w
-        used = [a.n > 0 for a in packs]
+        used = [np.flatnonzero(a.n) for a in packs]
         none = np.zeros(0, np.int64)
-        key = np.concatenate([none, *[(a.pair[a.gram_pair] * w + a.after)[u] for a, u in zip(packs, used)]])
+        key = np.concatenate([none, *[a.pair[a.gram_pair[u]] * w + a.after[u] for a, u in zip(packs, used)]])
         grams = _grouped(key, np.concatenate([none, *[a.n[u] for a, u in zip(packs, used)]]))
         pairs = _stats(grams[0] // w, grams[1])
         lower = _grouped(grams[0] // (w * w) * w + grams[0] % w)
         words = _stats(lower[0] // w, lower[1])
-        return grams, pairs, lower, words
+        # A word after another is the middle of a trigram, or a text ends with it.
+        after = _distinct(np.concatenate([pairs[0], *[a.pair[a.gram_pair[a.ended]] for a in packs]])) // w
+        return grams, pairs, lower, words, np.unique(after[~self.border[after]], return_counts=True)
 
     def counts(self) -> Iterator[tuple]:
         """((half, lang, order), number of n-grams seen once, twice, three and four times)."""
-        for half, (grams, _, lower, _) in enumerate(self.models):
-            for order, (key, n), size in ((3, grams, self.w**2), (2, lower, self.w)):
+        for half, (grams, _, lower, _, after) in enumerate(self.models):
+            for order, (key, n), size in ((3, grams, self.w**2), (2, lower, self.w), (1, after, 1)):
                 lang = self.lang[key // size]
                 for i in np.unique(lang).tolist():
                     yield (half, self.langs[i], order), tallied(n[lang == i])
 
-    def followers(self, hashes: np.ndarray, shards: int) -> Iterator[tuple]:
-        """(shard of a word, (half, lang, words, numbers of different words before them here))."""
-        for half, (_, _, (key, _), _) in enumerate(self.models):
-            if not len(key):
-                continue
-            # A word is of one language, that of the word before it.
-            order = np.argsort(key % self.w, kind="stable")
-            word, first, n = np.unique(key[order] % self.w, return_index=True, return_counts=True)
-            lang, sent = self.lang[key[order][first] // self.w], self.words[word]
-            home = shard_of(np.where(sent < 0, sent, hashes[np.maximum(sent - FIRST, 0)]), shards)
-            order = np.lexsort((sent, sent < 0, lang, home))
-            home, lang, sent, n = home[order], lang[order], sent[order], n[order]
-            first = np.flatnonzero(np.diff(home * len(self.langs) + lang, prepend=-1))
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(home)]):
-                yield int(home[a]), (half, self.langs[lang[a]], _sent(sent[a:b], np.array([0])), squeeze(n[a:b]))
-
-    def answers(self, followed: list[tuple]) -> Iterator[tuple]:
+    def answers(self) -> Iterator[tuple]:
         """(pack, numbers in the order asked) by the model of the other half."""
-        own = {half: (word, n[None]) for half, _, word, n in merged(followed, by_lang=False)}
         for pack, half, a in self.asked:
-            grams, pairs, lower, words = self.models[1 - half]
-            word, n = own.get(1 - half, (np.zeros(0, np.int64), np.zeros((1, 0), np.int64)))
+            grams, pairs, lower, words, after = self.models[1 - half]
             of_words, of_pairs = _look(*words, a.word), _look(*pairs, a.pair)
             # What was never seen in its context is not asked for.
-            at = np.flatnonzero((of_words[0] > 0)[a.pair_word[a.gram_pair]])
+            at = np.flatnonzero((of_words[0] > 0)[a.pair_word][a.gram_pair])
             two = _look(*lower, a.word[a.pair_word[a.gram_pair[at]]] * self.w + a.after[at])
             at = np.flatnonzero((of_pairs[0] > 0)[a.gram_pair])
             three = _look(*grams, a.pair[a.gram_pair[at]] * self.w + a.after[at])
-            followed_by = squeeze(_look(word, n, a.words)[0])
-            yield pack, [*_sums(of_words), followed_by, *_sums(of_pairs), squeeze(two), squeeze(three)]
+            yield pack, [*_sums(of_words), squeeze(_look(*after, a.word)), *_sums(of_pairs), squeeze(two), squeeze(three)]
 
 
 def tallied(n: np.ndarray) -> tuple:
@@ -376,18 +449,6 @@ def added(a: tuple, b: tuple) -> tuple:
     return tuple(x + y for x, y in zip(a, b))
 
 
-def merged(followed: list[tuple], by_lang: bool) -> Iterator[tuple]:
-    """(half, lang, words, numbers) of ``followers`` from all shards."""
-    held = defaultdict(list)
-    for half, lang, sent, n in followed:
-        held[half, lang if by_lang else None].append((_read(sent, np.array([0])), spread(n)))
-    for (half, lang), parts in held.items():
-        word, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(word, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(word[order]) != 0]))
-        yield half, lang, word[order][first], np.add.reduceat(n[order], first)
-
-
 def discounts(c: tuple) -> list[float]:
     y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.0
     raw = [k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else 0.5 * k for k in (1, 2, 3)]
@@ -442,7 +503,7 @@ def logs_of(pack: Pack, half: int, answers: list[tuple], models: dict, spell) ->
     logs = np.append(logs, 0.0)[pack.h0]
     logs = _chance(two, pack.pair_word[pack.pair], _context(own, d[1][:, pack.lang]), d[1], pack.lang, logs)
     logs = _chance(three, pack.pair, _context(pair_rows, d[2][:, by_pair]), d[2], by_pair, logs)
-    size = np.append([len(w) + 1 for w in pack.words], 0)[pack.h0]
+    size = np.append(pack.lengths + 1, 0)[pack.h0]
     logs[pack.h0 == -1] = 0.0
     doc = np.repeat(np.arange(len(pack.sizes)), pack.sizes + 1)
     return tuple(np.bincount(doc, x[pack.found], len(pack.sizes)) for x in (logs, size))
@@ -475,61 +536,74 @@ def score(rows: DataFrame, spellers) -> DataFrame:
     docs = rows.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), "half", "part", "good").rdd
     if not docs.getNumPartitions():
         return spark.createDataFrame([], schema)
+    known = kinds()
 
-    def packed(partition: list) -> Iterator[tuple]:
+    def packed(partition: list, judged: bool) -> Iterator[tuple]:
+        scanner = Scanner(known)
         for number, half, at in packs(partition):
             chosen = [partition[i] for i in at]
-            yield number, half, chosen, Pack([(r.lang, r.text, r.good) for r in chosen], table.value, shards)
+            yield number, half, chosen, Pack([(r.lang, r.text, r.good) for r in chosen], table.value, shards, scanner, judged)
+            del chosen
+            give_back()
 
     def ask(index: int, partition: Iterator) -> Iterator[tuple]:
-        for number, half, _, pack in packed(list(partition)):
+        partition = list(partition)
+        for number, half, _, pack in packed(partition, False):
             for shard, *ranges in pack.parts():
-                yield shard, ((index, number, shard, pack.mark(ranges[-1])), half, pack.asked(*ranges))
-
-    def whole(partition: Iterator) -> list:
-        return [[x for _, x in partition]]
-
-    def count(partition: list[list]) -> Iterator[tuple]:
-        for held in partition:
-            if held:
-                shard = Shard(held)
-                yield from shard.followers(table.value[0], shards)
-                # Counts of counts go to any shard.
-                yield from ((0, x) for x in shard.counts())
-
-    def tally(partition: list[list]) -> Iterator[tuple]:
-        for held in partition:
-            yield from (x for x in held if len(x) == 2)
-            for half, lang, _, n in merged([x for x in held if len(x) == 4], by_lang=True):
-                yield (half, lang, 1), tallied(n)
+                yield shard, ((index, number, len(partition), shard, pack.mark(ranges[-1])), half, pack.asked(*ranges))
+            # Before the next one is made.
+            del pack
+        partition.clear()
+        give_back()
 
     def answer(partition: Iterator) -> Iterator[tuple]:
-        for held, followed in partition:
-            if held:
-                for (index, *pack), numbers in Shard(held).answers([x for x in followed if len(x) == 4]):
-                    yield index, (*pack, numbers)
-
-    asked = docs.mapPartitionsWithIndex(ask).partitionBy(shards, int).mapPartitions(whole)
-    followed = asked.mapPartitions(count).partitionBy(shards, int).mapPartitions(whole)
-    models = dict(followed.mapPartitions(tally).reduceByKey(added).collect())
-    answers = asked.zip(followed).mapPartitions(answer).partitionBy(docs.getNumPartitions(), int).mapPartitions(whole)
+        held = [x for _, x in partition]
+        if held:
+            shard = Shard(held)
+            # Counts of counts go to any partition.
+            yield from ((0, x) for x in shard.counts())
+            for (index, *pack), numbers in shard.answers():
+                yield index, (*pack, numbers)
+            del shard, pack, numbers
+        del held
+        give_back()
+
+    asked = docs.mapPartitionsWithIndex(ask).partitionBy(shards, int)
+    answers = asked.mapPartitions(answer).partitionBy(docs.getNumPartitions(), int)
+    models: dict = {}
+    for key, c in sc.runJob(answers, lambda got: [x for _, x in got if len(x) == 2], [0]):
+        models[key] = added(models[key], c) if key in models else c
+
+    def beside(partition: Iterator) -> Iterator[list | None]:
+        """All answers of a partition beside its first row."""
+        got = [x for _, x in partition if len(x) > 2]
+        if got:
+            rows = got[0][1]
+            yield got
+            got = None
+            yield from (None for _ in range(rows - 1))
+        give_back()
 
     def judge(partition: Iterator) -> Iterator[tuple]:
-        spell = spellers()
-        for held, got in partition:
-            by_pack = defaultdict(list)
-            for number, *answered in got:
+        spell, held, by_pack = spellers(), [], defaultdict(list)
+        for row, got in partition:
+            held.append(row)
+            for number, _, *answered in got or ():
                 by_pack[number].append(answered)
-            for number, half, chosen, pack in packed(held):
-                logs, size = logs_of(pack, half, by_pack[number], models, spell[1 - half])
-                with np.errstate(over="ignore"):
-                    values = np.exp(-logs / np.maximum(size, 1)).tolist()
-                for r, value, n in zip(chosen, values, size.tolist()):
-                    yield r.doc_id, r.lang, len(r.text), value if n else None
+        for number, half, chosen, pack in packed(held, True):
+            logs, size = logs_of(pack, half, by_pack.pop(number), models, spell[1 - half])
+            with np.errstate(over="ignore"):
+                values = np.exp(-logs / np.maximum(size, 1)).tolist()
+            for r, value, n in zip(chosen, values, size.tolist()):
+                yield r.doc_id, r.lang, len(r.text), value if n else None
+            # Before the next one is made.
+            del chosen, pack, logs, size, values, r
+        held.clear()
+        give_back()
 
     more = answers.getNumPartitions() - docs.getNumPartitions()
     held: RDD = docs.union(sc.parallelize([], more)) if more > 0 else docs
-    return spark.createDataFrame(held.mapPartitions(lambda x: [list(x)]).zip(answers).mapPartitions(judge), schema)
+    return spark.createDataFrame(held.zip(answers.mapPartitions(beside)).mapPartitions(judge), schema)
 
 
 # Functions of this module travel with the tasks.
