@@ -9,7 +9,7 @@ import plain
 import pytest
 
 from lectern.llm import kneser_ney as kn
-from lectern.llm import word_model, word_shards
+from lectern.llm import word_model, word_scan, word_shards
 
 rng = random.Random(53)
 GOOD = [plain.sentence(rng, rng.randint(5, 120)) + ". Été, 12 €" for _ in range(80)]
@@ -243,3 +243,54 @@ def test_what_is_sent_for_a_trigram():
     assert asked == [(shard, again.asked(*ranges)) for shard, *ranges in again.parts()]
     sent = sum(len(x) for _, part in asked for y in part[1:] for x in (y if isinstance(y, tuple) else [y]))
     assert sent < 5 * len(distinct)
+
+
+def test_scanned_words_equal_the_pattern(monkeypatch):
+    """Words, places and hashes from arrays of code points, whatever the script and wherever a text is cut."""
+    monkeypatch.setattr(word_scan, "CHUNK", 40)
+    scanner = word_scan.Scanner(word_scan.kinds())
+    local = random.Random(7)
+    texts = ["Été, 12 € ΑΣ ΑΣ. İstanbul _a_b 猫坐在 слово\tza\x1cb ﬁ ภาษา 가나다 ٣٤ ²x", "", " ", "a" * 500 + " b " * 50, "\U00020000x\U0001f600"]
+    texts += ["".join(chr(local.choice([local.randrange(0x110000), local.randrange(0x3000), 32, 97])) for _ in range(60)) for _ in range(500)]
+    found = [[] for _ in texts]
+    for text, numbers, ends in word_scan.chunks(texts):
+        hashes, starts, sizes = scanner.words("en", text)
+        said = [text[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist())]
+        assert hashes.tolist() == scanner.hashed("en", said).tolist()
+        for i, at, to in zip(numbers, [0, *np.searchsorted(starts, ends)], np.searchsorted(starts, ends)):
+            found[i] += said[at:to]
+    assert found == [word_model.words_of(text) for text in texts]
+    every = sorted({w for words in found for w in words} | {"ab", "ba", "aab", "baa"})
+    assert len(np.unique(np.concatenate([scanner.hashed(lang, every) for lang in ("en", "de", None)]))) == 3 * len(every)
+
+
+def test_a_shard_counts_alone():
+    """One pass over a shard gives all orders: a word's predecessors too, by what stands before it, at the end of a text as well."""
+    texts = ["the cat sat", "a cat", "the cat ran", "cat", "the end"]
+    table = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    pack = word_shards.Pack([("en", t, 1) for t in texts] + [("en", "odd cat", 0)], table, 1)
+    [(_, *ranges)] = pack.parts()
+    counts = dict(word_shards.Shard([((0,), 0, pack.asked(*ranges))]).counts())
+    before = defaultdict(set)
+    for w in (["\n", *t.split()] for t in texts):
+        for a, b in zip(w, w[1:]):
+            before[b].add(a)
+    n = [len(x) for x in before.values()]
+    assert counts[0, "en", 1] == (*[n.count(k) for k in (1, 2, 3, 4)], len(n), sum(n)) and len(counts) == 3
+
+
+def test_unknown_words_are_not_asked_for(spark):
+    """Words that no trusted text has travel as one word, and what follows them does not travel."""
+    rows = [("en", "the cat sat on the mat", 1), ("en", "the dog sat", 1)]
+    known, bits = word_shards.ranks(spark.createDataFrame([(lang, t) for lang, t, _ in rows], "lang string, text string"))
+    assert set(known.tolist()) == set(word_shards.hashed("en", ["\n", "the", "cat", "sat", "on", "mat", "dog"]).tolist()) and not bits.any()
+    table = (known[:2], np.argsort(known[:2]))
+    marked = word_shards.bits_of(spark.createDataFrame([(int(w),) for w in known[2:]], "word long"), len(known) - 2)
+    odd = rows + [("en", "the zq sat xw on zq2 the zq3", 0)]
+    pack = word_shards.Pack(odd, table, 1, bits=marked)
+    sent = word_shards.Asked(pack.asked(*next(pack.parts())[1:]))
+    assert len(set(sent.words.tolist())) == 7 and {word_shards.UNKNOWN} < set(sent.before.tolist())
+    # The last text: after the borders, after each known word (a known or an unknown one), and its end.
+    asked = [("\n", "\n", "the"), ("\n", "the", "?"), ("?", "sat", "?"), ("?", "on", "?"), ("?", "the", "?")]
+    mine = word_shards.Pack([odd[-1]], table, 1, bits=marked)
+    assert len(mine.h0) == len(asked) and int((mine.sent[mine.h0] == word_shards.UNKNOWN).sum()) == 4
