@@ -186,6 +186,10 @@ def compact(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), table.dtype).reshape(-1, V), at
 
 
+#: Words spelled at a time.
+_SPELLED = 20_000
+
+
 def spellers(tables: list[tuple[np.ndarray, np.ndarray]]) -> list:
     """Per half, from ``compact``, the logarithms of the probabilities of words' letters and ends."""
     symbols = _symbol_table()
@@ -195,6 +199,9 @@ def spellers(tables: list[tuple[np.ndarray, np.ndarray]]) -> list:
 
     def speller(rows: np.ndarray, row_of: np.ndarray):
         def spell(words: list[str]) -> np.ndarray:
+            return np.concatenate([np.zeros(0), *[some(words[at : at + _SPELLED]) for at in range(0, len(words), _SPELLED)]])
+
+        def some(words: list[str]) -> np.ndarray:
             # Each word stands between spaces, the first of them after a border.
             sizes = np.array([len(w) for w in words], np.int64)
             ends = np.cumsum(sizes + ORDER)

@@ -35,14 +35,14 @@ from lectern.llm.word_scan import Scanner, chunks, give_back, kinds
 #: Words that travel as a rank.
 CODES = 1_000_000
 #: Characters of text for each shard and each pack, about.
-SHARD_CHARS, PACK_CHARS = 15_000_000, 24_000_000
+SHARD_CHARS, PACK_CHARS = 15_000_000, 20_000_000
 #: The end of a text and words as they travel: unknown ones, ranks, others by a hash below 0, of which 7 bytes are sent.
 END, UNKNOWN, FIRST = 1, 2, 3
 _SENT = 7
 #: Words counted between two sums of a task, and in a batch.
 _KEPT = 2_000_000
 #: Bits for a word without a rank, and how many bits of its hash tell its bit at most (16 MB).
-_SPARSE, _BITS = 16, 27
+_SPARSE, _BITS = 8, 27
 _PLACE = f"(word & {(1 << _BITS) - 1})"
 _LOW, _SIGN = (1 << 8 * _SENT) - 1, -(1 << 8 * _SENT)
 
@@ -213,6 +213,7 @@ class Pack:
         Only with ``judged`` it knows each document's words, only without their numbers.
         """
         flat, hashes, lang, sizes = self._read(docs, scanner or Scanner(kinds()), judged)
+        give_back()
         self.lang, self.sizes = lang, sizes
         sent = _coded(hashes, table)
         shard = shard_of(hashes, shards)
@@ -250,6 +251,7 @@ class Pack:
         keys <<= shift
         keys |= side_of[flat[inside]]
         del inside, flat, asked
+        give_back()
         if judged:
             order = np.argsort(keys)
             keys = keys[order]
@@ -447,6 +449,7 @@ class Shard:
             a.pair = a.word[a.pair_word] * w + place(a.before)
             a.after = place(a.last)
             a.words = a.before = a.last = None
+        give_back()
         self.models = [self._model([a for _, half, a in self.asked if half == m]) for m in (0, 1)]
 
     def _model(self, packs: list[Asked]) -> tuple:
@@ -519,20 +522,9 @@ def _chance(n: np.ndarray, at: np.ndarray, context: np.ndarray, d: np.ndarray, l
 
 def logs_of(pack: Pack, half: int, answers: list[tuple], models: dict, spell) -> tuple[np.ndarray, np.ndarray]:
     """Per document of a pack: the sum of its logarithms, and its characters with an end for each word."""
+    spelled = spell(pack.words)
+    give_back()
     by_shard = {shard: (mark, numbers) for shard, mark, numbers in answers}
-    # A word of one model, by its own numbers: asked as a context, like every word of the pack.
-    own, followed = np.zeros((4, len(pack.words)), np.int64), np.zeros(len(pack.words), np.int64)
-    pair_rows, two, three = np.zeros((4, len(pack.h2)), np.int64), *np.zeros((2, len(pack.h0)), np.int32)
-    for shard, words, pairs, grams in pack.parts():
-        mark, numbers = by_shard[shard]
-        if mark != pack.mark(grams):
-            raise RuntimeError("documents changed between two reads")
-        own[:, pack.h1[words]] = _read_sums(numbers[:5], words.stop - words.start)
-        followed[pack.h1[words]] = spread(numbers[5])
-        pair_rows[:, pairs] = _read_sums(numbers[6:11], pairs.stop - pairs.start)
-        pair = pack.pair[grams]
-        for found, seen, sent in ((two, own[0, pack.pair_word[pair]], 11), (three, pair_rows[0, pair], 12)):
-            found[grams.start + np.flatnonzero(seen)] = spread(numbers[sent])
     d = np.full((3, 3, len(pack.langs)), 0.5)
     lowest = np.zeros((4, len(pack.langs)), np.int64)
     for i, lang in enumerate(pack.langs):
@@ -542,19 +534,35 @@ def logs_of(pack: Pack, half: int, answers: list[tuple], models: dict, spell) ->
                 d[order - 1, :, i] = discounts(c)
                 if order == 1:
                     lowest[:, i] = c[5], c[0], c[1], c[4] - c[0] - c[1]
-    every, by_pair = np.arange(len(pack.langs)), pack.lang[pack.pair_word]
-    logs = _chance(followed, pack.lang, _context(lowest, d[0]), d[0], every, spell(pack.words))
-    words, spelled = logs, pack.lengths + 1
-    logs = np.append(logs, [0.0, 0.0])[pack.h0]
-    logs = _chance(two, pack.pair_word[pack.pair], _context(own, d[1][:, pack.lang]), d[1], pack.lang, logs)
-    logs = _chance(three, pack.pair, _context(pair_rows, d[2][:, by_pair]), d[2], by_pair, logs)
-    size = np.append(spelled, [0, 0])[pack.h0]
+    # A word of one model, by its own numbers: asked as a context, like every known word of the pack.
+    own, followed = np.stack([np.zeros(len(pack.words)), np.ones(len(pack.words))]), np.zeros(len(pack.words), np.int64)
+    by_pair, two, three = np.empty((2, len(pack.h2))), *np.zeros((2, len(pack.h0)), np.int32)
+    lang_of = pack.lang[pack.pair_word].astype(np.int32)
+    for shard, words, pairs, grams in pack.parts():
+        mark, numbers = by_shard.pop(shard)
+        if mark != pack.mark(grams):
+            raise RuntimeError("documents changed between two reads")
+        h1, lang = pack.h1[words], lang_of[pairs]
+        own[:, h1] = _context(_read_sums(numbers[:5], len(h1)), d[1][:, pack.lang[h1]])
+        followed[h1] = spread(numbers[5])
+        by_pair[:, pairs] = _context(_read_sums(numbers[6:11], len(lang)), d[2][:, lang])
+        pair = pack.pair[grams]
+        for found, seen, sent in ((two, own[0, pack.pair_word[pair]], 11), (three, by_pair[0, pair], 12)):
+            found[grams.start + np.flatnonzero(seen)] = spread(numbers[sent])
+    words = _chance(followed, pack.lang, _context(lowest, d[0]), d[0], np.arange(len(pack.langs)), spelled)
+    logs = np.append(words, [0.0, 0.0])[pack.h0]
+    logs = _chance(two, pack.pair_word[pack.pair], own, d[1], pack.lang, logs)
+    logs = _chance(three, pack.pair, by_pair, d[2], lang_of, logs)
     logs[pack.h0 == -1] = 0.0
+    del two, three, by_pair
     doc, word = pack.alone
-    return tuple(
-        np.bincount(pack.doc, x[pack.found], len(pack.sizes)) + np.bincount(doc, y[word], len(pack.sizes))
-        for x, y in ((logs, words), (size, spelled))
-    )
+    size = np.append(pack.lengths + 1, [0, 0])
+    sums = [np.bincount(doc, x[word], len(pack.sizes)) for x in (words, size)]
+    for at in range(0, len(pack.doc), _KEPT >> 2):
+        doc, gram = (x[at : at + (_KEPT >> 2)] for x in (pack.doc, pack.found))
+        sums[0] += np.bincount(doc, logs[gram], len(pack.sizes))
+        sums[1] += np.bincount(doc, size[pack.h0[gram]], len(pack.sizes))
+    return sums[0], sums[1]
 
 
 def packs(rows: list) -> Iterator[tuple[int, int, list[int]]]:
