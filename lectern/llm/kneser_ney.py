@@ -37,7 +37,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import common, word_scan, word_shards
+from lectern.llm import common, word_shards
+from lectern.llm.word_scan import give_back
+from lectern.llm.word_shards import summed
 
 ORDER = 4
 # The symbols. Letters without an own symbol share one, and so do marks.
@@ -95,10 +97,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
         held, counts, size = ([], []), ([], []), 0
 
         def settle():
-            for parts, summed in zip(held, counts):
+            for parts, found in zip(held, counts):
                 if parts:
-                    summed.append(np.unique(np.concatenate(parts), return_counts=True))
-                    summed[:] = [word_shards.summed(summed)]
+                    found.append(np.unique(np.concatenate(parts), return_counts=True))
+                    found[:] = [summed(found)]
                     parts.clear()
 
         for batch in batches:
@@ -110,13 +112,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     settle()
                     size = 0
         settle()
-        for half, summed in enumerate(counts):
-            for gram, n in summed:
+        for half, found in enumerate(counts):
+            for gram, n in found:
                 for at in range(0, len(gram), 100_000):
                     columns = [x[at : at + 100_000].astype(np.int64) for x in (gram, n)]
                     columns = [pa.array(np.full(len(columns[0]), half, np.int32)), *map(pa.array, columns)]
                     yield pa.RecordBatch.from_arrays(columns, names=["half", "gram", "n"])
-        word_scan.give_back()
+        give_back()
 
     counted = docs.select("half", F.col("text").cast("string")).mapInArrow(run, "half int, gram long, n long")
     return counted.groupBy("half", "gram").agg(F.sum("n").alias("n"))
