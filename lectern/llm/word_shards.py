@@ -557,7 +557,8 @@ def logs_of(pack: Pack, half: int, answers: list[tuple], models: dict, spell) ->
     del two, three, by_pair
     doc, word = pack.alone
     size = np.append(pack.lengths + 1, [0, 0])
-    sums = [np.bincount(doc, x[word], len(pack.sizes)) for x in (words, size)]
+    # Without any word alone these are whole numbers.
+    sums = [np.bincount(doc, x[word], len(pack.sizes)).astype(np.float64) for x in (words, size)]
     for at in range(0, len(pack.doc), _KEPT >> 2):
         doc, gram = (x[at : at + (_KEPT >> 2)] for x in (pack.doc, pack.found))
         sums[0] += np.bincount(doc, logs[gram], len(pack.sizes))
